@@ -1,14 +1,18 @@
 """The queries of this folder by name, and the SQL for those that SQL can express."""
 
-from lexiforge.llm import langid, mixing, pii, secrets, simhash, toxicity
+from lexiforge.llm import embeddings, langid, media, mixing, pii, secrets, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepieces.query,
     "op2_source_mixing": mixing.query,
     "op3_pii_pseudonyms": pii.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_language_mixture": langid.query,
+    "op6_embedding_near_dedup": embeddings.query,
     "op7_toxicity_mil": toxicity.query,
+    "op8_warc_index": warc.query,
+    "op9_media_sniffing": media.query,
     "op10_secret_scan": secrets.query,
 }
 
-ORACLES = {"op2_source_mixing": mixing.ORACLE, "op10_secret_scan": secrets.ORACLE}
+ORACLES = {"op2_source_mixing": mixing.ORACLE, "op8_warc_index": warc.ORACLE, "op10_secret_scan": secrets.ORACLE}
