@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     upto = F.coalesce(F.sum(F.floor("target")).over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = t.withColumn("lo", F.expr("0L") + upto).withColumn("hi", F.expr("lo + floor(target)"))
     whole = F.sum(F.floor("target")).over(Window.partitionBy())
-    scaled = lambda c: F.floor(F.col(c).cast("double") / whole.cast("double") * 4294967296.0)
+    scaled = lambda c: F.floor(F.try_divide(F.col(c).cast("double"), whole.cast("double")) * 4294967296.0)
     return t.select("source", "src", "weight", "source_size", "target", "total", scaled("lo").alias("lo"), scaled("hi").alias("hi"))
 
 

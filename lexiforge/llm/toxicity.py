@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import held_out, table
 
-SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z = 9000, 4096, 3, 3.5
+SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z = 9000, 4096, 3, 3.0
 TOXIC = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGE = "\"'()[]{}<>,;:-–—*_«»„“”¡¿"
