@@ -120,9 +120,10 @@ def trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 def index(docs: DataFrame, grams: list[str]) -> DataFrame:
     """Postings (gram, doc_id, key): which of the grams each document holds; gram is a place in the list."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return docs.select("doc_id", "key", F.explode(held).alias("gram"))
+    asked = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(i).alias("i")) for i, g in enumerate(grams)])
+    # a lambda binds the lower-cased text once for all grams
+    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(asked, lambda x: F.contains(low, x["g"])))
+    return docs.select("doc_id", "key", F.explode(F.get(held, F.lit(0))).alias("x")).select("doc_id", "key", F.col("x.i").alias("gram"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...], grams: list[str]) -> DataFrame:
