@@ -154,22 +154,23 @@ class Shard:
         self.beam, self.recall = self._audit()
 
     def _audit(self) -> tuple[int, float]:
-        """The first beam whose recall passes, of links and of the 5 nearest, on evenly spaced vectors against brute force."""
-        n = len(self.unit)
+        """The first beam whose recall passes, on evenly spaced vectors and on probes that just link to them, against brute force."""
+        n, d = self.unit.shape
         some = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(int))
-        true = self.unit[some] @ self.unit.T
-        true[np.arange(len(some)), some] = -np.inf
-        k = min(5, n - 1)
-        if k < 1:
-            return FIRST_BEAM, 1.0
-        bar = np.minimum(-np.partition(-true, k - 1, axis=1)[:, k - 1 : k], self.link)  # links, or else the nearest
-        wanted = (true >= bar).sum()
+        own = self.unit[some]
+        away = np.random.default_rng(7).normal(size=own.shape)
+        away -= (away * own).sum(axis=1, keepdims=True) * own
+        size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+        cos = min(1.0, self.link + 1e-3)
+        probes = np.where(size > 1e-9, cos * own + math.sqrt(1 - cos * cos) * away / np.maximum(size, 1e-9), own)
+        asked = np.vstack([own, probes])
+        true = asked @ self.unit.T >= self.link
         beam = FIRST_BEAM
         while True:
-            i, j, _ = self._found(self.graph.x[some], beam, bar[:, 0] - 1e-6)
-            hit = (true[i, j] >= bar[i, 0]).sum() if len(i) else 0
-            if hit >= RECALL * wanted or beam >= WIDEST:
-                return beam, hit / wanted
+            i, j, _ = self._found(asked.astype(np.float32), beam, np.full(len(asked), self.link - 1e-5, np.float32))
+            recall = true[i, j].sum() / true.sum()
+            if recall >= RECALL or beam >= WIDEST:
+                return beam, recall
             beam *= 2
 
     def _found(self, q: np.ndarray, beam: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
