@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from lexiforge.llm.common import table
 
 #: Where the query's vocabulary lies; any SentencePiece model file will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN_PENALTY, REMEMBERED = 10.0, 400_000
+UNKNOWN_PENALTY, REMEMBERED, AT_ONCE = 10.0, 150_000, 256
 
 
 @dataclass(frozen=True)
@@ -56,12 +59,12 @@ def load(path: str = VOCABULARY) -> Vocabulary:
 
 
 class Encoder:
-    """Built once in each Python worker."""
+    """Built once in each Python worker; text to ids and back."""
 
     def __init__(self, v: Vocabulary):
         import ahocorasick
 
-        self.v, self.automaton, self.memo = v, ahocorasick.Automaton(), {}
+        self.v, self.automaton, self.memo = v, ahocorasick.Automaton(), Memo(self)
         for text, i, score in v.pieces:
             self.automaton.add_word(text, (i, len(text), score))
         self.automaton.make_automaton()
@@ -69,24 +72,21 @@ class Encoder:
         lone = all("\n" not in p for p, _, _ in v.pieces)
         inner = any(" " in p.lstrip(" ") for p, _, _ in v.pieces)
         self.parts = re.compile(r" *[^ \n]+| +|\n" if lone else r" *[^ ]+| +") if not inner else re.compile(r"(?s).+")
+        known = {i: p.encode("utf-8", "surrogatepass") for p, i, _ in v.pieces} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
+        self.raw = [known.get(i, "\ufffd".encode()) for i in range(max(known, default=-1) + 1)]
 
-    def viterbi(self, part: str) -> array:
-        """Ids of the best segmentation; of equal scores, the longer last piece."""
-        n = len(part)
-        best, back, at = [0.0] + [float("-inf")] * n, [None] * (n + 1), 0
-
-        def forward(to: int) -> None:
-            nonlocal at
-            while at < to:
-                at += 1
-                best[at] = best[at - 1] + self.unknown
-
+    def viterbi(self, part: str) -> bytes:
+        """Ids (int32) of the best segmentation; of equal scores, the longer last piece."""
+        n, unknown = len(part), self.unknown
+        best, back, at = [0.0] * (n + 1), [None] * (n + 1), 0
         for end, found in self.automaton.iter(part):
-            forward(end + 1)
-            score = best[at - found[1]] + found[2]
-            if score > best[at] or (score == best[at] and back[at] is None):
-                best[at], back[at] = score, found
-        forward(n)
+            end += 1
+            while at < end:  # a position starts from its character taken as unknown
+                at += 1
+                best[at] = best[at - 1] + unknown
+            score = best[end - found[1]] + found[2]
+            if score > best[end]:
+                best[end], back[end] = score, found
         out: list[int] = []
         while n:
             if back[n] is None:
@@ -96,20 +96,39 @@ class Encoder:
             else:
                 out.append(back[n][0])
                 n -= back[n][1]
-        return array("i", reversed(out))
-
-    def encode(self, text: str) -> array:
-        ids, memo = array("i"), self.memo
-        for part in self.parts.findall((" " + text) if self.v.prefix and text else text):
-            got = memo.get(part)
-            if got is None:
-                got = self.viterbi(part)
-                if len(part) <= 64:
-                    if len(memo) >= REMEMBERED:
-                        memo.clear()
-                    memo[part] = got
-            ids.extend(got)
-        return ids
+        return array("i", reversed(out)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        parts = self.parts.findall((" " + text) if self.v.prefix and text else text)
+        return b"".join(map(self.memo.__getitem__, parts))
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; those that the vocabulary lacks give U+FFFD."""
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            raw = b"".join(map(self.raw.__getitem__, ids))
+        except (IndexError, TypeError):
+            n = len(self.raw)
+            raw = b"".join(self.raw[i] if i is not None and 0 <= i < n else "\ufffd".encode() for i in ids)
+        return (raw[1:] if self.v.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+class Memo(dict):
+    """part -> ids of frequent parts: two generations, the older dropped when the younger is full; long parts aren't kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part) or self.encoder.viterbi(part)
+        if len(part) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[part] = got
+        return got
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -123,53 +142,59 @@ def _encoder(v: Vocabulary) -> Encoder:
     return _ENCODERS[key]
 
 
+def _ids(texts: list[str | None], enc: Encoder) -> pa.Array:
+    """Ids of texts as one list array, without a Python number for each."""
+    raw = [None if t is None else enc.encode(t) for t in texts]
+    ends = np.cumsum([0] + [len(r or b"") // 4 for r in raw]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(r or b"" for r in raw), np.int32))
+    missing = pa.array([r is None for r in raw] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, mask=missing.to_numpy(zero_copy_only=False)), values)
+
+
+def _texts(ids: list[list[int] | None], enc: Encoder) -> list[str | None]:
+    return [None if x is None else enc.decode(x) for x in ids]
+
+
+def _appended(rows: DataFrame, source: str, schema: str, compute) -> DataFrame:
+    """rows with the columns of schema, from compute(values of source, a few rows at a time, so that a batch stays small)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kept = rows.drop(*[n for n in names if n != source])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(b.schema.get_field_index(source)))], [*b.schema.names, *names])
+
+    return kept.mapInArrow(run, f"{fields}, {schema}")
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of a text as array<int>; null stays null, an empty text has none.
 
     Texts of any length are encoded whole; a literal U+2581 is kept apart from spaces (as bytes); equal texts get
     equal ids; a column of docs that is called like ids is replaced; an empty table stays empty.
     """
-
-    @F.pandas_udf("array<int>")
-    def of(col):
-        import numpy as np
-
-        enc = _encoder(vocabulary)
-        return col.map(lambda t: None if t is None else np.frombuffer(enc.encode(t), np.int32))
-
-    return docs.withColumn(ids, of(F.col(text)))
+    return _appended(docs, text, f"{ids} array<int>", lambda c: [_ids(c.to_pylist(), _encoder(vocabulary))])
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of an array of ids: the inverse of encoded; null stays null, unknown ids give U+FFFD."""
-    known = {i: p.encode("utf-8", "surrogatepass") for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
-
-    @F.pandas_udf("string")
-    def of(col):
-        other = "�".encode()
-        get = [known.get(i, other) for i in range(max(known, default=-1) + 1)]
+    return _appended(rows, ids, f"{text} string", lambda c: [pa.array(_texts(c.to_pylist(), _encoder(vocabulary)), pa.string())])
 
-        def one(x):
-            if x is None:
-                return None
-            try:
-                raw = b"".join(map(get.__getitem__, x.tolist() if hasattr(x, "tolist") else x))
-            except (IndexError, TypeError):
-                raw = b"".join(known.get(i, other) for i in x)
-            return (raw[1:] if vocabulary.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-        return col.map(one)
-
-    return rows.withColumn(text, of(F.col(ids)))
+def tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, ids, n_ids (null text: 0), and exact: whether decoding the ids gives the text again (also null for null)."""
 
+    def both(col: pa.Array) -> list[pa.Array]:
+        enc, texts = _encoder(vocabulary), col.to_pylist()
+        ids = _ids(texts, enc)
+        back = _texts(ids.to_pylist(), enc)
+        return [ids, pa.array([a == b for a, b in zip(texts, back)])]
 
-def tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, ids, n_ids (null text: 0), and exact: whether decoding gives the text again (also null for null)."""
-    done = decoded(encoded(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return done.select(
-        "doc_id", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
-    )
+    done = _appended(docs.select("doc_id", "text"), "text", "ids array<int>, exact boolean", both)
+    return done.select("doc_id", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"), "exact")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
