@@ -1,4 +1,6 @@
 """Every registered query by name, with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lexiforge.plans import calibration_queries, knowledge_queries, pair_queries, text_queries  # noqa: F401  (they register)
+from lexiforge.plans.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
