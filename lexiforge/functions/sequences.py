@@ -44,8 +44,14 @@ def repetition(tokens: Column) -> dict[str, Column]:
     n = F.size(tokens)
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    ordered = F.array_sort(pairs)
-    again = F.size(F.filter(F.transform(ordered, lambda p, i: (p == F.get(ordered, i - 1)) | (p == F.get(ordered, i + 1))), lambda x: F.coalesce(x, F.lit(False))))
+    start = F.struct(F.lit(None).cast("int").alias("run"), F.get(pairs, F.lit(0)).alias("last"), F.lit(0).alias("again"))
+
+    def step(acc, p):
+        run = F.when(p == acc["last"], F.coalesce(acc["run"], F.lit(0)) + 1).otherwise(1)
+        more = F.when(run == 2, 2).when(run > 2, 1).otherwise(0)
+        return F.struct(run.alias("run"), p.alias("last"), (acc["again"] + more).alias("again"))
+
+    again = F.when(n > 1, F.aggregate(F.array_sort(pairs), start, step, lambda acc: acc["again"])).otherwise(0)
     part = lambda x, other: F.when(n <= 1, F.lit(other)).otherwise(F.try_divide(x.cast("double"), (n - 1).cast("double")))
     unique = F.when(n <= 1, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_distinct(tokens)).cast("double"), n.cast("double")))
     return {"uniq_token_ratio": unique, "rep_1gram": part(same, 0.0), "rep_2gram": part(again, 0.0)}
@@ -99,7 +105,7 @@ def composite(cosine_: Column, bleu: Column, rouge: Column, corrected: Column, r
     """Weighted sum of five scores; the reduction is held in [-1, 1], and a null one counts as the corrected share."""
     if abs(sum(weights) - 1) > 1e-6:
         raise ValueError("weights must sum to 1")
-    kept = F.coalesce(F.greatest(F.lit(-1.0), F.least(reduction, F.lit(1.0))), corrected)
+    kept = F.when(reduction.isNull(), corrected).otherwise(F.greatest(F.lit(-1.0), F.least(reduction, F.lit(1.0))))
     parts = [w * c for w, c in zip(weights, (cosine_, bleu, rouge, corrected, kept))]
     return parts[0] + parts[1] + parts[2] + parts[3] + parts[4]
 

@@ -98,7 +98,8 @@ def numbered_variables(c: Column, compat: bool = False) -> Column:
     if compat:
         numbered = F.transform(names, lambda v, i: F.struct(v.alias("v"), (i + 1).cast("string").alias("n")))
         return F.aggregate(numbered, c, lambda acc, x: F.replace(acc, x["v"], F.concat(F.lit("?X"), x["n"])))
-    new = F.transform(found, lambda v: F.concat(F.lit("?X"), F.array_position(names, v).cast("string")))
+    # a lambda binds the distinct names once for all of the text
+    new = F.get(F.transform(F.array(names), lambda ns: F.transform(found, lambda v: F.concat(F.lit("?X"), F.array_position(ns, v).cast("string")))), F.lit(0))
     pieces = F.arrays_zip(F.split(c, VARIABLE, -1).alias("p"), new.alias("n"))
     return F.array_join(F.flatten(F.transform(pieces, lambda x: F.array(x["p"], F.coalesce(x["n"], F.lit(""))))), "")
 

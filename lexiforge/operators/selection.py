@@ -69,16 +69,17 @@ def random_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def with_distractors(rows: DataFrame, key: str, terms: str, pool: DataFrame, low: float = 1.5, high: float = 3.5, seed: int = 42, stock: int = 5000) -> DataFrame:
-    """rows with candidates: their terms and drawn others in hash order; n terms get round(u * n) - n others, u in [low, high).
+    """rows with candidates: their terms and drawn others, a stretch of the shuffled stock; n terms get round(u * n) - n others, u in [low, high).
 
     The pool is a table of terms; the stock drawn from it is bounded and broadcast.
     """
-    some = pool.select(F.col(pool.columns[0]).alias("t")).distinct().orderBy(hash_order(F.col("t"), seed)).limit(stock).agg(F.sort_array(F.collect_list("t")).alias("__stock"))
+    some = pool.select(F.col(pool.columns[0]).alias("t")).distinct().orderBy(hash_order(F.col("t"), seed)).limit(stock).agg(F.array_sort(F.collect_list(F.struct(hash_order(F.col("t"), seed).alias("h"), "t")))["t"].alias("__stock"))
     u = F.conv(F.substring(hash_order(F.col(key), seed + 1), 1, 7), 16, 10).cast("double") / float(1 << 28) * (high - low) + low
     n = F.size(terms)
     more = F.greatest(F.lit(0), F.bround(u * n).cast("int") - n)
     order = lambda t: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), t).cast("binary")).alias("h"), t.alias("t"))
-    drawn = F.slice(F.array_sort(F.transform("__stock", order))["t"], 1, more)
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.greatest(F.size("__stock") - more + 1, F.lit(1))).cast("int")
+    drawn = F.slice("__stock", at + 1, more)
     mixed = F.array_sort(F.transform(F.concat(F.col(terms), drawn), order))["t"]
     return rows.crossJoin(F.broadcast(some)).withColumn("candidates", mixed).drop("__stock")
 

@@ -191,10 +191,10 @@ def _(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", r6(N.composite(F.col("l_discount"), F.col("l_tax"), F.lit(0.5), part, reduction)).alias("score"))
 
 
-@query("sigmoid_logit", "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS p, round(c_acctbal / 1000, 4) AS x FROM customer")
+@query("sigmoid_logit", "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS p, round(c_acctbal / 1000, 6) AS x FROM customer")
 def _(t, spark):
     p = N.sigmoid(F.col("c_acctbal") / 1000)
-    return t("customer").select("c_custkey", r6(p).alias("p"), F.round(N.logit(p), 4).alias("x"))
+    return t("customer").select("c_custkey", r6(p).alias("p"), r6(N.logit(p)).alias("x"))
 
 
 @query("unknown_share", f"""WITH k AS (SELECT list(DISTINCT w) AS known FROM (SELECT unnest(regexp_extract_all({ASCII_SQL}, '[a-zA-Z_]+')) AS w FROM benchmark)),
