@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
@@ -38,7 +38,7 @@ class Session:
         """Simplified, one sentence a row: (sentence_id, text); ids number sentences by line and place."""
         done = models.rewritten(self._text(text), "text", self.simplify)
         each = done.select("line_num", F.posexplode(X.sentences(F.col("text"))).alias("ord", "text"))
-        return each.select(F.row_number().over(Window.orderBy("line_num", "ord")).alias("sentence_id"), "text")
+        return pairs.ranked(each.withColumn("at", F.struct("line_num", "ord")), "at", "sentence_id").select(F.col("sentence_id").cast("int").alias("sentence_id"), "text")
 
     def masked(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens = models.tagged(sentences, self.tagger)

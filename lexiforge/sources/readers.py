@@ -1,6 +1,7 @@
 """Readers.  Each gives a DataFrame with an explicit order column where order matters; none looks at the driver's disk.
 
-Line numbers come from monotonically_increasing_id, ranked within each file: per-file windows, no global sort.
+Line numbers come from monotonically_increasing_id: places within a partition, plus the counts of the file's partitions
+before it.  Only those counts are summed over, so a file of any size is numbered without one task seeing it whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ FEATURES = (
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) -> DataFrame:
     """(file, line_num, value): lines of text files, numbered from 1 in each file."""
     raw = spark.read.options(encoding=encoding, **options).text(path).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
-    return raw.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line_num"), "value")
+    raw = raw.withColumn("part", F.shiftright("at", 33))
+    counts = raw.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    upto = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("file", "part", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    return raw.join(placed, ["file", "part"]).select("file", number.cast("int").alias("line_num"), "value")
 
 
 def sentence_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -110,13 +110,13 @@ def test_candidates_sections_and_preamble(spark):
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"input": "a", "output": "(b)"}, {"input": "c", "output": "(d)"}]))
     (tmp_path / "s.txt").write_text("one\n\n two \n")
-    (tmp_path / "o.jsonl").write_text('{"sumo_type": "Dog"}\n{bad\n{"x": 1}\n')
+    (tmp_path / "o.jsonl").write_text('{"kind": "Dog"}\n{bad\n{"x": 1}\n')
     assert [r.input for r in readers.pairs(spark, str(tmp_path / "p.json")).orderBy("row_id").collect()] == ["a", "c"]
     assert rows(readers.sentence_lines(spark, str(tmp_path / "s.txt"))) == [(1, "one"), (3, "two")]
-    good, bad = readers.json_lines(spark, str(tmp_path / "o.jsonl"), "sumo_type")
+    good, bad = readers.json_lines(spark, str(tmp_path / "o.jsonl"), "kind")
     assert rows(good) == [("Dog",)] and bad.count() == 2
     with pytest.raises(ValueError):
-        readers.json_lines(spark, str(tmp_path / "s.txt"), "sumo_type")
+        readers.json_lines(spark, str(tmp_path / "s.txt"), "kind")
     (tmp_path / "k").mkdir()
     (tmp_path / "k" / "a.kif").write_text('; c\n(p ?X "q r\n s" Dog)\n')
     assert {r.word for r in readers.knowledge_words(spark, str(tmp_path / "k")).collect()} == {"p", "Dog"}
