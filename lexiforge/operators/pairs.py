@@ -114,6 +114,13 @@ def complexity_histogram(rows: DataFrame, terms: Column) -> DataFrame:
     return bins.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def rarest_words(rows: DataFrame, key: str, c: Column, table: DataFrame, missing: float = 0.0) -> DataFrame:
+    """(key, least, mean) of the frequencies (word, zipf) of a text's words without punctuation; unknown words count as missing."""
+    bare = F.filter(F.transform(X.words(c), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))), lambda w: w != "")
+    each = rows.select(key, F.explode(bare).alias("word")).join(table, "word", "left").withColumn("zipf", F.coalesce("zipf", F.lit(missing)))
+    return each.groupBy(key).agg(F.min("zipf").alias("least"), F.avg("zipf").alias("mean"))
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(id, root, pos): distinct lemmas of known word types with an id that depends on them alone."""
     typed = tokens.select(F.lower("lemma").alias("root"), X.word_type(F.col("upos")).alias("pos")).where("pos is not null and root <> ''").distinct()

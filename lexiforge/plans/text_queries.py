@@ -236,3 +236,18 @@ def _(t, spark):
 @query("normal_forms")
 def _(t, spark):
     return t("documents").select("doc_id", F.md5(P.nfkc(F.col("text")).cast("binary")).alias("nfkc"), F.md5(P.without_marks(F.col("text")).cast("binary")).alias("plain"))
+
+
+@query("word_frequency", r"""WITH w AS (SELECT doc_id, lower(regexp_replace(regexp_replace(unnest(string_split_regex(text, '\s+')), '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')) AS word FROM documents),
+k AS (SELECT DISTINCT lower(regexp_replace(regexp_replace(unnest(string_split_regex(text, '\s+')), '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')) AS word FROM benchmark), z AS (SELECT word, (length(word) % 7)::DOUBLE AS zipf FROM k)
+SELECT doc_id, min(coalesce(zipf, 0)) AS least, round(avg(coalesce(zipf, 0)), 6) AS mean FROM w LEFT JOIN z USING (word) WHERE w.word <> '' GROUP BY doc_id""")
+def _(t, spark):
+    word = t("benchmark").select(F.explode(X.words(F.col("text"))).alias("w"))
+    table = word.select(F.lower(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("word")).distinct().select("word", (F.length("word") % 7).cast("double").alias("zipf"))
+    return O.rarest_words(t("documents"), "doc_id", F.col("text"), table).select("doc_id", "least", r6(F.col("mean")).alias("mean"))
+
+
+@query("complex_sentences", r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n > 24 OR doc_id % 9 > 4 OR doc_id % 5 < 3 AS complex FROM w""")
+def _(t, spark):
+    n = X.lexical(F.col("text"))["sentence_length"]
+    return t("documents").select("doc_id", N.complex_sentence(n, F.col("doc_id") % 9, F.col("doc_id") % 5).alias("complex"))

@@ -92,3 +92,14 @@ def test_python_helpers():
     assert P.assembled([{"text": "He", "upos": "PRON", "rep": "Bob", "poss": True}, {"text": "dog"}, {"text": "."}, {"text": "well"}, {"text": "-"}, {"text": "known"}]) == "Bob's dog. well-known"
     with pytest.raises(ValueError):
         P.similarity("nothing", None, None)
+
+
+def test_prompts(spark):
+    from lexiforge.functions import prompts
+
+    got = value(spark, prompts.rewrite_batch(F.col("s"), F.col("w"), again=True), s="It flew.", w=["flew"])
+    assert '"It flew."' in got and "flew." in got and got.startswith("Earlier")
+    assert value(spark, prompts.retry(F.col("s"), F.col("w"), F.array(), F.array()), s="x", w=["a", "b"]) == 'Try again with a literal version. Still figurative: a | b. Sentence: "x"'
+    assert "1) bank; 2) shore" in value(spark, prompts.word_sense(F.col("s"), F.lit("bank"), F.col("w")), s="x", w=["bank", "shore"])
+    with pytest.raises(ValueError):
+        prompts.simplify(F.col("s"), ["a"], [])
