@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges in a file of a components round.
+EDGES_A_FILE = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     sc = spark.sparkContext
@@ -26,6 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def appended(rows: DataFrame, source: str, schema: str, compute: Callable[[pa.Array], list[pa.Array]], at_once: int = 256) -> DataFrame:
+    """rows with the columns of schema ("name type; name type"), from compute(values of source).
+
+    compute gets a few rows at a time whatever the size of an Arrow batch, so long texts need little memory in a worker
+    and results go back in small batches.  Columns of rows that have one of the names are replaced.
+    """
+    names = [x.strip().split(" ", 1)[0] for x in schema.split(";")]
+    kept = rows.drop(*[n for n in names if n != source])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            place = whole.schema.get_field_index(source)
+            for at in range(0, whole.num_rows, at_once):
+                b = whole.slice(at, at_once)
+                yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(place))], [*b.schema.names, *names])
+
+    return kept.mapInArrow(run, f"{fields}, {schema.replace(';', ',')}")
+
+
 def held_out(doc_id, mod: int, remainder: int):
     """crc32 of the id as text falls on the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(False))
@@ -49,7 +75,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = small.union(low.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(e.coalesce(1 + state[0] // EDGES_A_FILE) if state else e)  # few files for few edges
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             tops = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import components, cut, table
+from lexiforge.llm.common import appended, components, cut, table
 
 TILE = 2048
 #: Keys hold the pattern's number above so many bits of segments.
@@ -68,21 +68,16 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1, seed: int =
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, words: int = 1, name: str = "fp", once: bool = False) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, words: int = 1, name: str = "fp") -> DataFrame:
     """docs with a binary fingerprint column; per-row work, no shuffle."""
-
-    @F.pandas_udf("binary")
-    def fp(col):
-        return col.map(lambda t: fingerprint(t, shingle, words, once=once))
-
-    return docs.withColumn(name, fp(F.col(text)))
+    return appended(docs, text, f"{name} binary", lambda c: [pa.array([fingerprint(t, shingle, words) for t in c.to_pylist()], pa.binary())])
 
 
 class Ring:
     """Segments, budgets and index keys for fingerprints of so many bits."""
 
     def __init__(self, bits: int, tau: int, segments: int, chain_tau: int | None = None):
-        self.bits, self.tau, self.m, self.words = bits, tau, segments, bits // 64
+        self.bits, self.tau, self.m, self.words, self.rest = bits, tau, segments, bits // 64, None
         edge = [round(j * bits / segments) for j in range(segments + 1)]
         self.spans = list(zip(edge, edge[1:]))
         self.masks = np.zeros((segments, self.words), np.uint64)
@@ -97,16 +92,19 @@ class Ring:
         self.patterns = [(i, [(i + j) % segments for j in [*range(exact), *more]]) for i in range(segments) for more in keep]
 
     @classmethod
-    def near(cls, bits: int, tau: int, segments: int, final: int, chain: int) -> Ring:
-        """Keys that are complete up to tau, applied to pairs of up to final differing bits (recall is measured, see README)."""
-        ring = cls(bits, tau, segments)
-        ring.tau = final
-        ring.budget = [math.floor(n * chain / segments) + 2 for n in range(segments)] + [final]
+    def near(cls, bits: int, tau: int, segments: int, chain: int, rest: int) -> Ring:
+        """Keys that are complete up to tau, chains within chain, and a second fingerprint behind the first within rest.
+
+        Pairs of more than tau differing bits in the first fingerprint share a key with a probability that is measured
+        (see README); the second fingerprint decides.
+        """
+        ring = cls(bits, tau, segments, chain)
+        ring.tau, ring.rest = chain, rest
         return ring
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
         """(n, patterns) of int64 keys."""
-        segs = []
+        segs, fps = [], fps[:, : self.words]
         bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
         for a, b in self.spans:
             segs.append(bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)[::-1]))
@@ -123,9 +121,11 @@ class Ring:
         alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
         for n in range(1, self.m + 1):
             mask = self.masks[(start[alive] + n - 1) % self.m]
-            total = total + np.bitwise_count(x[alive] & mask).sum(axis=1, dtype=np.int64)
+            total = total + np.bitwise_count(x[alive, : self.words] & mask).sum(axis=1, dtype=np.int64)
             ok = total <= self.budget[n]
             alive, total = alive[ok], total[ok]
+        if self.rest is not None:
+            alive = alive[np.bitwise_count(x[alive, self.words :]).sum(axis=1, dtype=np.int64) <= self.rest]
         return alive
 
 
@@ -175,9 +175,9 @@ def _tile_links(ring: Ring, run: np.ndarray, start: np.ndarray, fps: np.ndarray)
     return moved, lab[moved]
 
 
-def _as_words(col: pa.Array, words: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(col.to_pylist()), ">u8")
-    return flat.astype(np.uint64).reshape(-1, words)
+def _as_words(col: pa.Array) -> np.ndarray:
+    """(n, words) of the fingerprints' 64-bit words."""
+    return np.frombuffer(b"".join(col.to_pylist()), ">u8").astype(np.uint64).reshape(len(col), -1)
 
 
 def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> DataFrame:
@@ -187,9 +187,9 @@ def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> D
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 col = whole.column(0).slice(at, 2000)
-                keys = ring.keys(_as_words(col, ring.words))
-                again = np.repeat(np.arange(len(col)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), col.take(pa.array(again))], ["key", "fp"])
+                keys = ring.keys(_as_words(col))
+                ids = whole.column(1).slice(at, 2000).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "id"])
 
     def to_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.array([i for i, _ in ring.patterns])
@@ -198,7 +198,7 @@ def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> D
         def solve(rows: pa.Table) -> pa.RecordBatch:
             run, pat = rows["run"].to_numpy(), rows["pattern"].to_numpy()
             col = rows["fp"].combine_chunks()
-            node, root = _tile_links(ring, run, begin[pat], _as_words(col, ring.words))
+            node, root = _tile_links(ring, run, begin[pat], _as_words(col))
             return pa.RecordBatch.from_arrays([col.take(pa.array(node)), col.take(pa.array(root))], ["a", "b"])
 
         seen, last = 0, None
@@ -220,13 +220,16 @@ def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> D
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    keyed = classes.select(F.col(fp).alias("fp")).mapInArrow(to_keys, "key long, fp binary")
+    # rows of the index hold a hash of the fingerprint; should two share it, both come back and are told apart by their bits
+    prints = classes.select(F.col(fp).alias("fp"), F.xxhash64(fp).alias("id"))
+    keyed = prints.mapInArrow(to_keys, "key long, id long")
     by_key = Window.partitionBy("key")
     met = (
-        keyed.withColumns({"rn": F.row_number().over(by_key.orderBy("fp")), "n": F.count("*").over(by_key)})
+        keyed.withColumns({"rn": F.row_number().over(by_key.orderBy("id")), "n": F.count("*").over(by_key)})
         .where("n > 1")
         .withColumns({"own": F.expr(f"int((rn - 1) div {tile})"), "all": F.expr(f"int((n - 1) div {tile})")})
         .withColumn("other", F.explode(F.expr("sequence(0, all)")))
+        .join(prints, "id")
     )
     dealt = met.select(
         "key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.shiftright("key", PATTERN_SHIFT).cast("int").alias("pattern"), "fp"
@@ -260,9 +263,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(comp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's stage: 256 bits over five words.  Jaccard 0.8 of shingle sets means a cosine of 8/9 and so, on
-#: average, 256 * acos(8/9) / pi = 38.8 differing bits with a standard deviation of 5.7; one deviation is allowed.
-STAGE_RING = dict(bits=256, tau=17, segments=40, final=44, chain=52)
+#: The pipeline's stage.  The second fingerprint, of five-word shingles, decides: Jaccard 0.8 of shingle sets means a
+#: cosine of 8/9 and so, on average, 256 * acos(8/9) / pi = 38.8 differing bits with a standard deviation of 5.7; one
+#: deviation is allowed.  The first, of single words, is the index: such pairs differ in about 17 of its bits.
+STAGE_RING = dict(bits=256, tau=12, segments=28, chain=48, rest=44)
+
+
+def with_stage_fingerprint(docs: DataFrame, text: str, shingle: int = 5, name: str = "fp") -> DataFrame:
+    """docs with the two fingerprints of the pipeline's stage, over distinct shingles."""
+    both = lambda t: fingerprint(t, 1, 4, once=True) + fingerprint(t, shingle, 4, once=True)
+    return appended(docs, text, f"{name} binary", lambda c: [pa.array([both(t) for t in c.to_pylist()], pa.binary())])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -273,11 +283,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """
     ring = Ring.near(**STAGE_RING)
     rep = F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
-    prints = cut(with_fingerprint(docs.select(rep.alias("rep"), F.col(text).alias("__t")), "__t", shingle, ring.words, once=True).select("rep", "fp"))
-    best = classes_with_component(prints, ring).select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h")).distinct()
+    prints = cut(with_stage_fingerprint(docs.select(rep.alias("rep"), F.col(text).alias("__t")), "__t", shingle).select("rep", "fp"))
+    best = classes_with_component(prints, ring).select("rep").distinct().join(prints.groupBy("rep").agg(F.count("*").alias("__n")), "rep")
+    best = best.select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h"), "__n")
     keyed = docs.withColumn("__key", F.xxhash64(text))
     same = keyed[doc_id].eqNullSafe(best["__id"]) & (keyed["__key"] == best["__h"])
-    return keyed.join(best, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key")
+    kept = keyed.join(best.hint("shuffle_hash"), same)
+    once = kept.where("__n = 1").select(*docs.columns)
+    again = kept.where("__n > 1").dropDuplicates([doc_id, "__key"]).select(*docs.columns)  # repeated rows only
+    return once.unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
