@@ -96,14 +96,15 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("key")))
+    # narrow rows, kept where they were made and made again from the input if an executor is lost
+    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("key")).persist()
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
     sources, total = goals.agg(F.count("*"), F.max("total")).first()
     if not total:
         none = _joined(sized, goals.select(F.col("source").alias("__s"), "source_size", "target"), sources, F.col("source").eqNullSafe(F.col("__s")))
         return none.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "key")
     slots, block = schedule(spark, goals, total, sources)
-    lines = cut(placed(sized, goals, sources, seed))
+    lines = placed(sized, goals, sources, seed).persist()
     # a document's passes through the line, cut at block borders; the first slot ranks above its blocks can't match
     parts = lines.where("size > 0").withColumn("begin", F.explode(F.expr(f"transform(sequence(0, {cap - 1}), p -> p * source_size + start)")))
     parts = parts.where(f"begin <= target + {16 * block}").withColumn("rank", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
@@ -128,7 +129,7 @@ def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     keyed = docs.withColumn("__k", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(plan["__id"]) & (keyed["__k"] == plan["__key"]) & keyed["source"].eqNullSafe(plan["__source"])
     # rows that repeat are equal here, so any of them may carry any of the numbers
-    rows = keyed.join(plan, same)
+    rows = keyed.join(plan.hint("shuffle_hash"), same)  # the side of texts needs no sort
     rest = rows.where("size(__copies) = 1").withColumn("__n", F.element_at("__copies", 1))
     nth = F.row_number().over(Window.partitionBy("__id", "__key", "__source").orderBy("__k"))
     again = rows.where("size(__copies) > 1").withColumn("__i", nth).where("__i <= size(__copies)").withColumn("__n", F.expr("element_at(__copies, __i)")).drop("__i")
