@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import appended, table
 
 #: Where the query's vocabulary lies; any SentencePiece model file will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN_PENALTY, REMEMBERED, AT_ONCE = 10.0, 150_000, 256
+UNKNOWN_PENALTY, REMEMBERED = 10.0, 100_000
 
 
 @dataclass(frozen=True)
@@ -155,33 +154,18 @@ def _texts(ids: list[list[int] | None], enc: Encoder) -> list[str | None]:
     return [None if x is None else enc.decode(x) for x in ids]
 
 
-def _appended(rows: DataFrame, source: str, schema: str, compute) -> DataFrame:
-    """rows with the columns of schema, from compute(values of source, a few rows at a time, so that a batch stays small)."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kept = rows.drop(*[n for n in names if n != source])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(at, AT_ONCE)
-                yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(b.schema.get_field_index(source)))], [*b.schema.names, *names])
-
-    return kept.mapInArrow(run, f"{fields}, {schema}")
-
-
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of a text as array<int>; null stays null, an empty text has none.
 
     Texts of any length are encoded whole; a literal U+2581 is kept apart from spaces (as bytes); equal texts get
     equal ids; a column of docs that is called like ids is replaced; an empty table stays empty.
     """
-    return _appended(docs, text, f"{ids} array<int>", lambda c: [_ids(c.to_pylist(), _encoder(vocabulary))])
+    return appended(docs, text, f"{ids} array<int>", lambda c: [_ids(c.to_pylist(), _encoder(vocabulary))])
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of an array of ids: the inverse of encoded; null stays null, unknown ids give U+FFFD."""
-    return _appended(rows, ids, f"{text} string", lambda c: [pa.array(_texts(c.to_pylist(), _encoder(vocabulary)), pa.string())])
+    return appended(rows, ids, f"{text} string", lambda c: [pa.array(_texts(c.to_pylist(), _encoder(vocabulary)), pa.string())])
 
 
 def tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -193,7 +177,7 @@ def tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         back = _texts(ids.to_pylist(), enc)
         return [ids, pa.array([a == b for a, b in zip(texts, back)])]
 
-    done = _appended(docs.select("doc_id", "text"), "text", "ids array<int>, exact boolean", both)
+    done = appended(docs.select("doc_id", "text"), "text", "ids array<int>; exact boolean", both)
     return done.select("doc_id", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"), "exact")
 
 

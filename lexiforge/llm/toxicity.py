@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import held_out, table
+from lexiforge.llm.common import appended, held_out, table
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z = 9000, 4096, 3, 3.0
 TOXIC = 0.7
@@ -49,10 +49,17 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, str]]:
 class Memo(dict):
     """word -> the places of its known features; it forgets everything when it grows too large."""
 
-    def __init__(self, known: dict[str, int], most: int = 500_000):
+    def __init__(self, known: dict[str, int], most: int = 200_000):
         super().__init__()
         self.known, self.most = known, most
 
+    @classmethod
+    def of(cls, known: dict[str, int]) -> Memo:
+        """One for the calls of a task: the last is kept while known is the same object."""
+        if not _MEMOS or _MEMOS[0].known is not known:
+            _MEMOS[:] = [cls(known)]
+        return _MEMOS[0]
+
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
@@ -61,6 +68,10 @@ class Memo(dict):
         return got
 
 
+_MEMOS: list[Memo] = []
+_TOXICITY = pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
+
+
 def bag(text: str | None, memo: Memo) -> tuple[list[tuple[int, int, list[int]]], int]:
     """Sentences with known features, and the number of the others."""
     hit, others = [], 0
@@ -156,20 +167,18 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = list(model.weights)
     known, w, bias = {f: i for i, f in enumerate(names)}, np.array([model.weights[f] for f in names]), model.bias
 
-    @F.pandas_udf("struct<score:double,offending:array<struct<start:int,end:int,score:double>>>")
-    def of(col):
-        import pandas as pd
-
-        memo, rows = Memo(known), []
-        for t in col:
+    def of(col: pa.Array) -> list[pa.Array]:
+        memo, out = Memo.of(known), []
+        for t in col.to_pylist():
             hit, others = bag(t, memo)
             x = np.array([bias + w[f].sum() for _, _, f in hit])
             clean = np.logaddexp(0, x).sum() + others * np.logaddexp(0, bias)
             p = 1 / (1 + np.exp(-x))
-            rows.append((float(min(1.0, max(0.0, -np.expm1(-clean)))), [{"start": a, "end": b, "score": float(q)} for (a, b, _), q in zip(hit, p) if q >= 0.5]))
-        return pd.DataFrame(rows, columns=["score", "offending"], index=col.index)
+            found = [{"start": a, "end": b, "score": float(q)} for (a, b, _), q in zip(hit, p) if q >= 0.5]
+            out.append({"score": float(min(1.0, max(0.0, -np.expm1(-clean)))), "offending": found})
+        return [pa.array(out, _TOXICITY)]
 
-    return docs.withColumn("toxicity", of(F.col(text)))
+    return appended(docs, text, "toxicity struct<score:double,offending:array<struct<start:int,end:int,score:double>>>", of)
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
