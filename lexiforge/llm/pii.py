@@ -69,13 +69,16 @@ def _permuted(text: Column, tweak: Column, key: str) -> Column:
     values = F.transform(live, lambda c: F.ascii(c) - _class(c)["b"])
     new = _feistel(values, F.transform(live, lambda c: _class(c)["r"]), tweak, key)
 
-    def put(acc, c):
-        kind = _class(c)
-        there = kind["r"] > 0
-        char = F.when(there, F.chr(F.get(new, acc["i"]) + kind["b"])).otherwise(c)
-        return F.struct(F.concat(acc["s"], char).alias("s"), (acc["i"] + there.cast("int")).alias("i"))
+    def rebuilt(values):
+        def put(acc, c):
+            kind = _class(c)
+            there = kind["r"] > 0
+            char = F.when(there, F.chr(F.get(values, acc["i"]) + kind["b"])).otherwise(c)
+            return F.struct(F.concat(acc["s"], char).alias("s"), (acc["i"] + there.cast("int")).alias("i"))
 
-    return F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), put, lambda acc: acc["s"])
+        return F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), put, lambda acc: acc["s"])
+
+    return F.get(F.transform(F.array(new), rebuilt), F.lit(0))  # a lambda binds the permuted values once
 
 
 def _digits(text: Column) -> Column:
