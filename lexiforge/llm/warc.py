@@ -128,7 +128,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = _Roll(folder, "pages", ".warc.gz")
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):  # pages may be long
             rows = []
             for page_id, url, html, top, revisit, k in zip(*(c.to_pylist() for c in b.columns)):
                 data = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), top, revisit), 5, mtime=0)
@@ -170,8 +170,8 @@ def build_index(written: DataFrame, folder: str, lines: int = LINES) -> list[tup
         roll.close()
 
     ordered = written.repartitionByRange("k").sortWithinPartitions("k", "file", "start")
-    # a checkpoint, not collect alone: the parts' files must be those that the master list names
-    return sorted(map(tuple, cut(ordered.mapInArrow(out, "k string, file string, start long, length long")).collect()))
+    # one job, whose finished tasks alone report their parts: a row for each index partition
+    return sorted(map(tuple, ordered.mapInArrow(out, "k string, file string, start long, length long").collect()))
 
 
 def look_up(requests: DataFrame, folder: str, master: list[tuple[str, str, int, int]]) -> DataFrame:

@@ -269,7 +269,7 @@ def test_pieces_are_optimal_and_round_trip(spark, odd, empty):
     enc, score = sentencepieces.Encoder(v), {300 + i: s for i, s in enumerate(pieces.values())}
     for _ in range(300):
         t = "".join(rng.choices("aab b\nc▁é", k=rng.randint(0, 25)))
-        ids = enc.encode(t).tolist()
+        ids = np.frombuffer(enc.encode(t), np.int32).tolist()
         total = sum(score.get(i, 0) for i in ids)
         lone = sum(1 for c in (" " + t if t else t) if c not in pieces and c not in "ab ") if t else 0
         best = plain_best(" " + t, pieces, v.unknown_score) if t else 0
