@@ -42,24 +42,26 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1, seed: int = 42, once: bool = False) -> bytes:
-    """SimHash of 64 * words bits, big-endian; a text without words (or null) gives zero.  once: repeats of a shingle count once."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the text's shingles of words in order; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     toks = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not toks:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     digest, n = xxhash.xxh64_intdigest, max(1, len(toks) - shingle + 1)
     line = b" ".join(toks)
     size = np.fromiter(map(len, toks), np.int64, len(toks))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[:n].tolist()
     stop = end[min(shingle, len(toks)) - 1 :].tolist()
-    counts = np.zeros(64 * words, np.int64)
-    whole = np.fromiter((digest(line[s:e], seed) for s, e in zip(start, stop)), np.uint64, n)
-    if once:
-        whole = np.unique(whole)
-        n = len(whole)
+    return np.fromiter((digest(line[s:e], seed) for s, e in zip(start, stop)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
+    """SimHash of 64 * words bits, big-endian; a text without words (or null) gives zero."""
+    whole = shingle_hashes(text, shingle, seed)
+    n, counts = len(whole), np.zeros(64 * words, np.int64)
     for a in range(0, n, 32768):  # bounded memory for very long texts
         h = whole[a : a + 32768]
         for k in range(words):
@@ -76,35 +78,24 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, word
 class Ring:
     """Segments, budgets and index keys for fingerprints of so many bits."""
 
-    def __init__(self, bits: int, tau: int, segments: int, chain_tau: int | None = None):
-        self.bits, self.tau, self.m, self.words, self.rest = bits, tau, segments, bits // 64, None
+    def __init__(self, bits: int, tau: int, segments: int):
+        self.bits, self.tau, self.m, self.words = bits, tau, segments, bits // 64
         edge = [round(j * bits / segments) for j in range(segments + 1)]
         self.spans = list(zip(edge, edge[1:]))
         self.masks = np.zeros((segments, self.words), np.uint64)
         for j, (a, b) in enumerate(self.spans):
             for k in range(a, b):
                 self.masks[j, k // 64] |= np.uint64(1 << (63 - k % 64))
-        self.budget = [math.floor(n * (chain_tau or tau) / segments) for n in range(segments + 1)]
+        self.budget = [math.floor(n * tau / segments) for n in range(segments + 1)]
         exact = max(n for n in range(segments) if n * tau < segments)
         one = max(n for n in range(segments) if n * tau < 2 * segments)
         left = list(range(exact, one))  # of these one may differ
         keep = [[j for j in left if j != out] for out in left] if left else [[]]
         self.patterns = [(i, [(i + j) % segments for j in [*range(exact), *more]]) for i in range(segments) for more in keep]
 
-    @classmethod
-    def near(cls, bits: int, tau: int, segments: int, chain: int, rest: int) -> Ring:
-        """Keys that are complete up to tau, chains within chain, and a second fingerprint behind the first within rest.
-
-        Pairs of more than tau differing bits in the first fingerprint share a key with a probability that is measured
-        (see README); the second fingerprint decides.
-        """
-        ring = cls(bits, tau, segments, chain)
-        ring.tau, ring.rest = chain, rest
-        return ring
-
     def keys(self, fps: np.ndarray) -> np.ndarray:
         """(n, patterns) of int64 keys."""
-        segs, fps = [], fps[:, : self.words]
+        segs = []
         bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
         for a, b in self.spans:
             segs.append(bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)[::-1]))
@@ -121,11 +112,9 @@ class Ring:
         alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
         for n in range(1, self.m + 1):
             mask = self.masks[(start[alive] + n - 1) % self.m]
-            total = total + np.bitwise_count(x[alive, : self.words] & mask).sum(axis=1, dtype=np.int64)
+            total = total + np.bitwise_count(x[alive] & mask).sum(axis=1, dtype=np.int64)
             ok = total <= self.budget[n]
             alive, total = alive[ok], total[ok]
-        if self.rest is not None:
-            alive = alive[np.bitwise_count(x[alive, self.words :]).sum(axis=1, dtype=np.int64) <= self.rest]
         return alive
 
 
@@ -240,7 +229,12 @@ def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> D
 def classes_with_component(docs: DataFrame, ring: Ring, rep: str = "rep", fp: str = "fp") -> DataFrame:
     """Rows (fp, rep): for each distinct fingerprint the smallest non-null rep of its component.  docs: (rep, fp)."""
     first = cut(docs.groupBy(fp).agg(F.min(rep).alias("own")))
-    roots = components(links(first.select(fp), ring, fp))
+    return _placed(first, links(first.select(fp), ring, fp), rep, fp)
+
+
+def _placed(first: DataFrame, edges: DataFrame, rep: str, fp: str) -> DataFrame:
+    """Rows (fp, rep) of classes first (fp, own) whose components the edges (a, b) make."""
+    roots = components(edges)
     placed = first.join(roots, first[fp] == roots["node"], "left").select(
         fp, "own", "root", F.col("root").isNull().alias("alone")
     )
@@ -263,28 +257,219 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(comp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's stage.  The second fingerprint, of five-word shingles, decides: Jaccard 0.8 of shingle sets means a
-#: cosine of 8/9 and so, on average, 256 * acos(8/9) / pi = 38.8 differing bits with a standard deviation of 5.7; one
-#: deviation is allowed.  The first, of single words, is the index: such pairs differ in about 17 of its bits.
-STAGE_RING = dict(bits=256, tau=12, segments=28, chain=48, rest=44)
+#: The pipeline's stage: two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 4/5 or
+#: more, so i common of a and b shingles link when 9 * i >= 4 * (a + b).
+#: Keys of at most SMALL classes are paired one by one, the others in blocks of BLOCK; SAMPLE classes tell common shingles.
+SMALL, BLOCK, SAMPLE, COMMON, SEEN = 64, 512, 10_000, 100_000, 500_000
+#: A pair (x, y) of index rows that may link, by their sizes and by what is left behind the shared key in both.
+_MAY_LINK = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
+
+
+def _as_hashes(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint64)
+
+
+def shingle_sets(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> DataFrame:
+    """Rows (rep, fp, id, n, set): digest, its first 64 bits, size and sorted hashes of each text's shingle set.
+
+    Texts with equal sets are one class (equal fp).  A task gives the set of a class once and null after that, so a hot
+    group of copies stays narrow; an empty set has no use and is null as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[bytes] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b, rows = whole.slice(at, 256), []
+                for t in b.column(1).to_pylist():
+                    own = np.unique(shingle_hashes(t, shingle)).tobytes()
+                    fp = xxhash.xxh3_128_digest(own)
+                    rows.append((fp, int.from_bytes(fp[:8], "big", signed=True), len(own) // 8, own if own and fp not in seen else None))
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(fp)
+                fps, ids, n, sets = zip(*rows)
+                arrays = [b.column(0), pa.array(fps, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["rep", "fp", "id", "n", "set"])
+
+    own = docs.select(F.col(rep).alias("rep"), F.col(text).alias("text"))
+    return own.mapInArrow(run, f"rep {own.schema['rep'].dataType.simpleString()}, fp binary, id long, n int, set binary")
+
+
+def _common_shingles(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of the classes shares, and their ranks from rare to common.
+
+    Only the order of index keys depends on them, so they change the work and never the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_as_hashes(value).view(np.int64))], ["h"])
+
+    every = max(1, own.count() // SAMPLE)
+    some = own.where(F.pmod("id", F.lit(every)) == 0).select("set").mapInArrow(run, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("k")).where("k > 3").orderBy(F.desc("k"), "h").limit(COMMON).toArrow()
+    h, k = top["h"].to_numpy().view(np.uint64), top["k"].to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, k))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def _index(own: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Rows (key, id, n, pos) of the keys that classes share: in one order of all shingles, the first n // 5 + 1 of each set.
+
+    Sets of Jaccard similarity 4/5 have 4/5 of the greater in common, so they share a key (exact, nothing is lost); pos is
+    the key's place.  The order takes shingles that few hold first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                keys, sizes = [], []
+                for value in whole.column(1).slice(at, 256).to_pylist():
+                    s = _as_hashes(value)
+                    first = len(s) // 5 + 1
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        late = np.where(common[place] == s, rank[place], 0)
+                        s = s[np.argsort(late, kind="stable")]
+                    keys.append(s[:first])
+                    sizes.append(first)
+                ids, n = (whole.column(k).slice(at, 256).to_numpy() for k in (0, 2))
+                pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
+                arrays = [np.concatenate(keys).view(np.int64), np.repeat(ids, sizes), np.repeat(n, sizes), pos]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "id", "n", "pos"])
+
+    by_key = Window.partitionBy("key")
+    keyed = own.select("id", "set", "n").mapInArrow(run, "key long, id long, n int, pos int").repartition("key").dropDuplicates(["key", "id"])
+    return keyed.withColumn("m", F.count("*").over(by_key)).where("m > 1")
+
+
+def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (a, b) of fps: those of the pairs (a, b) of ids whose sets have a Jaccard similarity of 4/5 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ok = []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    x, y = _as_hashes(x), _as_hashes(y)
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    ok.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
+                keep = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    need = own.join(ids, "id", "left_semi").dropDuplicates(["id", "fp"])
+    x, y = (need.select(F.col("id").alias(side), F.col("fp").alias(f"f{side}"), F.col("set").alias(f"s{side}")) for side in "ab")
+    return pairs.join(x, "a").join(y, "b").select("fa", "fb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _block_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row numbers) of a block's rows (first, second, root, set) between rows of different roots.
+
+    Pairs are all of one row in the first tile and one in the second; their common shingles are a matrix product.
+    """
+    sets = [_as_hashes(v) for v in rows["set"].to_pylist()]
+    size = np.array([len(s) for s in sets])
+    left, right = (np.flatnonzero(rows[k].to_numpy()) for k in ("first", "second"))
+    lab = np.unique(np.array(rows["root"].to_pylist(), object), return_inverse=True)[1]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    owner, column = owner[times[column] > 1], (np.cumsum(times > 1) - 1)[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    inter, width = np.zeros((len(left), len(right)), np.float32), 2048
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        inter += held[left] @ held[right].T
+    ok = (9 * inter.astype(np.int64) >= 4 * (size[left][:, None] + size[right][None, :])) & (lab[left][:, None] != lab[right][None, :])
+    i, j = np.nonzero(ok)
+    root = _forest(len(sets), left[i], right[j])
+    moved = np.flatnonzero(root != np.arange(len(sets)))
+    return moved, root[moved]
+
+
+def _links_in_blocks(hot: DataFrame, own: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """Further links (a, b) among classes that share a key of hot, where the links so far leave them apart; None if nowhere."""
+    roots = components(linked)
+    named = hot.select("key", "id", "n").join(own.select("id", "fp").distinct(), "id").join(roots, F.col("fp") == F.col("node"), "left")
+    named = cut(named.select("key", "id", "n", "fp", F.coalesce("root", "fp").alias("root")))
+    apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s").select("key", "m")
+    apart = cut(apart)
+    if apart.isEmpty():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def solve() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            node, root = _block_links(rows)
+            fps = rows["fp"].combine_chunks()
+            return pa.RecordBatch.from_arrays([fps.take(pa.array(node)), fps.take(pa.array(root))], ["a", "b"])
+
+        for batch in batches:
+            run_of = [batch.column(k).to_numpy() for k in range(3)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in run_of], axis=0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if (now := tuple(int(x[a]) for x in run_of)) != last and held:
+                    yield solve()
+                    held.clear()
+                last = now
+                held.append(batch.slice(a, b - a).select(["first", "second", "fp", "root", "set"]))
+        if held:
+            yield solve()
+
+    by_key = Window.partitionBy("key").orderBy("n", "fp")
+    dealt = (
+        named.join(apart, "key").withColumn("own", F.floor((F.row_number().over(by_key) - 1) / BLOCK).cast("int"))
+        .withColumn("other", F.explode(F.expr(f"sequence(0, int((m - 1) div {BLOCK}))")))
+        .withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")})
+        .join(own.select("fp", "set").dropDuplicates(["fp"]), "fp")
+        .select("key", "ti", "tj", (F.col("own") == F.col("ti")).cast("int").alias("first"), (F.col("own") == F.col("tj")).cast("int").alias("second"), "fp", "root", "set")
+    )
+    return dealt.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def with_stage_fingerprint(docs: DataFrame, text: str, shingle: int = 5, name: str = "fp") -> DataFrame:
-    """docs with the two fingerprints of the pipeline's stage, over distinct shingles."""
-    both = lambda t: fingerprint(t, 1, 4, once=True) + fingerprint(t, shingle, 4, once=True)
-    return appended(docs, text, f"{name} binary", lambda c: [pa.array([both(t) for t in c.to_pylist()], pa.binary())])
+def jaccard_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of fps that connect exactly what pairs of sets with a Jaccard similarity of 4/5 or more connect."""
+    own = sets.where("set is not null").select("id", "fp", "n", "set")
+    met = cut(_index(own, *_common_shingles(own)))
+    few, hot = met.where(f"m <= {SMALL}"), met.where(f"m > {SMALL}")
+    pairs = few.alias("x").join(few.alias("y"), "key").where(f"x.id < y.id and {_MAY_LINK}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if hot.isEmpty():
+        return _verified(cut(pairs.distinct()), own)
+    # a hot group mostly hangs together by its links to one member; what these leave apart is compared in blocks
+    star = hot.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c")).join(hot, "key")
+    star = star.where("c.id < id and 5 * least(c.n, n) >= 4 * greatest(c.n, n)").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
+    linked = cut(_verified(cut(pairs.union(star).distinct()), own))
+    more = _links_in_blocks(hot, own, linked)
+    return linked if more is None else linked.union(more)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """docs without near copies: of each component the row with the smallest id stays (null ids last, then by text hash).
 
-    Two documents are near copies at a SimHash-estimated Jaccard similarity of 0.8 of five-word shingles.
-    Exact copies always share a fingerprint.  Repeated rows (same id and text) leave one.  Columns are kept as they are.
+    Two documents are near copies at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, found without
+    loss and compared exactly (by 64-bit hashes of the shingles).  Texts without words are copies of each other.
+    Repeated rows (same id and text) leave one.  Columns are kept as they are.
     """
-    ring = Ring.near(**STAGE_RING)
     rep = F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
-    prints = cut(with_stage_fingerprint(docs.select(rep.alias("rep"), F.col(text).alias("__t")), "__t", shingle).select("rep", "fp"))
-    best = classes_with_component(prints, ring).select("rep").distinct().join(prints.groupBy("rep").agg(F.count("*").alias("__n")), "rep")
+    sets = cut(shingle_sets(docs.select(rep.alias("rep"), F.col(text).alias("__t")), "rep", "__t", shingle))
+    first = cut(sets.groupBy("fp").agg(F.min("rep").alias("own")))
+    best = _placed(first, jaccard_links(sets), "rep", "fp").select("rep").distinct()
+    best = best.join(sets.groupBy("rep").agg(F.count("*").alias("__n")), "rep")
     best = best.select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h"), "__n")
     keyed = docs.withColumn("__key", F.xxhash64(text))
     same = keyed[doc_id].eqNullSafe(best["__id"]) & (keyed["__key"] == best["__h"])
