@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lexiforge.llm import simhash
 
 COLUMNS = "doc_id long, text string"
@@ -58,3 +60,35 @@ def _kept(spark, rows):
 def test_near_copies_with_passages_are_found(spark):
     rows = _pairs([0.05, 0.1, 0.14, 0.18, 0.2, 0.22, 0.24, 0.26, 0.3], ["appended", "deleted", "scattered"], 1)
     assert _kept(spark, rows) == _expected(rows)
+
+
+def test_texts_that_share_less_stay(spark):
+    """Templates at 0.6 to 0.79 are no copies; every similarity is checked exactly."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40):
+        base = [f"a{rng.randrange(10**6)}" for _ in range(200)]
+        k = rng.randint(52, 90)  # 196 shingles, of which 196 / (196 + k) are common
+        rows += [" ".join(base), " ".join(base + [f"b{rng.randrange(10**6)}" for _ in range(k)])]
+    rows = list(enumerate(rows))
+    assert _expected(rows) == list(range(80))
+    assert _kept(spark, rows) == list(range(80))
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_large_groups_of_one_template(spark, monkeypatch, small):
+    """A group around 0.8 of each other: some pairs link, others don't, in pairs and in blocks."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = random.Random(4)
+    base = [f"a{k}" for k in range(120)]
+    rows = []
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy + [f"y{rng.randrange(10**6)}" for _ in range(rng.choice([0, 5, 12, 30]))]))
+    rows = list(enumerate(rows))
+    want = _expected(rows)
+    assert 3 < len(want) < 57
+    assert _kept(spark, rows) == want
