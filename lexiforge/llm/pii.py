@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Candidates are found by one regex; those that pass their kind's check (a card's Luhn digit, an address's octets, a
-social number's areas, a real date) are replaced in place by a keyed permutation of their own format: digits become
+social number's areas, a real date) are replaced, and one that fails is searched for parts of a usual form that pass; these are replaced in place by a keyed permutation of their own format: digits become
 digits, letters become letters of the same case, separators stay, check digits are made anew, and dates stay dates.
 The permutation is a Feistel network over the value's digits (or the day's number), so it is one-to-one, equal values
 become equal pseudonyms in every document, and no table of values is kept.
@@ -19,16 +19,31 @@ from lexiforge.llm.common import table
 #: Kinds in the order in which a match is tried.
 KINDS = ("email", "date", "ip", "ssn", "card", "phone")
 _EDGE, _END = r"(?<![A-Za-z0-9._%+@-])", r"(?![A-Za-z0-9@])"
+_DATE_END = r"(?:(?![A-Za-z0-9@])|(?=T[0-9]{2}:?[0-9]{2}))"  # a time may follow
 #: One pattern for each kind; a run of characters is entered at its left edge only, so long runs cost linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
+    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _DATE_END,
     "ip": _EDGE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
-    "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
-    "phone": r"(?<![A-Za-z0-9._%@-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}" + _END,
+    "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,}" + _END,
+    "phone": r"(?<![A-Za-z0-9._%@-])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4})" + _END,
 }
 CANDIDATE = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
+#: Forms of the parts that are tried in a candidate that fails as a whole; the last only at its start.
+PARTS = (
+    r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}",
+    r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}",
+    r"[0-9]{13,19}",
+    r"[0-9]{4}([-/])[0-9]{2}\2[0-9]{2}",
+    r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
+    r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    r"(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    r"[0-9](?:[ -]?[0-9]){12,18}",
+)
+#: Characters of a candidate that a part may take, and one more.
+PART_WINDOW = 40
 ROUNDS = 6
 #: Days are numbered from this one through 400 Gregorian years, 146097 = 189 * 773 days.
 FIRST_DAY, DAYS, DAY_LOW = "1800-01-01", 146097, 773
@@ -98,7 +113,7 @@ def _day(match: Column) -> Column:
 
 
 def _whole(kind: str) -> str:
-    return "^(?:" + PATTERNS[kind].replace(_EDGE, "").replace(_END, "").replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9._%@-])", "") + ")$"
+    return "^(?:" + PATTERNS[kind].replace(_EDGE, "").replace(_DATE_END, "").replace(_END, "").replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9._%@-])", "") + ")$"
 
 
 def kind_of(match: Column) -> Column:
@@ -114,11 +129,34 @@ def kind_of(match: Column) -> Column:
         .when(is_a["date"], F.when(F.coalesce(days.between(0, DAYS - 1), F.lit(False)), "date"))
         .when(is_a["ip"], F.when(octets, "ip"))
         .when(is_a["ssn"], F.when(ssn, "ssn"))
-        .when(is_a["card"] & (_luhn_sum(_digits(match)) % 10 == 0), "card")
+        .when(is_a["card"] & n.between(13, 19) & (_luhn_sum(_digits(match)) % 10 == 0), "card")
         .when(is_a["phone"] & n.between(8, 15), "phone")
     )
 
 
+def _parts(match: Column) -> Column:
+    """A failed candidate in pieces, array<struct<old, kind>>: from the left the parts of PARTS that pass, and what lies between."""
+    piece = "array<struct<old:string,kind:string>>"
+    between = lambda a, b: F.array(F.struct(F.substr(match, a, b - a).alias("old"), F.lit(None).cast("string").alias("kind")))
+
+    def step(acc, p):
+        ahead = F.substr(match, p, F.lit(PART_WINDOW))
+        tries = [F.regexp_extract(ahead, f"^({form})(?![0-9])", 1) for form in PARTS[:-1]]
+        tries.append(F.when(p == 1, F.regexp_extract(ahead, f"^({PARTS[-1]})(?![0-9])", 1)).otherwise(""))
+        judged = F.transform(F.filter(F.array(*tries), lambda t: t != ""), lambda t: F.struct(t.alias("old"), kind_of(t).alias("kind")))
+        hits = F.slice(F.filter(judged, lambda x: x["kind"].isNotNull()), 1, 1)
+
+        def taken(hits):
+            length = F.length(F.get(hits, F.lit(0))["old"])
+            return F.struct((p + length).alias("next"), F.concat(acc["done"], between(acc["next"], p), hits).cast(piece).alias("done"))
+
+        starts = (p >= acc["next"]) & F.substr(match, p, F.lit(1)).rlike("[0-9+(]") & ((p == 1) | ~F.substr(match, p - 1, F.lit(1)).rlike("[0-9]"))
+        return F.when(starts, F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, taken(h)).otherwise(acc)), F.lit(0))).otherwise(acc)
+
+    zero = F.struct(F.lit(1).alias("next"), F.array().cast(piece).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(match)), zero, step, lambda acc: F.concat(acc["done"], between(acc["next"], F.length(match) + 1)))
+
+
 def pseudonym(match: Column, kind: Column, key: str) -> Column:
     """The keyed pseudonym of a match of that kind, in the same format."""
     local = F.substring_index(match, "@", 1)
@@ -155,18 +193,21 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = "lexiforge", text: str = "text") -> DataFrame:
     """docs with its text rewritten and a column pii: array<struct<kind, new>> of the replacements in order.
 
-    key is the secret; the same key gives the same pseudonyms in every run.  What fails its kind's check stays as it
-    is, and so do all other characters; the length in code points is kept except where an octet's changes.  A null
+    key is the secret; the same key gives the same pseudonyms in every run.  What fails its kind's check is
+    searched for parts that pass (a card beside other digits) and stays else as it is, and so do all other characters; the length in code points is kept except where an octet's changes.  A null
     text stays null with no replacements; empty texts and an empty table give none; rows that repeat change alike;
     a column of docs that is called pii is replaced.
     """
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(F.col(text), CANDIDATE, -1)
-    judged = F.transform(found, lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
-    replaced = F.transform(judged, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["old"]).otherwise(pseudonym(x["old"], x["kind"], key)).alias("new")))
+    whole = lambda m, kind: F.array(F.struct(m.alias("old"), kind.alias("kind")))
+    judged = F.transform(found, lambda m: F.get(F.transform(F.array(kind_of(m)), lambda k: F.when(k.isNull() & (F.length(m) > 8), _parts(m)).otherwise(whole(m, k))), F.lit(0)))
+    changed = lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["old"]).otherwise(pseudonym(x["old"], x["kind"], key)).alias("new"))
+    replaced = F.transform(judged, lambda pieces: F.transform(pieces, changed))
     out = docs.withColumn("__new", F.when(F.col(text).rlike("[0-9@]") & (F.size(found) > 0), replaced))
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), F.col("__new.new").alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
-    hits = F.coalesce(F.filter("__new", lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,new:string>>"))
+    news = F.transform("__new", lambda pieces: F.array_join(F.transform(pieces, lambda x: x["new"]), ""))
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), news.alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
+    hits = F.coalesce(F.filter(F.flatten("__new"), lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,new:string>>"))
     rewritten = F.when(F.size(hits) > 0, joined).otherwise(F.col(text))
     return out.withColumns({"pii": hits, text: rewritten}).drop("__new")
 
