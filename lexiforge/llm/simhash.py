@@ -58,16 +58,20 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray
     return np.fromiter((digest(line[s:e], seed) for s, e in zip(start, stop)), np.uint64, n)
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
-    """SimHash of 64 * words bits, big-endian; a text without words (or null) gives zero."""
-    whole = shingle_hashes(text, shingle, seed)
-    n, counts = len(whole), np.zeros(64 * words, np.int64)
-    for a in range(0, n, 32768):  # bounded memory for very long texts
-        h = whole[a : a + 32768]
+def folded(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of 64 * words bits of hashes, big-endian: a bit is set if more than half of the hashes set it; zero without any."""
+    counts = np.zeros(64 * words, np.int64)
+    for a in range(0, len(hashes), 32768):  # bounded memory for very long texts
+        h = hashes[a : a + 32768]
         for k in range(words):
             bits = np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             counts[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n).tobytes()
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
+    """SimHash of the text's shingles, repeats included; a text without words (or null) gives zero."""
+    return folded(shingle_hashes(text, shingle, seed), words)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, words: int = 1, name: str = "fp") -> DataFrame:
@@ -117,6 +121,21 @@ class Ring:
             alive, total = alive[ok], total[ok]
         return alive
 
+    def near(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Which of the given rows of x (differences of pairs) are within tau: those with a start whose chains keep within budget.
+
+        Rows without such a start are dropped as soon as it is known; the last chain is the full Hamming distance.
+        """
+        alive = np.arange(len(x)) if rows is None else rows
+        seg = np.stack([np.bitwise_count(x[alive] & m).sum(axis=1, dtype=np.int64) for m in self.masks], axis=1)
+        total, going = np.zeros_like(seg), np.ones(seg.shape, bool)
+        for n in range(1, self.m + 1):
+            total += np.roll(seg, 1 - n, axis=1)
+            going &= total <= self.budget[n]
+            keep = going.any(axis=1)
+            alive, seg, total, going = alive[keep], seg[keep], total[keep], going[keep]
+        return alive
+
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Label of each of n nodes: the smallest index in its component of links (i, j)."""
@@ -229,12 +248,7 @@ def links(classes: DataFrame, ring: Ring, fp: str = "fp", tile: int = TILE) -> D
 def classes_with_component(docs: DataFrame, ring: Ring, rep: str = "rep", fp: str = "fp") -> DataFrame:
     """Rows (fp, rep): for each distinct fingerprint the smallest non-null rep of its component.  docs: (rep, fp)."""
     first = cut(docs.groupBy(fp).agg(F.min(rep).alias("own")))
-    return _placed(first, links(first.select(fp), ring, fp), rep, fp)
-
-
-def _placed(first: DataFrame, edges: DataFrame, rep: str, fp: str) -> DataFrame:
-    """Rows (fp, rep) of classes first (fp, own) whose components the edges (a, b) make."""
-    roots = components(edges)
+    roots = components(links(first.select(fp), ring, fp))
     placed = first.join(roots, first[fp] == roots["node"], "left").select(
         fp, "own", "root", F.col("root").isNull().alias("alone")
     )
@@ -259,59 +273,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: The pipeline's stage: two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 4/5 or
 #: more, so i common of a and b shingles link when 9 * i >= 4 * (a + b).
-#: Keys of at most SMALL classes are paired one by one, the others in blocks of BLOCK; SAMPLE classes tell common shingles.
-SMALL, BLOCK, SAMPLE, COMMON, SEEN = 64, 512, 10_000, 100_000, 500_000
+#: Keys that at most SMALL classes share are paired one by one, others in blocks of BLOCK (DENSE: with more pairs a row than
+#: that, a block's texts are compared together); a group of pairs has about MEMBERS; SAMPLE texts tell common shingles.
+SMALL, BLOCK, DENSE, MEMBERS, SAMPLE, COMMON, SEEN = 64, 512, 4, 256, 10_000, 100_000, 200_000
 #: A pair (x, y) of index rows that may link, by their sizes and by what is left behind the shared key in both.
-_MAY_LINK = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
-
-
-def _as_hashes(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.uint64)
-
-
-def shingle_sets(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> DataFrame:
-    """Rows (rep, fp, id, n, set): digest, its first 64 bits, size and sorted hashes of each text's shingle set.
+_MAY_LINK = "5 * least({x}n, {y}n) >= 4 * greatest({x}n, {y}n) and 9 * least({x}n - {x}pos, {y}n - {y}pos) >= 4 * ({x}n + {y}n)"
+#: At a Jaccard similarity of 4/5, fingerprints of 256 bits differ in 39 bits, with a deviation of 6: 76 are 6.5 deviations off.
+#: The estimate holds for large sets; pairs with fewer than WIDE shingles go to the exact comparison at once.
+STAGE_RING, WIDE = (256, 76, 16), 64
 
-    Texts with equal sets are one class (equal fp).  A task gives the set of a class once and null after that, so a hot
-    group of copies stays narrow; an empty set has no use and is null as well.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
 
-        seen: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b, rows = whole.slice(at, 256), []
-                for t in b.column(1).to_pylist():
-                    own = np.unique(shingle_hashes(t, shingle)).tobytes()
-                    fp = xxhash.xxh3_128_digest(own)
-                    rows.append((fp, int.from_bytes(fp[:8], "big", signed=True), len(own) // 8, own if own and fp not in seen else None))
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(fp)
-                fps, ids, n, sets = zip(*rows)
-                arrays = [b.column(0), pa.array(fps, pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["rep", "fp", "id", "n", "set"])
 
-    own = docs.select(F.col(rep).alias("rep"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"rep {own.schema['rep'].dataType.simpleString()}, fp binary, id long, n int, set binary")
+def _rare_first(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set in the order of index keys: shingles that few hold first, then the common ones by rank."""
+    if len(common):
+        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.argsort(np.where(common[place] == s, rank[place], 0), kind="stable")]
+    return s
 
 
-def _common_shingles(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that a sample of the classes shares, and their ranks from rare to common.
+def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of the texts shares, and their ranks from rare to common.
 
     Only the order of index keys depends on them, so they change the work and never the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for value in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_as_hashes(value).view(np.int64))], ["h"])
+            for value in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_set(value.as_py(), shingle).view(np.int64))], ["h"])
 
-    every = max(1, own.count() // SAMPLE)
-    some = own.where(F.pmod("id", F.lit(every)) == 0).select("set").mapInArrow(run, "h long")
-    top = some.groupBy("h").agg(F.count("*").alias("k")).where("k > 3").orderBy(F.desc("k"), "h").limit(COMMON).toArrow()
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col(text).alias("t")).withColumn("k", F.xxhash64("t")).where(F.pmod("k", F.lit(every)) == 0).dropDuplicates(["k"])
+    counts = some.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 3")
+    top = counts.orderBy(F.desc("k"), "h").limit(COMMON).toArrow()
     h, k = top["h"].to_numpy().view(np.uint64), top["k"].to_numpy()
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, k))] = np.arange(1, len(h) + 1)
@@ -319,104 +317,151 @@ def _common_shingles(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rank[order]
 
 
-def _index(own: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Rows (key, id, n, pos) of the keys that classes share: in one order of all shingles, the first n // 5 + 1 of each set.
+def shingle_classes(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> DataFrame:
+    """Rows (id, fp, n, sim, keys, own), one per distinct shingle set: a number and the set's digest, size, SimHash of 256
+    bits, index keys, and the smallest rep of its documents.  To be stored before use, since the numbers follow the rows.
 
-    Sets of Jaccard similarity 4/5 have 4/5 of the greater in common, so they share a key (exact, nothing is lost); pos is
-    the key's place.  The order takes shingles that few hold first.
+    The keys are the first n // 5 + 1 shingles in one order of all.  Sets of Jaccard similarity 4/5 have 4/5 of the greater
+    in common, so they share a key (exact, nothing is lost).  A task gives the keys of a class once and null after that,
+    so a hot group of copies stays narrow and is aggregated before the shuffle.
     """
+    common, rank = _common_shingles(docs, text, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[bytes] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                keys, sizes = [], []
-                for value in whole.column(1).slice(at, 256).to_pylist():
-                    s = _as_hashes(value)
-                    first = len(s) // 5 + 1
-                    if len(common):
-                        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        late = np.where(common[place] == s, rank[place], 0)
-                        s = s[np.argsort(late, kind="stable")]
-                    keys.append(s[:first])
-                    sizes.append(first)
-                ids, n = (whole.column(k).slice(at, 256).to_numpy() for k in (0, 2))
-                pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
-                arrays = [np.concatenate(keys).view(np.int64), np.repeat(ids, sizes), np.repeat(n, sizes), pos]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "id", "n", "pos"])
+            for at in range(0, whole.num_rows, 64):
+                b, rows = whole.slice(at, 64), []
+                for t in b.column(1).to_pylist():
+                    s = _set(t, shingle)
+                    n, fp = len(s), xxhash.xxh3_128_digest(s.tobytes())
+                    keys = sim = None
+                    if n and fp not in seen:
+                        sim = folded(s, STAGE_RING[0] // 64)
+                        keys = _rare_first(s, common, rank)[: n // 5 + 1].view(np.int64)
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(fp)
+                    rows.append((fp, n, sim, keys))
+                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["rep", "fp", "n", "sim", "keys"])
 
-    by_key = Window.partitionBy("key")
-    keyed = own.select("id", "set", "n").mapInArrow(run, "key long, id long, n int, pos int").repartition("key").dropDuplicates(["key", "id"])
-    return keyed.withColumn("m", F.count("*").over(by_key)).where("m > 1")
+    own = docs.select(F.col(rep).alias("rep"), F.col(text).alias("text"))
+    rows = own.mapInArrow(run, f"rep {own.schema['rep'].dataType.simpleString()}, fp binary, n int, sim binary, keys array<long>")
+    classes = rows.groupBy("fp").agg(F.min("rep").alias("own"), F.max("n").alias("n"), F.max("sim").alias("sim"), F.max("keys").alias("keys"))
+    return classes.withColumn("id", F.monotonically_increasing_id())
 
 
-def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (a, b) of fps: those of the pairs (a, b) of ids whose sets have a Jaccard similarity of 4/5 or more."""
+def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose fingerprints pass the pigeonring chains and the full Hamming check, and small sets."""
+    ring = Ring(*STAGE_RING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ok = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    x, y = _as_hashes(x), _as_hashes(y)
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    ok.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
-                keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    need = own.join(ids, "id", "left_semi").dropDuplicates(["id", "fp"])
-    x, y = (need.select(F.col("id").alias(side), F.col("fp").alias(f"f{side}"), F.col("set").alias(f"s{side}")) for side in "ab")
-    return pairs.join(x, "a").join(y, "b").select("fa", "fb", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-def _block_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row numbers) of a block's rows (first, second, root, set) between rows of different roots.
-
-    Pairs are all of one row in the first tile and one in the second; their common shingles are a matrix product.
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                ok = b.column(4).to_numpy() < WIDE
+                big = np.flatnonzero(~ok)
+                x, y = (_as_words(b.column(k).take(pa.array(big))) for k in (2, 3))
+                ok[big[ring.near(x ^ y)]] = True
+                yield b.select([0, 1]).filter(pa.array(ok))
+
+    x, y = (classes.select(F.col("id").alias(side), F.col("sim").alias(f"s{side}"), F.col("n").alias(f"n{side}")) for side in "ab")
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of fps: those of the pairs (a, b) of ids whose sets, of texts held (id, fp, text), have a Jaccard similarity of 4/5 or more.
+
+    The pairs of one a are dealt into groups of about MEMBERS; a group has the text of a once and those of its partners.
     """
-    sets = [_as_hashes(v) for v in rows["set"].to_pylist()]
-    size = np.array([len(s) for s in sets])
-    left, right = (np.flatnonzero(rows[k].to_numpy()) for k in ("first", "second"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    dealt = pairs.join(many, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), m div {MEMBERS} + 1)").alias("part"))
+    members = dealt.join(held, F.col("b") == F.col("id")).select("a", "part", F.lit(1).alias("turn"), "fp", "text")
+    heads = dealt.select("a", "part").distinct().join(held, F.col("a") == F.col("id")).select("a", "part", F.lit(0).alias("turn"), "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = first = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                got = []
+                for turn, fp, text in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns[2:])):
+                    s = _set(text, shingle)
+                    if turn == 0:
+                        head, first = fp, s
+                        continue
+                    both = np.sort(np.concatenate([first, s]), kind="stable")
+                    if 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both):
+                        got.append((head, fp))
+                if got:
+                    a, b = zip(*got)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    grouped = members.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+    return grouped.mapInArrow(run, "a binary, b binary")
+
+
+def _with_text(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (id, fp, text) of the classes of ids: the text of the class's own document, found by its id and text hash."""
+    want = classes.join(ids, "id").select("id", "fp", F.col("own.id").alias("__id"), F.col("own.h").alias("__h"))
+    same = F.col("doc").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    return cut(texts.withColumnRenamed("id", "doc").join(want.hint("shuffle_hash"), same).select("id", "fp", "text").dropDuplicates(["fp"]))
+
+
+def _block_pairs(rows: pa.Table, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block, one in the first tile and one in the second, that may link: of different roots,
+    by their sizes, and by pigeonring chains and the Hamming distance unless the smaller is small."""
     lab = np.unique(np.array(rows["root"].to_pylist(), object), return_inverse=True)[1]
+    left, right = (np.flatnonzero(rows[k].to_numpy()) for k in ("first", "second"))
+    n, pos, sim = rows["n"].to_numpy(), rows["pos"].to_numpy(), _as_words(rows["sim"].combine_chunks())
+    i, j = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
+    once = i < j if np.array_equal(left, right) else True
+    fit = once & (lab[i] != lab[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+    i, j = i[fit], j[fit]
+    fit = 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
+    i, j = i[fit], j[fit]
+    ok = np.minimum(n[i], n[j]) < WIDE
+    big = np.flatnonzero(~ok)
+    ok[big[ring.near(sim[i[big]] ^ sim[j[big]])]] = True
+    return i[ok], j[ok]
+
+
+def _block_links(rows: pa.Table, ring: Ring, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row numbers) of a block's rows with text; the common shingles of its pairs are a matrix product."""
+    i, j = _block_pairs(rows, ring)
+    if not len(i):
+        return i, j
+    used = np.unique(np.concatenate([i, j]))
+    sets = [_set(t, shingle) for t in rows["text"].take(pa.array(used)).to_pylist()]
+    size = np.array([len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), size)
     owner, column = owner[times[column] > 1], (np.cumsum(times > 1) - 1)[column[times[column] > 1]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    inter, width = np.zeros((len(left), len(right)), np.float32), 2048
+    inter, width = np.zeros((len(used), len(used)), np.float32), 2048
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
-        held = np.zeros((len(sets), width), np.float32)
+        held = np.zeros((len(used), width), np.float32)
         held[owner[a:b], column[a:b] - low] = 1
-        inter += held[left] @ held[right].T
-    ok = (9 * inter.astype(np.int64) >= 4 * (size[left][:, None] + size[right][None, :])) & (lab[left][:, None] != lab[right][None, :])
-    i, j = np.nonzero(ok)
-    root = _forest(len(sets), left[i], right[j])
-    moved = np.flatnonzero(root != np.arange(len(sets)))
+        inter += held @ held.T
+    x, y = np.searchsorted(used, i), np.searchsorted(used, j)
+    ok = 9 * inter[x, y].astype(np.int64) >= 4 * (size[x] + size[y])
+    root = _forest(rows.num_rows, i[ok], j[ok])
+    moved = np.flatnonzero(root != np.arange(rows.num_rows))
     return moved, root[moved]
 
 
-def _links_in_blocks(hot: DataFrame, own: DataFrame, linked: DataFrame) -> DataFrame | None:
-    """Further links (a, b) among classes that share a key of hot, where the links so far leave them apart; None if nowhere."""
-    roots = components(linked)
-    named = hot.select("key", "id", "n").join(own.select("id", "fp").distinct(), "id").join(roots, F.col("fp") == F.col("node"), "left")
-    named = cut(named.select("key", "id", "n", "fp", F.coalesce("root", "fp").alias("root")))
-    apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s").select("key", "m")
-    apart = cut(apart)
-    if apart.isEmpty():
-        return None
+def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(key, ti, tj, table) -> batch of schema, for each block of rows (key, ti, tj, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-
-        def solve() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            node, root = _block_links(rows)
-            fps = rows["fp"].combine_chunks()
-            return pa.RecordBatch.from_arrays([fps.take(pa.array(node)), fps.take(pa.array(root))], ["a", "b"])
-
         for batch in batches:
             run_of = [batch.column(k).to_numpy() for k in range(3)]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in run_of], axis=0)) + 1
@@ -424,53 +469,104 @@ def _links_in_blocks(hot: DataFrame, own: DataFrame, linked: DataFrame) -> DataF
                 if a == b:
                     continue
                 if (now := tuple(int(x[a]) for x in run_of)) != last and held:
-                    yield solve()
+                    yield solve(*last, pa.Table.from_batches(held))
                     held.clear()
                 last = now
-                held.append(batch.slice(a, b - a).select(["first", "second", "fp", "root", "set"]))
+                held.append(batch.slice(a, b - a))
         if held:
-            yield solve()
+            yield solve(*last, pa.Table.from_batches(held))
+
+    return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id").mapInArrow(run, schema)
+
+
+def _in_blocks(apart: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For classes that share a key of apart, dealt into blocks of two tiles of BLOCK: pairs (a, b) of ids that may link, and
+    the rows of dense blocks, which have so many of these that their texts are compared block by block."""
+    ring = Ring(*STAGE_RING)
 
-    by_key = Window.partitionBy("key").orderBy("n", "fp")
+    def solve(key: int, ti: int, tj: int, rows: pa.Table) -> pa.RecordBatch:
+        i, j = _block_pairs(rows, ring)
+        ids = rows["id"].to_numpy()
+        a, b = (pa.array(ids[k]) for k in (i, j)) if len(i) <= DENSE * rows.num_rows else (pa.nulls(1, pa.int64()),) * 2
+        return pa.RecordBatch.from_arrays([a, b, *(pa.array([v] * len(a), k) for v, k in ((key, pa.int64()), (ti, pa.int32()), (tj, pa.int32())))], ["a", "b", "key", "ti", "tj"])
+
+    by_key = Window.partitionBy("key").orderBy("n", "id")
     dealt = (
-        named.join(apart, "key").withColumn("own", F.floor((F.row_number().over(by_key) - 1) / BLOCK).cast("int"))
+        apart.withColumn("own", F.floor((F.row_number().over(by_key) - 1) / BLOCK).cast("int"))
         .withColumn("other", F.explode(F.expr(f"sequence(0, int((m - 1) div {BLOCK}))")))
         .withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")})
-        .join(own.select("fp", "set").dropDuplicates(["fp"]), "fp")
-        .select("key", "ti", "tj", (F.col("own") == F.col("ti")).cast("int").alias("first"), (F.col("own") == F.col("tj")).cast("int").alias("second"), "fp", "root", "set")
+        .join(classes.select("id", "sim"), "id")
+        .select("key", "ti", "tj", (F.col("own") == F.col("ti")).cast("int").alias("first"), (F.col("own") == F.col("tj")).cast("int").alias("second"), "id", "fp", "root", "n", "pos", "sim")
     )
-    return dealt.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(run, "a binary, b binary").distinct()
+    got = cut(_by_block(dealt, solve, "a long, b long, key long, ti int, tj int"))
+    dense = got.where("a is null").select("key", "ti", "tj")
+    pairs = got.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, dealt.join(dense, ["key", "ti", "tj"])
+
+
+def _dense_links(dense: DataFrame, held: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of fps within dense blocks."""
+    ring = Ring(*STAGE_RING)
+
+    def solve(key: int, ti: int, tj: int, rows: pa.Table) -> pa.RecordBatch:
+        node, root = _block_links(rows, ring, shingle)
+        fps = rows["fp"].combine_chunks()
+        return pa.RecordBatch.from_arrays([fps.take(pa.array(node)), fps.take(pa.array(root))], ["a", "b"])
 
+    return _by_block(dense.join(held.select("id", "text"), "id").select("key", "ti", "tj", *[c for c in dense.columns if c not in ("key", "ti", "tj")], "text"), solve, "a binary, b binary").distinct()
 
-def jaccard_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) of fps that connect exactly what pairs of sets with a Jaccard similarity of 4/5 or more connect."""
-    own = sets.where("set is not null").select("id", "fp", "n", "set")
-    met = cut(_index(own, *_common_shingles(own)))
-    few, hot = met.where(f"m <= {SMALL}"), met.where(f"m > {SMALL}")
-    pairs = few.alias("x").join(few.alias("y"), "key").where(f"x.id < y.id and {_MAY_LINK}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    if hot.isEmpty():
-        return _verified(cut(pairs.distinct()), own)
-    # a hot group mostly hangs together by its links to one member; what these leave apart is compared in blocks
-    star = hot.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c")).join(hot, "key")
-    star = star.where("c.id < id and 5 * least(c.n, n) >= 4 * greatest(c.n, n)").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-    linked = cut(_verified(cut(pairs.union(star).distinct()), own))
-    more = _links_in_blocks(hot, own, linked)
-    return linked if more is None else linked.union(more)
+
+def jaccard_links(classes: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """Links (a, b) of fps that connect exactly what pairs of sets with a Jaccard similarity of 4/5 or more connect.
+
+    First the classes of a key are paired with its smallest; groups of near copies hang together by that.  Where it leaves
+    classes of a key in different components, all their pairs are compared, in blocks if they are many.
+    """
+    index = classes.where("keys is not null").select("id", F.expr("posexplode(keys)").alias("pos", "key"), "n")
+    shared = index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")  # the widest shuffles carry no more than they must
+    index = index.select("key", "id", F.expr("shiftleft(bigint(n), 32) + pos").alias("at"))
+    met = index.join(shared.hint("shuffle_hash"), "key").select("key", "id", F.expr("int(shiftright(at, 32))").alias("n"), F.expr("int(at & 4294967295)").alias("pos"), "m")
+    met = cut(met)
+    star = met.join(met.groupBy("key").agg(F.min(F.struct("id", "n", "pos")).alias("c")), "key")
+    star = star.where("c.id < id and " + _MAY_LINK.format(x="c.", y="")).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    star = cut(_pruned(star, classes))
+    linked = cut(_verified(star, _with_text(_ends(star), classes, texts), shingle))
+    named = classes.select("id", "fp").join(components(linked), F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
+    named = met.join(named, "id").select("key", "pos", "id", "n", "m", "fp", "root")
+    apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    apart = cut(named.join(apart.hint("shuffle_hash"), "key"))
+    few, many = apart.where(f"m <= {SMALL}"), apart.where(f"m > {SMALL}")
+    pairs = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id and x.root <> y.root and " + _MAY_LINK.format(x="x.", y="y."))
+    pairs = _pruned(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), classes)
+    if many.isEmpty():
+        pairs = cut(pairs)
+        return linked.union(_verified(pairs, _with_text(_ends(pairs), classes, texts), shingle))
+    more, dense = _in_blocks(many, classes)
+    pairs = cut(pairs.union(more).distinct())
+    held = _with_text(_ends(pairs).union(dense.select("id")).distinct(), classes, texts)
+    return linked.union(cut(_verified(pairs, held, shingle).union(_dense_links(dense, held, shingle))))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """docs without near copies: of each component the row with the smallest id stays (null ids last, then by text hash).
 
-    Two documents are near copies at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, found without
-    loss and compared exactly (by 64-bit hashes of the shingles).  Texts without words are copies of each other.
-    Repeated rows (same id and text) leave one.  Columns are kept as they are.
+    Two documents are near copies at a Jaccard similarity of 0.8 or more of their sets of five-word shingles.  Candidates
+    share an index key, which loses none; pigeonring chains over their SimHash fingerprints and the full Hamming distance
+    prune those far below 0.8; what is left is compared exactly (by 64-bit hashes of the shingles).  Texts without words
+    are copies of each other.  Repeated rows (same id and text) leave one.  Columns are kept as they are.
     """
-    rep = F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
-    sets = cut(shingle_sets(docs.select(rep.alias("rep"), F.col(text).alias("__t")), "rep", "__t", shingle))
-    first = cut(sets.groupBy("fp").agg(F.min("rep").alias("own")))
-    best = _placed(first, jaccard_links(sets), "rep", "fp").select("rep").distinct()
-    best = best.join(sets.groupBy("rep").agg(F.count("*").alias("__n")), "rep")
-    best = best.select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h"), "__n")
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    rep = F.struct(F.col("id").isNull().alias("x"), "id", "h").alias("rep")
+    classes = cut(shingle_classes(texts.select(rep, "text"), "rep", "text", shingle))
+    roots = components(jaccard_links(classes, texts, shingle))
+    placed = classes.select("fp", "own").join(roots, F.col("fp") == F.col("node"), "left")
+    best = placed.where("root is null").select("own").unionByName(placed.where("root is not null").groupBy("root").agg(F.min("own").alias("own")).select("own"))
+    again = texts.select(rep).groupBy("rep").agg(F.count("*").alias("__n"))
+    best = best.join(again, F.col("own") == F.col("rep")).select(F.col("own.id").alias("__id"), F.col("own.h").alias("__h"), "__n")
     keyed = docs.withColumn("__key", F.xxhash64(text))
     same = keyed[doc_id].eqNullSafe(best["__id"]) & (keyed["__key"] == best["__h"])
     kept = keyed.join(best.hint("shuffle_hash"), same)

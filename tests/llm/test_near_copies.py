@@ -75,10 +75,11 @@ def test_texts_that_share_less_stay(spark):
     assert _kept(spark, rows) == list(range(80))
 
 
-@pytest.mark.parametrize("small", [64, 3])
-def test_large_groups_of_one_template(spark, monkeypatch, small):
-    """A group around 0.8 of each other: some pairs link, others don't, in pairs and in blocks."""
+@pytest.mark.parametrize(("small", "dense"), [(64, 4), (3, 4), (3, 0), (3, 1000)])
+def test_large_groups_of_one_template(spark, monkeypatch, small, dense):
+    """A group around 0.8 of each other: some pairs link, others don't, in pairs, in blocks and in dense blocks."""
     monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     monkeypatch.setattr(simhash, "BLOCK", 7)
     rng = random.Random(4)
     base = [f"a{k}" for k in range(120)]
@@ -92,3 +93,28 @@ def test_large_groups_of_one_template(spark, monkeypatch, small):
     want = _expected(rows)
     assert 3 < len(want) < 57
     assert _kept(spark, rows) == want
+
+
+def test_chains_lose_no_pair_within_the_distance():
+    """Ring.near gives exactly the pairs whose full Hamming distance is within tau."""
+    import numpy as np
+
+    rng, ring = np.random.default_rng(5), simhash.Ring(*simhash.STAGE_RING)
+    bits = rng.random((4000, 256)) < rng.uniform(0.05, 0.5, (4000, 1))
+    x = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+    assert ring.near(x).tolist() == np.flatnonzero(bits.sum(axis=1) <= ring.tau).tolist()
+    assert ring.near(x, np.arange(7)).tolist() == [i for i in range(7) if bits[i].sum() <= ring.tau]
+
+
+def test_fingerprints_of_near_copies_pass_the_chains():
+    """Of 3000 pairs of sets at a Jaccard similarity of just 0.8, none is lost before the exact comparison."""
+    import numpy as np
+
+    rng, ring, lost = np.random.default_rng(6), simhash.Ring(*simhash.STAGE_RING), 0
+    for _ in range(3000):
+        n = int(rng.choice([64, 70, 100, 200, 400]))
+        own = rng.integers(0, 2**64, n, np.uint64)
+        other = np.r_[own[: 8 * n // 9], rng.integers(0, 2**64, n // 9, np.uint64)]
+        x = np.frombuffer(simhash.folded(own, 4), ">u8") ^ np.frombuffer(simhash.folded(other, 4), ">u8")
+        lost += not len(ring.near(x.astype(np.uint64).reshape(1, 4)))
+    assert lost == 0
