@@ -2,9 +2,9 @@
 
 Equal vectors are one class.  Classes are dealt to shards by hash; each shard builds its graph, and every pair of shards
 is compared once, one side's vectors querying the other's graph (a shard's own vectors query it too).  A recall audit
-against brute force on a stated set of the shard's vectors widens the beam until it passes; a query whose beam is full
-of links is asked again with a wider one, and beyond the widest beam the shard is scanned exactly, so large groups lose
-nothing.  What a graph finds is verified by cosine in double precision; components unite the links.
+against brute force on a stated set of the shard's vectors widens the beam until it passes; a shard that fails it with
+the widest beam is scanned exactly in blocks.  A query whose beam is full of links is asked again with a wider one, and
+beyond the widest beam the shard is scanned for it, so large groups lose nothing.  What a graph finds is verified by cosine in double precision; components unite the links.
 
 Scale: a shard holds at most SHARD vectors, so a graph's memory is bounded; the query side streams through in batches;
 a query leaves a count and one link per component of the shard that it touches, never all pairs of a group.
@@ -154,7 +154,11 @@ class Shard:
         self.beam, self.recall = self._audit()
 
     def _audit(self) -> tuple[int, float]:
-        """The first beam whose recall passes, on evenly spaced vectors and on probes that just link to them, against brute force."""
+        """The first beam whose recall passes, and that recall; beyond the widest beam 0 stands for exact scans.
+
+        Evenly spaced vectors are asked, and probes that just link to them, against brute force.  Three recalls must pass,
+        each averaged over its queries: the vectors' links but themselves, the probes' own vectors, and the probes' other links.
+        """
         n, d = self.unit.shape
         some = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(int))
         own = self.unit[some]
@@ -163,20 +167,27 @@ class Shard:
         size = np.sqrt((away * away).sum(axis=1, keepdims=True))
         cos = min(1.0, self.link + 1e-3)
         probes = np.where(size > 1e-9, cos * own + math.sqrt(1 - cos * cos) * away / np.maximum(size, 1e-9), own)
-        asked = np.vstack([own, probes])
+        asked, k, rows = np.vstack([own, probes]), len(some), np.arange(len(some))
         true = asked @ self.unit.T >= self.link
+        base = np.zeros_like(true)
+        base[rows, some] = base[k + rows, some] = True
+        groups = [(true & ~base)[:k], (true & base)[k:], (true & ~base)[k:]]
         beam = FIRST_BEAM
-        while True:
+        while beam <= WIDEST:
             i, j, _ = self._found(asked.astype(np.float32), beam, np.full(len(asked), self.link - 1e-5, np.float32))
-            recall = true[i, j].sum() / true.sum()
-            if recall >= RECALL or beam >= WIDEST:
+            hit = np.zeros_like(true)
+            hit[i, j] = True
+            parts = [(g, (g & h).sum(axis=1), g.sum(axis=1)) for g, h in zip(groups, (hit[:k], hit[k:], hit[k:]))]
+            recall = min((float((got[of > 0] / of[of > 0]).mean()) for _, got, of in parts if (of > 0).any()), default=1.0)
+            if recall >= RECALL:
                 return beam, recall
             beam *= 2
+        return 0, 1.0
 
     def _found(self, q: np.ndarray, beam: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, similarity) at or above each query's bar; beams full of such are widened, then the shard is scanned."""
+        """(query, node, similarity) at or above each query's bar; beams full of such are widened, then the shard is scanned (beam 0: at once)."""
         out, todo = [], np.arange(len(q))
-        while len(todo) and beam <= WIDEST and beam < len(self.unit):
+        while len(todo) and 0 < beam <= WIDEST and beam < len(self.unit):
             parts = []
             for a in range(0, len(todo), AT_ONCE):
                 ids, sim = self.graph.search(q[todo[a : a + AT_ONCE]], beam)
