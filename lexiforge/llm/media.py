@@ -9,7 +9,9 @@ Scale: per-row work, no shuffle; rows of any size are handled one at a time.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import table
 
 UNIT, RATE = 64, 8000
-#: Magic bytes of the formats known here.
+#: Magic bytes of the formats known here, and their validators.
 MAGIC = (
-    (b"RIFF", "audio/wav"),
+    (b"RIFF", "riff"),
     (b"\x89PNG\r\n\x1a\n", "image/png"),
     (b"GIF87a", "image/gif"),
     (b"GIF89a", "image/gif"),
@@ -32,82 +34,122 @@ MAGIC = (
 )
 
 
-def _wav(b: bytes, at: int) -> int | None:
-    """The end of a valid file of the format that starts at `at`, else None (as for all validators)."""
-    if b[at + 8 : at + 12] != b"WAVE" or at + 12 > len(b):
-        return None
+#: Forms of RIFF files: type, and the chunks of which one must be there (all of the first tuple for sound).
+RIFF = {b"WAVE": ("audio/wav", (b"fmt ", b"data"), 2), b"WEBP": ("image/webp", (b"VP8 ", b"VP8L", b"VP8X"), 1), b"AVI ": ("video/x-msvideo", (b"LIST",), 1)}
+
+
+def _riff(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
+    """(end, type) of a valid file of the format that starts at `at`, else None (as for all validators).
+
+    dead holds places from which validators failed before; walks that reach one stop, so places are walked once.
+    """
+    form = RIFF.get(b[at + 8 : at + 12])
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    chunk, names = at + 12, []
-    while chunk + 8 <= end <= len(b):
+    if form is None or end > len(b):
+        return None
+    kind, need, least = form
+    chunk, names, walked = at + 12, set(), []
+    while chunk + 8 <= end and (end, chunk) not in dead:
         size = int.from_bytes(b[chunk + 4 : chunk + 8], "little")
-        names.append(b[chunk : chunk + 4])
+        names.add(b[chunk : chunk + 4])
+        walked.append((end, chunk))
         chunk += 8 + size + size % 2
-    return end if chunk == end and b"fmt " in names and b"data" in names else None
+    if chunk == end:
+        return (end, kind) if len(names & set(need)) >= least else None
+    dead.update(walked)
+    return None
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
     chunk, first = at + 8, True
     while chunk + 12 <= len(b):
         size, name = struct.unpack(">I4s", b[chunk : chunk + 8])
         end = chunk + 12 + size
-        if end > len(b) or (first and name != b"IHDR") or zlib.crc32(b[chunk + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+        if end > len(b) or first != (name == b"IHDR") or (first and size != 13) or chunk in dead:
+            return None
+        if zlib.crc32(b[chunk + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+            dead.add(chunk)
             return None
         if name == b"IEND":
-            return end
+            return end, "image/png"
         chunk, first = end, False
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
     if at + 13 > len(b):
         return None
-    pos = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while pos < len(b):
+    pos, walked = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), []
+    while pos < len(b) and ("gif", pos) not in dead:
+        walked.append(("gif", pos))
         if b[pos] == 0x3B:
-            return pos + 1
+            return pos + 1, "image/gif"
         if b[pos] == 0x21:
             pos += 2
         elif b[pos] == 0x2C and pos + 10 < len(b):
             pos += 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 0x80 else 0)
         else:
-            return None
-        while pos < len(b) and b[pos]:
+            break
+        while pos < len(b) and b[pos] and ("sub", pos) not in dead:
+            walked.append(("sub", pos))
             pos += b[pos] + 1
+        if ("sub", pos) in dead:
+            break
         pos += 1
+    dead.update(walked)
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    pos, frame = at + 2, False
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+class Dead(set):
+    """Places from which validators failed before, and the JPEG markers once they are asked for: work stays linear in the bytes."""
+
+    marks: list[int] | None = None
+
+
+_MARK = re.compile(rb"\xff(?=[^\x00\xd0-\xd7])", re.S)
+
+
+def _jpeg(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
+    pos, frame, walked = at + 2, False, []
+    while pos + 4 <= len(b) and b[pos] == 0xFF and (frame, pos) not in dead:
+        walked.append((frame, pos))
         mark, size = b[pos + 1], int.from_bytes(b[pos + 2 : pos + 4], "big")
         frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         pos += 2 + size
         if size < 2:
-            return None
-        if mark == 0xDA:
-            while (pos := b.find(b"\xff", pos)) >= 0 and pos + 1 < len(b) and (b[pos + 1] == 0 or 0xD0 <= b[pos + 1] <= 0xD7):
-                pos += 2
-            if pos < 0 or pos + 1 >= len(b):
-                return None
+            break
+        if mark == 0xDA:  # picture data goes on to the next real marker
+            if dead.marks is None:
+                dead.marks = [m.start() for m in _MARK.finditer(b)]
+            found = bisect.bisect_left(dead.marks, pos)
+            if found == len(dead.marks):
+                break
+            pos = dead.marks[found]
         if b[pos : pos + 2] == b"\xff\xd9":
-            return pos + 2 if frame else None
+            if frame:
+                return pos + 2, "image/jpeg"
+            break
+    dead.update(walked)
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
     if at + 26 > len(b):
         return None
     size, zero, data, head = struct.unpack("<IIII", b[at + 2 : at + 18])
-    return at + size if zero == 0 and head in (12, 40, 108, 124) and 14 + head <= data < size and at + size <= len(b) else None
+    return (at + size, "image/bmp") if zero == 0 and head in (12, 40, 108, 124) and 14 + head <= data < size and at + size <= len(b) else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if b[at + 5 : at + 6].isdigit() and end > at and b.find(b"startxref", at, end) > 0 else None
+def _pdf(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
+    """To the last end mark before the next header, so that files saved again are whole; searches stay between headers."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    limit = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, limit if limit >= 0 else len(b))
+    return (end + 5, "application/pdf") if end > at and b.find(b"startxref", at, end) > 0 else None
 
 
-_VALID = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf}
+_VALID = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf}
 _AUTOMATON: list = []
 
 
@@ -124,12 +166,12 @@ def sniffed(data: bytes) -> list[tuple[str, int, int]]:
             a.add_word(magic.decode("latin-1"), (len(magic), kind))
         a.make_automaton()
         _AUTOMATON.append(a)
-    found, free = [], 0
+    found, free, dead = [], 0, Dead()
     for last, (n, kind) in _AUTOMATON[0].iter(data.decode("latin-1")):
         at = last + 1 - n
-        if at >= free and (end := _VALID[kind](data, at)):
-            found.append((kind, at, end - at))
-            free = end if at else 1
+        if at >= free and (got := _VALID[kind](data, at, dead)):
+            found.append((got[1], at, got[0] - at))
+            free = got[0] if at else 1
     return found
 
 
