@@ -12,6 +12,7 @@ Scale: per-row work on a fixed vocabulary, which the driver reads once and ships
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from dataclasses import dataclass
@@ -26,6 +27,9 @@ from lexiforge.llm.common import appended, table
 #: Where the query's vocabulary lies; any SentencePiece model file will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY, REMEMBERED = 10.0, 100_000
+#: A byte-pair model's scores are merge ranks, not log probabilities, and their sums would shun every late merge.  By the law of
+#: Zipf and Mandelbrot a piece of rank r stands for the log probability -log(r + OFFSET), up to a constant; nothing is trained.
+OFFSET = 100
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,11 @@ class Vocabulary:
 
 
 def load(path: str = VOCABULARY) -> Vocabulary:
-    """Read pieces and scores from a SentencePiece model file; the library is used for nothing else."""
+    """Read pieces, scores and the space before a text from a SentencePiece model file; the library is used for nothing else.
+
+    Scores that are all whole and not positive are merge ranks and become log probabilities.  The model's normaliser isn't
+    applied: texts are encoded as they are, so that they decode exactly.
+    """
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,7 +62,10 @@ def load(path: str = VOCABULARY) -> Vocabulary:
             bytes_[int(p[3:5], 16)] = i
         elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
             own.append((p.replace("▁", " "), i, m.get_score(i)))
-    return Vocabulary(tuple(own), tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else (), m.unk_id())
+    if all(score <= 0 and score == int(score) for _, _, score in own):
+        own = [(text, i, -math.log(OFFSET - score)) for text, i, score in own]
+    first = m.encode("a", out_type=str)[:1]
+    return Vocabulary(tuple(own), tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else (), m.unk_id(), first == [] or first[0].startswith("▁"))
 
 
 class Encoder:
