@@ -3,7 +3,8 @@
 Every source's words lie on a line in shuffled document order, passed through up to `cap` times.  The mix is a
 sequence of equal-word blocks.  Slot n has the point n * 2654435769 mod 2**32 (the golden ratio in 32 bits, so any
 stretch of slots follows the targets closely); the point falls into one source's share of the cumulative targets;
-the slot's rank among its source's slots is the block of the line that it takes.
+the slot's rank among its source's slots is the block of the line that it takes.  Blocks grow with the corpus; a source
+whose target is few of them gets it to the word, the last blocks following the schedule's end.
 
 Scale: all steps are joins, sums and windows over bounded parts.  Ranks and line positions are prefix sums in two
 levels (within a chunk of slots or a hash bucket of documents, then over the chunk totals), so a source with a
@@ -12,6 +13,8 @@ third of all rows never meets in one task.  Blocks hold equal words, so block jo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,12 @@ from lexiforge.llm.common import cut, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SLOTS, SLOTS_A_SOURCE, CHUNK, CELL_BITS, GOLDEN = 131072, 1024, 4096, 20, 2654435769
+#: Hash buckets of a source hold about this many words of all in 256.
+BUCKET_WORDS = 1 << 32
 #: A table of at most so many rows is broadcast (its rows are counted first).
 SMALL = 10_000
+#: A source whose target has fewer blocks than this gets its words to the last one, since few slots hit a narrow share unevenly.
+EXACT_BELOW = 100
 
 
 def _joined(big: DataFrame, side: DataFrame, rows: int, on) -> DataFrame:
@@ -75,16 +82,17 @@ def schedule(spark: SparkSession, goals: DataFrame, total: int, sources: int) ->
     return ranked.select("slot", "src", (F.col("offset") + F.col("at")).alias("rank")), block
 
 
-def placed(sized: DataFrame, goals: DataFrame, sources: int, seed: int) -> DataFrame:
+def placed(sized: DataFrame, goals: DataFrame, sources: int, total: int, seed: int) -> DataFrame:
     """Documents on their source's line: sized with src, source_size, target and start, in shuffled order."""
     own = _joined(sized, goals.select(F.col("source").alias("__s"), "src", "source_size", "target"), sources, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    own = own.withColumn("shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    own = own.withColumn("bucket", F.substring("shuffle", 1, 2))
+    own = own.withColumn("shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("spread"), F.lit(""))).cast("binary")))
+    digits = 2 + max(0, math.ceil(math.log(total / BUCKET_WORDS, 16)))
+    own = own.withColumn("bucket", F.substring("shuffle", 1, digits))
     upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = own.groupBy("src", "bucket").agg(F.sum("size").alias("n")).select("src", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
-    line = Window.partitionBy("src", "bucket").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("src", "bucket").orderBy("shuffle", "size", "key").rowsBetween(Window.unboundedPreceding, 0)
     at = own.withColumn("upto", F.sum("size").over(line)).join(offsets, ["src", "bucket"])
-    return at.withColumn("start", F.expr("offset + upto - size")).drop("offset", "upto", "bucket", "shuffle")
+    return at.withColumn("start", F.expr("offset + upto - size")).drop("offset", "upto", "bucket", "shuffle", "spread")
 
 
 def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
@@ -97,19 +105,22 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     # narrow rows, kept where they were made and made again from the input if an executor is lost
-    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("key")).persist()
+    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("key"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("spread")).persist()
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
     sources, total = goals.agg(F.count("*"), F.max("total")).first()
     if not total:
         none = _joined(sized, goals.select(F.col("source").alias("__s"), "source_size", "target"), sources, F.col("source").eqNullSafe(F.col("__s")))
         return none.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "key")
     slots, block = schedule(spark, goals, total, sources)
-    lines = placed(sized, goals, sources, seed).persist()
+    lines = placed(sized, goals, sources, total, seed).persist()
     # a document's passes through the line, cut at block borders; the first slot ranks above its blocks can't match
     parts = lines.where("size > 0").withColumn("begin", F.explode(F.expr(f"transform(sequence(0, {cap - 1}), p -> p * source_size + start)")))
     parts = parts.where(f"begin <= target + {16 * block}").withColumn("rank", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     piece = F.expr(f"least(begin + size, (rank + 1) * {block}) - greatest(begin, rank * {block})")
-    got = parts.withColumn("piece", piece).join(slots.select("src", "rank", "slot"), ["src", "rank"])
+    few = f"target < {EXACT_BELOW * block}"
+    drawn = parts.where(f"not {few}").withColumn("piece", piece).join(slots.select("src", "rank", "slot"), ["src", "rank"])
+    last = F.greatest(F.expr(f"least(begin + size, (rank + 1) * {block}, bigint(floor(target))) - greatest(begin, rank * {block})"), F.lit(0))
+    got = drawn.select("src", "start", "piece").unionByName(parts.where(few).select("src", "start", last.alias("piece")))
     sums = got.groupBy("src", "start").agg(F.sum("piece").alias("taken"))
     named = lines.withColumn("on_line", F.when(F.col("size") > 0, F.col("start")))  # unique within a source
     full = named.join(sums.withColumnRenamed("start", "on_line"), ["src", "on_line"], "left")
@@ -143,7 +154,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Slots counted per source give the length of the line that the blocks cover; a document takes what lies on it.
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS spread, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
 t AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src, sum(z) OVER ()::BIGINT AS total FROM s),
 w AS (SELECT *, src % 3 + 1 AS weight, z * 3 AS most FROM t),
@@ -160,9 +171,9 @@ j AS (SELECT *, floor(upto::DOUBLE / whole::DOUBLE * 4294967296.0)::BIGINT AS lo
         greatest(1, (total + {SLOTS} + {SLOTS_A_SOURCE} * count(*) OVER () - 1) // ({SLOTS} + {SLOTS_A_SOURCE} * count(*) OVER ())) AS block FROM i),
 p AS (SELECT unnest(range((SELECT (max(total) + max(block) - 1) // max(block) FROM j)::BIGINT)) * {GOLDEN} % 4294967296 AS point),
 c AS (SELECT src, count(*) AS n FROM p JOIN j ON point >= lo AND point < hi GROUP BY src),
-e AS (SELECT j.*, least(coalesce(n, 0) * block, 3 * z) AS line FROM j LEFT JOIN c USING (src)),
+e AS (SELECT j.*, CASE WHEN target < {EXACT_BELOW} * block THEN floor(target)::BIGINT ELSE least(coalesce(n, 0) * block, 3 * z) END AS line FROM j LEFT JOIN c USING (src)),
 q AS (SELECT doc_id, size, z, target, line,
-        (sum(size) OVER (PARTITION BY src ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, '')), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+        (sum(size) OVER (PARTITION BY src ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, spread)), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, z AS source_size, target,
   (greatest(0, least(start + size, line) - start) + greatest(0, least(z + start + size, line) - z - start)
