@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,11 @@ EDGES_A_FILE = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine (tests), a temporary one where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (spark.conf.get("spark.checkpoint.dir", None) or re.fullmatch(r"local(\[[^\]]*\])?", sc.master)):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 

@@ -11,6 +11,8 @@ Scale: a narrow expression on each row; no shuffle, no state.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,11 @@ PARTS = (
 #: Characters of a candidate that a part may take, and one more.
 PART_WINDOW = 40
 ROUNDS = 6
-#: Days are numbered from this one through 400 Gregorian years, 146097 = 189 * 773 days.
-FIRST_DAY, DAYS, DAY_LOW = "1800-01-01", 146097, 773
+#: Days are numbered from this one; 400 Gregorian years have 146097 = 189 * 773 days, and a date stays in its 400 years.
+#: Whole such cycles of years with four digits are 0200 to 9799; dates outside them stay.
+FIRST_DAY, DAYS, DAY_LOW, CYCLES = "1800-01-01", 146097, 773, (-4, 19)
+#: The Spark setting with the secret key; DEMO_KEY, known to all, stands in where it is unset, with a warning.
+KEY_CONF, DEMO_KEY = "spark.lexiforge.pseudonyms.key", "lexiforge"
 
 
 def _feistel(values: Column, radices: Column, tweak: Column, key: str) -> Column:
@@ -126,7 +131,7 @@ def kind_of(match: Column) -> Column:
     n = F.length(_digits(match))
     return (
         F.when(is_a["email"], "email")
-        .when(is_a["date"], F.when(F.coalesce(days.between(0, DAYS - 1), F.lit(False)), "date"))
+        .when(is_a["date"], F.when(F.coalesce(days.between(CYCLES[0] * DAYS, (CYCLES[1] + 1) * DAYS - 1), F.lit(False)), "date"))
         .when(is_a["ip"], F.when(octets, "ip"))
         .when(is_a["ssn"], F.when(ssn, "ssn"))
         .when(is_a["card"] & n.between(13, 19) & (_luhn_sum(_digits(match)) % 10 == 0), "card")
@@ -163,9 +168,10 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     domain = F.substring_index(match, "@", -1)
     email = F.concat(_permuted(local, F.lower(domain), key), F.lit("@"), domain)
 
-    number = F.date_diff(_day(match), F.lit(FIRST_DAY).cast("date"))
+    since = F.date_diff(_day(match), F.lit(FIRST_DAY).cast("date"))
+    number = F.pmod(since, F.lit(DAYS))
     day = _feistel(F.array(F.floor(number / DAY_LOW).cast("int"), number % DAY_LOW), F.array(F.lit(DAYS // DAY_LOW), F.lit(DAY_LOW)), F.lit("date"), key)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(day, F.lit(0)) * DAY_LOW + F.get(day, F.lit(1))).cast("string")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), since - number + F.get(day, F.lit(0)) * DAY_LOW + F.get(day, F.lit(1))).cast("string")
     date = (
         F.when(F.substr(match, F.lit(3), F.lit(1)) == ".", F.concat(F.substr(new, F.lit(9), F.lit(2)), F.lit("."), F.substr(new, F.lit(6), F.lit(2)), F.lit("."), F.substr(new, F.lit(1), F.lit(4))))
         .when(F.contains(match, F.lit("/")), F.replace(new, F.lit("-"), F.lit("/"))).otherwise(new)
@@ -190,7 +196,15 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "email", email).when(kind == "date", date).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card).otherwise(phone)
 
 
-def pseudonymised(docs: DataFrame, key: str = "lexiforge", text: str = "text") -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The secret key of the session's settings; without one a warning and DEMO_KEY, which protects nothing."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        warnings.warn(f"{KEY_CONF} is unset: pseudonyms are made with a public demonstration key", stacklevel=2)
+    return key or DEMO_KEY
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with its text rewritten and a column pii: array<struct<kind, new>> of the replacements in order.
 
     key is the secret; the same key gives the same pseudonyms in every run.  What fails its kind's check is
@@ -214,6 +228,6 @@ def pseudonymised(docs: DataFrame, key: str = "lexiforge", text: str = "text") -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: doc_id, the rewritten text, the number of replacements of each kind and in all."""
-    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark))
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return done.select("doc_id", "text", *[count(k) for k in KINDS], F.size("pii").cast("long").alias("n_pii"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -189,3 +190,69 @@ def test_empty_tables_pass_every_stage(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, at)
     assert docs.count() == 0 and toxicity.clean(docs.selectExpr("doc_id", "'' as text"), toxicity.Model(-20.0, {})).count() == 0
+
+
+def test_blind_graph_falls_back_to_exact_scans(monkeypatch):
+    """A graph that finds nothing, or only the vector itself, fails the audit; the shard is then scanned and loses no link."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(500, 24)), 3, axis=0) + rng.normal(size=(1500, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= embeddings.LINK))}
+    good = embeddings.Shard(x)
+    assert good.beam > 0 and good.recall >= embeddings.RECALL
+
+    def blind(self, q, ef):
+        ids = np.full((len(q), ef), -1)
+        ids[:, 0] = (q @ self.x.T).argmax(axis=1)  # the vector itself
+        return ids, np.where(ids >= 0, np.take_along_axis(q @ self.x.T, ids, 1), -np.inf)
+
+    monkeypatch.setattr(embeddings.Graph, "search", blind)
+    shard = embeddings.Shard(x)
+    assert shard.beam == 0 and set(zip(*shard.links(x))) == true
+
+
+def _png_file():
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def _riff_file(form, *chunks):
+    body = form + b"".join(n + struct.pack("<I", len(d)) + d + bytes(len(d) % 2) for n, d in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+MEDIA = [
+    media.wav(b"ab" * 32), _png_file(), b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + bytes(9) + b"\x02\x02\x44\x01\x00\x3b",
+    b"\xff\xd8\xff\xc0\x00\x04ab\xff\xda\x00\x02data\xff\x00more\xff\xd9", b"%PDF-1.4\nstartxref 9 %%EOF more startxref 9 %%EOF",
+    b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42), _riff_file(b"WEBP", (b"VP8L", b"abc")), _riff_file(b"AVI ", (b"LIST", b"movi")),
+]
+
+
+def test_sniffing_matches_every_validator_at_every_place():
+    """Files among text, damaged files and each other: the same as trying all validators at all places without any memory."""
+    rng = random.Random(9)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            f = bytearray(rng.choice(MEDIA))
+            if rng.random() < 0.3:
+                f[rng.randrange(len(f))] ^= 1 << rng.randrange(8)
+            parts += [bytes(f[: len(f) if rng.random() < 0.8 else rng.randrange(len(f))]), rng.choice([b"", b"text", b"\xff\xd8\xff", b"RIFF", b"%PDF-", b"BM"])]
+        data, want, free = b"".join(parts), [], 0
+        for at in range(len(data)):
+            for magic, kind in media.MAGIC:
+                if at >= free and data.startswith(magic, at) and (got := media._VALID[kind](data, at, media.Dead())):
+                    want.append((got[1], at, got[0] - at))
+                    free = got[0] if at else 1
+        assert media.sniffed(data) == want
+    assert [media.sniffed(f)[0][0] for f in MEDIA] == [
+        "audio/wav", "image/png", "image/gif", "image/jpeg", "application/pdf", "image/bmp", "image/webp", "video/x-msvideo"]
+    assert media.sniffed(MEDIA[4])[0][2] == len(MEDIA[4])
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1 ", b"RIFF\xff\xff\x0f\x00WAVE", b"GIF89a", b"\xff\xd8\xff\xda\x00\x02", b"\xff\xd8\xff\xe0\x00\x02", b"\x89PNG\r\n\x1a\n", b"BM"])
+def test_repeated_magic_bytes_take_linear_time(unit):
+    data = unit * (10_000_000 // len(unit))
+    began = time.perf_counter()
+    media.sniffed(data)
+    assert time.perf_counter() - began < 60

@@ -23,7 +23,7 @@ CASES = [
 
 def test_values_beside_other_digits(spark):
     texts = [f"so {t} it is" for t, _, _ in CASES]
-    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
     for r, whole, (text, value, kind) in zip(rows, texts, CASES):
         before, after = whole.split(value)
         new = [x.new for x in r.pii if x.kind == kind]
@@ -34,7 +34,7 @@ def test_values_beside_other_digits(spark):
 
 def test_equal_cards_change_alike_and_two_in_a_row_are_found(spark):
     texts = ["4111 1111 1111 1111", "7 4111 1111 1111 1111 3", "4111 1111 1111 1111 5500 0000 0000 0004 1", "1111 2222 3333 4445 55"]
-    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
     card = rows[0].text
     assert rows[1].text == f"7 {card} 3"
     assert rows[2].text.startswith(card + " ") and rows[2].text.endswith(" 1") and [x.kind for x in rows[2].pii] == ["card", "card"]

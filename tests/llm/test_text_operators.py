@@ -164,8 +164,8 @@ def test_pseudonyms_keep_formats_link_and_match_brute_force(spark, odd, empty):
             at += 1
         assert len(seen) == len(set(values))
     assert [r.text for r in got[at:]] == [f"see {v}, and {v}" for v in bad]
-    done = pii.pseudonymised(odd)
-    assert sorted(str(r.text) for r in done.collect()) == sorted(str(t) for _, t, *_ in ODD) and pii.pseudonymised(empty).count() == 0
+    done = pii.pseudonymised(odd, "k")
+    assert sorted(str(r.text) for r in done.collect()) == sorted(str(t) for _, t, *_ in ODD) and pii.pseudonymised(empty, "k").count() == 0
 
 
 def plain_spans(text):
