@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import cut, shared_dir, table
 
 ROLL, LINES, READ_AT_ONCE = 256 << 20, 2000, 4 << 20
+#: Records that a task indexes or looks up, and bytes of archives that it reads.
+KEYS_A_TASK, BYTES_A_TASK = 100_000, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -89,12 +91,14 @@ def with_record_type(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with top: for a revisit the page_id of its response, and revisit.
 
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is the response (rows that
-    share it all are; a null id is the smallest); the others revisit it.
+    share it all are; a null id is the smallest); the others revisit it.  Types are found on rows of id and digest, so a
+    frequent payload is aggregated and only narrow rows meet by digest; pages are dealt by id and digest.
     """
     own = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    big = own.where(F.octet_length("html") >= least)
-    twice = big.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    typed = own.join(twice, "sha", "left")
+    narrow = own.where(F.octet_length("html") >= least).select("page_id", "sha")
+    twice = narrow.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    tops = narrow.distinct().join(twice, "sha").select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "top")
+    typed = own.join(tops.hint("shuffle_hash"), own["page_id"].eqNullSafe(tops["__id"]) & (own["sha"] == tops["__sha"]), "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return typed.select("page_id", "url", "html", "top", revisit.alias("revisit"), index_key(F.col("url"), F.col("page_id")).alias("k"))
 
@@ -123,6 +127,10 @@ class _Roll:
             self.out = None
 
 
+def _tasks(spark: SparkSession, amount: int | None, each: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-(amount or 0) // each))
+
+
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write the archives; rows (k, file, start, length), one per record, computed once."""
 
@@ -169,12 +177,12 @@ def build_index(written: DataFrame, folder: str, lines: int = LINES) -> list[tup
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, name, start, len(data))], ["k", "file", "start", "length"])
         roll.close()
 
-    ordered = written.repartitionByRange("k").sortWithinPartitions("k", "file", "start")
+    ordered = written.repartitionByRange(_tasks(written.sparkSession, written.count(), KEYS_A_TASK), "k").sortWithinPartitions("k", "file", "start")
     # one job, whose finished tasks alone report their parts: a row for each index partition
     return sorted(map(tuple, ordered.mapInArrow(out, "k string, file string, start long, length long").collect()))
 
 
-def look_up(requests: DataFrame, folder: str, master: list[tuple[str, str, int, int]]) -> DataFrame:
+def look_up(requests: DataFrame, folder: str, master: list[tuple[str, str, int, int]], tasks: int | None = None) -> DataFrame:
     """The records' places (k, file, start, length) for distinct keys k; keys that the index lacks give no row."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +214,7 @@ def look_up(requests: DataFrame, folder: str, master: list[tuple[str, str, int,
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["k", "file", "start", "length"])
 
-    asked = requests.select("k").distinct().repartitionByRange("k").sortWithinPartitions("k")
+    asked = requests.select("k").distinct().repartitionByRange(tasks or _tasks(requests.sparkSession, requests.count(), KEYS_A_TASK), "k").sortWithinPartitions("k")
     return asked.mapInArrow(out, "k string, file string, start long, length long")
 
 
@@ -231,7 +239,8 @@ def read(places: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], k) for c, k in zip(names, kinds)], names)
                 at = to
 
-    near = places.select("file", "start", "length").repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    total = places.agg(F.sum("length")).first()[0]
+    near = places.select("file", "start", "length").repartitionByRange(_tasks(places.sparkSession, total, BYTES_A_TASK), "file", "start").sortWithinPartitions("file", "start")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     return near.mapInArrow(out, schema)
 
@@ -246,7 +255,8 @@ def round_trip(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     written = write(own, folder, least)
     master = build_index(written, folder)
     asked = own.select(index_key(F.col("url"), F.col("page_id")).alias("k"))
-    return read(cut(look_up(asked, folder, master)), folder)
+    tasks = _tasks(pages.sparkSession, written.count(), KEYS_A_TASK)
+    return read(cut(look_up(asked, folder, master, tasks)), folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
