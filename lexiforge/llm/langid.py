@@ -91,7 +91,7 @@ def mixtures(found: list[np.ndarray], logp: np.ndarray, rounds: int = 12, penalt
     return out
 
 
-def predicted(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text", at_once: int = 256) -> DataFrame:
+def predicted(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text", at_once: int = 300_000) -> DataFrame:
     """docs with languages, array<struct<lang, share>> of the chosen set, largest first; empty for null or letterless texts.
 
     Empty texts count as letterless; ties go to the language that sorts first; equal texts get equal results; a column
@@ -102,11 +102,21 @@ def predicted(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "
     def of(col):
         import pandas as pd
 
-        rows, texts = [], col.tolist()
-        for at in range(0, len(texts), at_once):
-            for share in mixtures([grams(t) for t in texts[at : at + at_once]], logp):
+        rows, held, size = [], [], 0
+
+        def solve():
+            for share in mixtures(held, logp):
                 order = [j for j in np.argsort(-share, kind="stable") if share[j] > 0]
                 rows.append([{"lang": names[j], "share": float(min(1.0, share[j]))} for j in order])
+            held.clear()
+
+        for t in col:
+            held.append(grams(t))
+            size += min(len(held[-1]), GRAMS)
+            if size >= at_once or len(held) == 256:  # texts whose distinct trigrams fit in memory together
+                solve()
+                size = 0
+        solve()
         return pd.Series(rows, index=col.index)
 
     return docs.withColumn("languages", of(F.col(text)))

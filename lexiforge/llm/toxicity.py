@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     """Fit on at most `sample` rows of labels (doc_id, toxic); null labels are left out; no rows give a model that scores 0."""
     some = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = some.where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").persist()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = found.orderBy("doc_id").select("text", "toxic").persist()  # one text an id, in the same order in every run
     names = _chosen(rows)
     known = {f: i for i, f in enumerate(names)}
 
