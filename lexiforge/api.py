@@ -36,9 +36,12 @@ class Session:
 
     def ss(self, text: str | DataFrame) -> DataFrame:
         """Simplified, one sentence a row: (sentence_id, text); ids number sentences by line and place."""
+        return self._sentences(text).select("sentence_id", "text")
+
+    def _sentences(self, text: str | DataFrame) -> DataFrame:
         done = models.rewritten(self._text(text), "text", self.simplify)
         each = done.select("line_num", F.posexplode(X.sentences(F.col("text"))).alias("ord", "text"))
-        return pairs.ranked(each.withColumn("at", F.struct("line_num", "ord")), "at", "sentence_id").select(F.col("sentence_id").cast("int").alias("sentence_id"), "text")
+        return pairs.ranked(each.withColumn("at", F.struct("line_num", "ord")), "at", "sentence_id").select(F.col("sentence_id").cast("int").alias("sentence_id"), "line_num", "text")
 
     def masked(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens = models.tagged(sentences, self.tagger)
@@ -80,9 +83,10 @@ class Session:
     def add_lbl(self, path: str) -> DataFrame:
         """A file line by line: (line_number, value), each line's results closed by '!!'."""
         source = readers.sentence_lines(self.spark, path).select("line_num", F.col("sentence").alias("text"))
-        self._whole(source)
-        got = self.trace["unmasked"].withColumnRenamed("text", "value").withColumn("line_number", F.monotonically_increasing_id())
-        return writers.separated(got)
+        short = self._sentences(self.mh(source)).persist()
+        logic = self._logic(short.select("sentence_id", "text")).withColumnRenamed("ord", "sentence_id")
+        got = logic.join(short.select("sentence_id", "line_num"), "sentence_id")
+        return writers.separated(got.select(F.col("line_num").alias("line_number"), "value"))
 
     def rsts(self, statements: DataFrame, base: str) -> DataFrame:
         """Syntax by balance and types by the knowledge base, of (row_id, statement)."""
@@ -92,10 +96,17 @@ class Session:
     def rrts(self, statements: DataFrame, base: str, n: int = 125) -> DataFrame:
         return self.rsts(selection.random_rows(statements, "row_id", n), base)
 
-    def gwnk(self, lines: DataFrame, attributes: DataFrame, instances: DataFrame) -> DataFrame:
+    def gwnk(self, lines: DataFrame, base: str) -> DataFrame:
+        """Statements of new terms for WordNet mapping lines (line_num, value), given the knowledge base's folder."""
         from lexiforge.operators import wordnet
 
-        return wordnet.statements(wordnet.new_terms(readers.wordnet_lines(lines)), attributes, instances)
+        known = readers.statements(readers.knowledge_lines(self.spark, base))
+        below = knowledge.downward_edges(known)
+        terms = wordnet.new_terms(
+            readers.wordnet_lines(lines), knowledge.mentions(known).select("term").distinct(), knowledge.closure(below, "Relation"), knowledge.closure(below, "Attribute"),
+            known.where("relation = 'instance'").select(F.col("args")[0].alias("term")).distinct(),
+        )
+        return wordnet.statements(terms)
 
     def list(self) -> DataFrame:
         return self.kb.list()
@@ -128,6 +139,10 @@ class Session:
         if not name or name == "quit":
             return None
         self.commands.append(line)
+        if name in ("rsts", "rrts", "gwnk"):  # a file and the knowledge base's folder
+            path, _, base = rest.partition(" ")
+            rows = readers.lines(self.spark, path) if name == "gwnk" else readers.sentence_lines(self.spark, path).select(F.col("line_num").alias("row_id"), F.col("sentence").alias("statement"))
+            return getattr(self, name)(rows, base.strip())
         if name not in ("ask", "add", "add_lbl", "clear", "list", "flow", "mh", "ss", "l2l", "oov", "hist", "help", "prover", "pv"):
             raise ValueError(f"unknown command {name!r}")
         return getattr(self, name)(*([rest] if rest else []))

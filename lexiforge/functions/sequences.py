@@ -41,20 +41,18 @@ def share_over(v: Column, bound: float) -> Column:
 
 def repetition(tokens: Column) -> dict[str, Column]:
     """Share of distinct tokens, of adjacent repeats, and of bigrams that occur more than once; (1, 0, 0) for one token or none."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    start = F.struct(F.lit(None).cast("int").alias("run"), F.get(pairs, F.lit(0)).alias("last"), F.lit(0).alias("again"))
-
-    def step(acc, p):
-        run = F.when(p == acc["last"], F.coalesce(acc["run"], F.lit(0)) + 1).otherwise(1)
-        more = F.when(run == 2, 2).when(run > 2, 1).otherwise(0)
-        return F.struct(run.alias("run"), p.alias("last"), (acc["again"] + more).alias("again"))
-
-    again = F.when(n > 1, F.aggregate(F.array_sort(pairs), start, step, lambda acc: acc["again"])).otherwise(0)
-    part = lambda x, other: F.when(n <= 1, F.lit(other)).otherwise(F.try_divide(x.cast("double"), (n - 1).cast("double")))
-    unique = F.when(n <= 1, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_distinct(tokens)).cast("double"), n.cast("double")))
-    return {"uniq_token_ratio": unique, "rep_1gram": part(same, 0.0), "rep_2gram": part(again, 0.0)}
+    def measured(t: Column) -> Column:
+        n = F.size(t)
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("\u0000"), b))
+        again = lambda s: F.size(F.filter(s, lambda p, i: (p == F.get(s, i - 1)) | (p == F.get(s, i + 1))))
+        return F.struct(
+            n.alias("n"), F.size(F.array_distinct(t)).alias("distinct"), F.size(F.filter(t, lambda x, i: x == F.get(t, i - 1))).alias("same"),
+            F.get(F.transform(F.array(F.sort_array(pairs)), again), F.lit(0)).alias("again"),
+        )
+
+    m = F.get(F.transform(F.array(tokens), measured), F.lit(0))  # lambdas bind the tokens and the sorted pairs once
+    part = lambda x, of, other: F.when(m["n"] <= 1, F.lit(other)).otherwise(F.try_divide(m[x].cast("double"), of.cast("double")))
+    return {"uniq_token_ratio": part("distinct", m["n"], 1.0), "rep_1gram": part("same", m["n"] - 1, 0.0), "rep_2gram": part("again", m["n"] - 1, 0.0)}
 
 
 def surprise(v: Column) -> dict[str, Column]:

@@ -1,7 +1,7 @@
 """Calibration of a coherence model: features, folds, gradient descent, thresholds, importance, ablation.
 
 Scores and labels are rows; curves come from one aggregation of counts per threshold step, so a curve over any number of
-rows is a shuffle of at most folds x steps rows.  A fold's training set is one task's work, as in the reference.
+rows is a shuffle of at most folds x steps rows.  Models are fitted by sums over tasks, all folds in one job a step.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import sequences as N
-from lexiforge.operators.pairs import share
+from lexiforge.functions.sequences import wilson
+from lexiforge.operators.pairs import ranked_within, share
+from lexiforge.operators.selection import weakest
+from lexiforge.operators.stored import stored
 
 
 def standardised(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -114,24 +117,74 @@ def probabilities(x: np.ndarray, w: np.ndarray, mean: np.ndarray, std: np.ndarra
     return 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / std) @ w[1:], -500, 500)))
 
 
-def cross_validated(rows: DataFrame, key: str, features: list[str], k: int = 5, **training) -> DataFrame:
-    """(fold, key, y, p, weights, means, stds): each fold's rows scored by a model of the others; folds train in parallel.
+def _fitted(rows: DataFrame, k: int, d: int, l2: float, steps: int, close: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Weights (bias first), means and deviations of each fold's model, trained on the rows (fold, y, x) of the other folds.
 
-    rows has y and fold.  A row goes to the k - 1 training sets that it belongs to and to its own fold's validation.
+    Newton's steps to the optimum that gradient descent of the same loss approaches.  A step is one job for all folds: tasks
+    add up gradients and second derivatives, a few numbers for each fold, and the driver solves for the weights.
     """
-    kind = dict(rows.dtypes)[key]
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("key")
-        train, val = pdf[pdf["fold"] != pdf["held"]], pdf[pdf["fold"] == pdf["held"]]
-        w, m, s = fit_arrays(np.array(train["x"].tolist()), train["y"].to_numpy(float), **training)
-        p = probabilities(np.array(val["x"].tolist()).reshape(-1, len(features)), w, m, s)
-        return pd.DataFrame({"fold": val["held"], key: val["key"], "y": val["y"], "p": p, "weights": [w] * len(val), "means": [m] * len(val), "stds": [s] * len(val)})
-
-    sets = rows.select(F.col(key).alias("key"), "y", "fold", F.array(*[F.col(f).cast("double") for f in features]).alias("x")).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return sets.groupBy("held").applyInPandas(run, f"fold int, {key} {kind}, y int, p double, weights array<double>, means array<double>, stds array<double>")
+    def summed(f) -> np.ndarray:
+        """f(x, y, fold, held) -> rows of numbers, summed over the rows that each fold trains on; (k, numbers)."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            total = None
+            for b in batches:
+                fold, y = b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                part = np.stack([f(x[fold != h], y[fold != h], h) for h in range(k)])
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["held", "v"])
+
+        got = rows.select("fold", "y", "x").mapInArrow(run, "held int, v array<double>").toArrow().sort_by("held").to_pylist()  # k rows a task
+        out = np.zeros((k, len(got[0]["v"]) if got else 0))
+        for r in got:
+            out[r["held"]] += r["v"]
+        return out
+
+    sums = summed(lambda x, y, h: np.r_[len(x), x.sum(axis=0)])
+    if not sums.size:
+        return []
+    n = np.maximum(sums[:, 0], 1)
+    means = sums[:, 1:] / n[:, None]
+    stds = np.sqrt(summed(lambda x, y, h: ((x - means[h]) ** 2).sum(axis=0)) / np.maximum(n - 1, 1)[:, None])
+    stds[stds <= 1e-8] = 1.0
+    w, decay = np.zeros((k, d + 1)), np.r_[0.0, np.full(d, l2)]
+
+    def slopes(x, y, h):
+        xb = np.hstack([np.ones((len(x), 1)), (x - means[h]) / stds[h]])
+        p = 1 / (1 + np.exp(-np.clip(xb @ w[h], -500, 500)))
+        return np.r_[xb.T @ (p - y), (xb.T @ (xb * (p * (1 - p))[:, None])).ravel()]
+
+    for _ in range(steps):
+        s = summed(slopes)
+        move = np.stack([np.linalg.lstsq(s[h, d + 1 :].reshape(d + 1, d + 1) / n[h] + np.diag(decay), s[h, : d + 1] / n[h] + decay * w[h], rcond=None)[0] for h in range(k)])
+        move *= np.minimum(1, 4 / np.maximum(np.abs(move).max(axis=1), 1e-12))[:, None]  # no wild step from far off
+        w -= move
+        if np.abs(move).max() < close:
+            break
+    return [(w[h], means[h], stds[h]) for h in range(k)]
+
+
+def cross_validated(rows: DataFrame, key: str, features: list[str], k: int = 5, l2: float = 1e-3, steps: int = 40, close: float = 1e-10) -> DataFrame:
+    """(fold, key, y, p, weights, means, stds): each fold's rows scored by a logistic regression of the others, features standardised.
+
+    rows has y and fold.  Training is sums over tasks (see _fitted), scoring an expression; the input is read once and kept meanwhile.
+    """
+    d, kind = len(features), dict(rows.dtypes)[key]
+    held = rows.select("fold", F.col("y").cast("int").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(key).alias("__key"))
+    held = stored(held)
+    models = _fitted(held, k, d, l2, steps, close)
+    if not models:
+        return rows.sparkSession.createDataFrame([], f"fold int, {key} {kind}, y int, p double, weights array<double>, means array<double>, stds array<double>")
+    table = F.array(*[F.struct(*[F.array(*[F.lit(float(v)) for v in part]).alias(name) for name, part in zip(("w", "m", "s"), m)]) for m in models])
+    scored = held.withColumn("m", F.get(table, F.col("fold")))
+    terms = F.zip_with(F.zip_with(F.col("x"), F.col("m.m"), lambda a, b: a - b), F.zip_with(F.slice("m.w", 2, d), F.col("m.s"), lambda a, b: a / b), lambda a, b: a * b)
+    z = F.aggregate(terms, F.get("m.w", F.lit(0)), lambda a, b: a + b)
+    return scored.select(F.col("fold").cast("int").alias("fold"), F.col("__key").alias(key), "y", (1 / (1 + F.exp(-z))).alias("p"), F.col("m.w").alias("weights"), F.col("m.m").alias("means"), F.col("m.s").alias("stds"))
 
 
 def weight_summary(scored: DataFrame, features: list[str]) -> DataFrame:
@@ -146,34 +199,43 @@ def weight_summary(scored: DataFrame, features: list[str]) -> DataFrame:
 
 
 def permutation_importance(rows: DataFrame, scored: DataFrame, choices: DataFrame, key: str, features: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, metric, delta_mean, delta_std): how much each metric falls at a fold's own threshold when a feature is shuffled within the fold."""
-    held = scored.join(rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("x")), key).join(choices.select("fold", "threshold"), "fold")
-    jobs = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select("fold", "j", key, "y", "x", "weights", "means", "stds", "threshold")
-
-    def counts(y, p, t):
-        keep = p >= t
-        n, c = int(keep.sum()), int(y[keep].sum())
-        z, frac = 1.96, c / n if n else 0.0
-        low = max(0.0, (frac + z * z / (2 * n) - z * np.sqrt(frac * (1 - frac) / n + z * z / (4 * n * n))) / (1 + z * z / n)) if n else 0.0
-        return np.array([c / len(y), frac, low, n / len(y), c / y.sum() if y.sum() else 0.0])
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(key)
-        fold, j = int(pdf["fold"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y, t = np.array(pdf["x"].tolist()), pdf["y"].to_numpy(), pdf["threshold"].iloc[0]
-        w, m, s = (np.array(pdf[c].iloc[0]) for c in ("weights", "means", "stds"))
-        rng, out = np.random.default_rng([seed, fold, j]), []
-        for _ in range(repeats):
-            z = x.copy()
-            z[:, j] = rng.permutation(z[:, j])
-            out.append(counts(y, probabilities(z, w, m, s), t))
-        d = counts(y, probabilities(x, w, m, s), t) - np.mean(out, axis=0)
-        return pd.DataFrame({"fold": fold, "feature": features[j], "metric": ["coherent_kept_rate", "precision", "precision_lcb", "coverage", "recall"], "delta": d})
-
-    each = jobs.groupBy("fold", "j").applyInPandas(run, "fold int, feature string, metric string, delta double")
-    return each.groupBy("feature", "metric").agg(F.avg("delta").alias("delta_mean"), F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("delta_std"))
+    """(feature, metric, delta_mean, delta_std): how much each metric falls at a fold's own threshold when a feature is shuffled within the fold.
+
+    A shuffle pairs each row with the one of the same rank in another hash order of its fold; all is joins and sums.
+    """
+    d = len(features)
+    names = F.array(*[F.lit(f) for f in features])
+    base = rows.select(F.col(key).alias("k"), "fold", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+
+    def placed(s: int, name: str) -> DataFrame:
+        return ranked_within(base.withColumn("__h", F.struct(F.md5(F.concat_ws(":", F.lit(str(s)), F.col("k").cast("string")).cast("binary")).alias("h"), "k")), "fold", "__h", name).drop("__h")
+
+    own = stored(placed(seed, "rank").select("k", "fold", "rank", "x"))
+    other = None
+    for r in range(repeats):
+        one = placed(seed + r + 1, "rank").select(F.col("fold").alias("f2"), F.col("rank").alias("r2"), F.col("x").alias("z"), F.lit(r).alias("repeat"))
+        other = one if other is None else other.unionByName(one)
+    met = own.join(other, (F.col("fold") == F.col("f2")) & (F.col("rank") == F.col("r2"))).select("k", "repeat", "z")
+    held = scored.select(F.col(key).alias("k"), "fold", "y", "p", "weights", "stds").join(own.select("k", "x"), "k").join(choices.select("fold", "threshold"), "fold")
+    logit = F.ln(F.col("p") / (1 - F.col("p")))
+    moved = lambda j: logit + (F.get("z", j) - F.get("x", j)) / F.get("stds", j) * F.get("weights", j + 1)
+    each = held.join(met, "k").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1)))).withColumn("keep", moved(F.col("j")) >= F.ln(F.col("threshold") / (1 - F.col("threshold"))))
+    sums = lambda df, by, keep: df.groupBy(*by).agg(F.count("*").alias("total"), F.sum("y").alias("good"), F.count_if(keep).alias("kept"), F.count_if(keep & (F.col("y") == 1)).alias("hit"))
+
+    def metrics(n, prefix):
+        share = F.coalesce(F.try_divide(n["hit"].cast("double"), n["kept"].cast("double")), F.lit(0.0))
+        of = lambda a, b: F.coalesce(F.try_divide(n[a].cast("double"), n[b].cast("double")), F.lit(0.0))
+        return F.struct(of("hit", "total").alias("coherent_kept_rate"), share.alias("precision"), wilson(n["hit"], n["kept"]).alias("precision_lcb"), of("kept", "total").alias("coverage"), of("hit", "good").alias("recall")).alias(prefix)
+
+    columns = ("total", "good", "kept", "hit")
+    asis = sums(held, ["fold"], F.col("p") >= F.col("threshold"))
+    before = asis.select("fold", metrics({c: asis[c] for c in columns}, "own"))
+    shuffled_ = sums(each, ["fold", "j", "repeat"], F.col("keep"))
+    after = shuffled_.select("fold", "j", metrics({c: shuffled_[c] for c in columns}, "new"))
+    parts = ("coherent_kept_rate", "precision", "precision_lcb", "coverage", "recall")
+    means = after.groupBy("fold", "j").agg(*[F.avg(f"new.{c}").alias(c) for c in parts]).join(before, "fold")
+    deltas = means.select(F.get(names, F.col("j")).alias("feature"), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), (F.col(f"own.{c}") - F.col(c)).alias("delta")) for c in parts])).alias("m"))
+    return deltas.groupBy("feature", "m.metric").agg(F.avg("m.delta").alias("delta_mean"), F.coalesce(F.stddev_samp("m.delta"), F.lit(0.0)).alias("delta_std"))
 
 
 def ablation(rows: DataFrame, key: str, features: list[str], least: float, lcb: bool = True, protected: tuple[str, ...] = (), fewest: int = 2, **training) -> list[dict]:
@@ -184,7 +246,7 @@ def ablation(rows: DataFrame, key: str, features: list[str], least: float, lcb:
         best = chosen(curve(scored, by=["fold"]), least, lcb, by=["fold"])
         row = best.agg(*[F.avg(c).alias(c) for c in ("coherent_kept_rate", "precision", "precision_lcb", "coverage", "recall")], F.median("threshold").alias("chosen_t")).first().asDict()
         out.append({"step": len(out), "n_features": len(left), "removed": removed, "features": list(left)} | row)
-        weak = weight_summary(scored, left).where(~F.col("feature").isin(list(protected) or [""])).orderBy("weight_mean_abs", F.desc("pos")).first()
+        weak = weakest(weight_summary(scored, left), list(protected) or [""]).first()
         scored.unpersist()
         if len(left) <= fewest or weak is None:
             return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
+from lexiforge.operators.pairs import ranked_within
+from lexiforge.operators.stored import stored
 
 DOWNWARD = ("subAttribute", "instance", "subrelation", "subclass")
 
@@ -35,22 +37,16 @@ def closure(edges: DataFrame, root: str, most_levels: int = 1000) -> DataFrame:
 
     Level-synchronous: each round joins the frontier only and leaves out what was reached before.
     """
-    spark = edges.sparkSession
-    step = edges.where("parent <> child and not startswith(child, '?')").select("parent", "child").distinct().persist()
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
-    reached = frontier = spark.createDataFrame([(root,)] if not root.startswith("?") else [], "term string")
+    step = stored(edges.where("parent <> child and not startswith(child, '?')").select("parent", "child").distinct())
+    reached = frontier = edges.sparkSession.createDataFrame([(root,)] if not root.startswith("?") else [], "term string")
     for level in range(most_levels):
-        frontier = step.join(frontier, step["parent"] == frontier["term"]).select(F.col("child").alias("term")).distinct().join(reached, "term", "left_anti").checkpoint()
+        frontier = stored(step.join(frontier, step["parent"] == frontier["term"]).select(F.col("child").alias("term")).distinct().join(reached, "term", "left_anti"))
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.union(frontier)
         if level % 8 == 7:
-            reached = reached.checkpoint()
-    step.unpersist()
-    return reached
+            reached = stored(reached)
+    raise RuntimeError(f"the hierarchy below {root} is deeper than {most_levels} levels")
 
 
 def downward_edges(statements: DataFrame) -> DataFrame:
@@ -105,13 +101,56 @@ def new_term_formats(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return candidates.select("term", "phrase").distinct().join(existing.select("term", "phrase"), ["term", "phrase"], "left_anti")
 
 
-def numbered_names(rows: DataFrame, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """rows with unique: the name, or with the number of earlier rows of that name (and a taken term of that name) behind it."""
-    from pyspark.sql import Window
+#: Names that may clash (alike but for digits at their end) are numbered in one task up to so many rows, else in rounds.
+FEW = 100_000
+
 
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    out = rows.withColumn("__n", n)
+def numbered_names(rows: DataFrame, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
+    """rows with unique: in order, each row gets its name, or the name with the first of 1, 2, ... that neither an earlier row nor a taken term (term) has."""
+    stem = lambda c: F.regexp_replace(c, "[0-9]+$", "")
+    keyed = stored(rows.withColumn("__row", F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("r"))).withColumn("__stem", stem(F.col(name))))
+    many = keyed.groupBy("__stem").agg(F.count("*").alias("n")).where(f"n > {FEW}").select("__stem")
+    large = keyed.join(many, "__stem", "left_semi")
+    small = keyed.join(many, "__stem", "left_anti").select("__stem", "__row", F.col(name).alias("name"))
     if taken is not None:
-        held = taken.select(F.col("term").alias("__t"), F.lit(1).alias("__more")).distinct()
-        out = out.join(held, F.col(name) == F.col("__t"), "left").withColumn("__n", F.col("__n") + F.coalesce("__more", F.lit(0))).drop("__t", "__more")
-    return out.withColumn("unique", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.col("__n").cast("string")))).drop("__n")
+        used = taken.select(stem(F.col("term")).alias("__stem"), F.col("term").alias("name")).distinct().join(small.select("__stem").distinct(), "__stem", "left_semi")
+        small = small.unionByName(used, allowMissingColumns=True)
+
+    def number(pdf):
+        import pandas as pd
+
+        own = pdf[pdf["__row"].notna()]
+        given, following, out = set(pdf[pdf["__row"].isna()]["name"]), {}, []
+        for i in sorted(own.index, key=lambda i: own.at[i, "at"]):
+            base, k = own.at[i, "name"], following.get(own.at[i, "name"], 0)
+            while (n := base if k == 0 else f"{base}{k}") in given:
+                k += 1
+            given.add(n)
+            following[base] = k + 1
+            out.append((own.at[i, "__row"], n))
+        return pd.DataFrame(out, columns=["__row", "unique"])
+
+    placed = small.where("name is not null").withColumn("at", F.rank().over(Window.partitionBy("__stem").orderBy(F.col("__row").asc_nulls_first()))).withColumn("__row", F.col("__row.r"))
+    got = placed.groupBy("__stem").applyInPandas(number, "__row long, unique string")
+    few = keyed.join(many, "__stem", "left_anti").join(got.withColumnRenamed("__row", "__r"), F.col("__row.r") == F.col("__r"), "left").select(*rows.columns, "unique")
+    return few if large.isEmpty() else few.unionByName(_in_rounds(large.drop("__stem", "__row"), name, order, taken))
+
+
+def _in_rounds(rows: DataFrame, name: str, order: str, taken: DataFrame | None) -> DataFrame:
+    """numbered_names for any number of names that clash.
+
+    Every row asks for a name, the earliest of those that ask for a free one holds it, the others count up and ask again.
+    A later row gives way to an earlier one, so the end is that of going in order.  A row begins at its place among equal
+    names, since the earlier ones hold as many numbers.
+    """
+    held = None if taken is None else stored(taken.select(F.col("term").alias("unique"), F.lit(True).alias("__taken")).distinct())
+    each = ranked_within(rows.withColumn("__row", F.struct(F.col(order).alias("o"), F.monotonically_increasing_id().alias("r"))), name, "__row", "__n")
+    each = each.withColumn("__n", F.col("__n") - 1)
+    while True:
+        each = stored(each.withColumn("unique", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.col("__n").cast("string")))))
+        first = each.groupBy("unique").agg(F.min("__row").alias("__first"))
+        first = first.withColumn("__taken", F.lit(None).cast("boolean")) if held is None else first.join(held, "unique", "left")
+        told = stored(each.join(first, "unique", "left").withColumn("__lost", F.col("unique").isNotNull() & (F.col("__taken").isNotNull() | (F.col("__row") > F.col("__first")))))
+        if told.where("__lost").isEmpty():
+            return told.select(*rows.columns, "unique")
+        each = told.withColumn("__n", F.col("__n") + F.col("__lost").cast("int")).drop("unique", "__first", "__taken", "__lost")

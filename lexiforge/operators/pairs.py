@@ -30,7 +30,9 @@ def first_copies(rows: DataFrame, key: str = "input", order: str = "row_id") ->
 
 
 def later_copies(rows: DataFrame, key: str = "input", order: str = "row_id") -> DataFrame:
-    return copy_number(rows, key, order).where("copy > 1").drop("copy")
+    """All but the first of equal keys: the first is aggregated before the shuffle, and rows of a hot key can be split for the join."""
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("__key"))).where(F.col(order) > F.col("__first")).drop("__key", "__first")
 
 
 def zipped(left: DataFrame, right: DataFrame, by: str = "line_num") -> DataFrame:
@@ -90,23 +92,28 @@ def term_ids(occurrences: DataFrame, order: str = "row_id") -> DataFrame:
     return ranked(firsts, "first", "id").select("term", "id", "count")
 
 
-def ranked(rows: DataFrame, by: str, name: str, buckets: int = 256) -> DataFrame:
+def ranked(rows: DataFrame, by: str, name: str, buckets: int | None = None) -> DataFrame:
     """rows with a global 1-based rank by a column without ties.
 
-    Rows fall into ordered buckets at approximate quantiles of their order number; ranks within a bucket are added to
-    the counts of the buckets before it, so no task holds all rows.
+    Rows fall into as many ordered ranges as the session has shuffle partitions; ranks within a range are added to the
+    counts of those before it, so no task holds all rows.  The ranges are kept for both uses, since they are sampled.
     """
-    spark = rows.sparkSession
-    part = rows.repartitionByRange(buckets, by).withColumn("__part", F.spark_partition_id())
-    held = part.persist()
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.repartitionByRange(buckets, by).withColumn("__part", F.spark_partition_id()).persist()
     before = held.groupBy("__part").agg(F.count("*").alias("__n")).withColumn(
         "__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    del spark
     within = F.row_number().over(Window.partitionBy("__part").orderBy(by))
     return held.withColumn("__at", within).join(F.broadcast(before.drop("__n")), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
 
 
+def ranked_within(rows: DataFrame, group: str, by: str, name: str) -> DataFrame:
+    """rows with a 1-based rank within each group: the global rank by group and column less the group's first, so a large group is no one's task."""
+    placed = ranked(rows.withColumn("__o", F.struct(F.col(group).alias("g"), F.col(by).alias("b"))), "__o", "__r")
+    first = placed.groupBy(F.col(group).alias("__g")).agg(F.min("__r").alias("__first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__r") - F.col("__first") + 1).drop("__o", "__r", "__g", "__first")
+
+
 def complexity_histogram(rows: DataFrame, terms: Column) -> DataFrame:
     """(bin, n) for all eight bins, zeros included."""
     bins = rows.sparkSession.range(8).select(F.col("id").cast("int").alias("bin"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.operators.pairs import ranked
+from lexiforge.operators.pairs import ranked, ranked_within
+from lexiforge.operators.stored import stored
 
 
 def hash_order(key: Column, seed: int = 42) -> Column:
@@ -53,9 +55,10 @@ def hashed_split(rows: DataFrame, key: str, percent: int, seed: int = 42) -> Dat
 
 def stratified(rows: DataFrame, key: str, stratum: str, fraction: float, seed: int = 42) -> DataFrame:
     """rows with chosen: in each stratum the first round-half-even(fraction * n) in hash order."""
-    each = Window.partitionBy(stratum)
-    at = F.row_number().over(each.orderBy(hash_order(F.col(key), seed), key))
-    return rows.withColumn("__at", at).withColumn("__n", F.count("*").over(each)).withColumn("chosen", F.col("__at") <= F.bround(F.col("__n") * fraction)).drop("__at", "__n")
+    placed = ranked_within(rows.withColumn("__h", F.struct(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"))), stratum, "__h", "__at")
+    sizes = rows.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    chosen = F.col("__at") <= F.bround(F.col("__n") * fraction)
+    return placed.join(sizes, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("chosen", chosen).drop("__h", "__at", "__n", "__s")
 
 
 def folds(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -68,20 +71,34 @@ def random_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
-def with_distractors(rows: DataFrame, key: str, terms: str, pool: DataFrame, low: float = 1.5, high: float = 3.5, seed: int = 42, stock: int = 5000) -> DataFrame:
-    """rows with candidates: their terms and drawn others, a stretch of the shuffled stock; n terms get round(u * n) - n others, u in [low, high).
+def _prime_from(n: int) -> int:
+    while n < 2 or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
 
-    The pool is a table of terms; the stock drawn from it is bounded and broadcast.
+
+def with_distractors(rows: DataFrame, key: str, terms: str, pool: DataFrame, low: float = 1.5, high: float = 3.5, seed: int = 42) -> DataFrame:
+    """rows with candidates: their terms and others drawn from the whole pool, in hash order; n terms get round(u * n) - n others
+    (the whole pool if it has fewer), u in [low, high).
+
+    The pool is ranked in hash order.  A row draws the ranks start, start + step, ... modulo the least prime that isn't below
+    the pool's size, which never repeat; ranks beyond the pool are passed over.  Draws meet the pool in an equi-join.
     """
-    some = pool.select(F.col(pool.columns[0]).alias("t")).distinct().orderBy(hash_order(F.col("t"), seed)).limit(stock).agg(F.array_sort(F.collect_list(F.struct(hash_order(F.col("t"), seed).alias("h"), "t")))["t"].alias("__stock"))
-    u = F.conv(F.substring(hash_order(F.col(key), seed + 1), 1, 7), 16, 10).cast("double") / float(1 << 28) * (high - low) + low
+    stock = ranked(pool.select(F.col(pool.columns[0]).alias("__t")).distinct().withColumn("__h", F.struct(hash_order(F.col("__t"), seed).alias("h"), F.col("__t").alias("k"))), "__h", "__rank").select("__t", "__rank")
+    size = stock.count()
+    prime = _prime_from(size)
+    number = lambda s: F.conv(F.substring(hash_order(F.col(key), s), 1, 7), 16, 10).cast("long")
+    u = number(seed + 1).cast("double") / float(1 << 28) * (high - low) + low
     n = F.size(terms)
-    more = F.greatest(F.lit(0), F.bround(u * n).cast("int") - n)
+    more = F.least(F.greatest(F.lit(0), F.bround(u * n).cast("int") - n), F.lit(size))
+    start, step = number(seed + 2) % prime, 1 + number(seed + 3) % max(1, prime - 1)
+    places = F.transform(F.sequence(F.lit(0), more + (prime - size)), lambda i: (start + i * step) % prime)
+    drawn = F.slice(F.filter(places, lambda p: p < size), 1, more)
+    each = rows.select(F.col(key).alias("__key"), F.explode(drawn).alias("__rank")).withColumn("__rank", F.col("__rank") + 1)
+    got = each.join(stock, "__rank").groupBy("__key").agg(F.collect_list("__t").alias("__drawn"))
     order = lambda t: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), t).cast("binary")).alias("h"), t.alias("t"))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.greatest(F.size("__stock") - more + 1, F.lit(1))).cast("int")
-    drawn = F.slice("__stock", at + 1, more)
-    mixed = F.array_sort(F.transform(F.concat(F.col(terms), drawn), order))["t"]
-    return rows.crossJoin(F.broadcast(some)).withColumn("candidates", mixed).drop("__stock")
+    both = F.concat(F.col(terms), F.coalesce("__drawn", F.array().cast("array<string>")))
+    return rows.join(got, F.col(key) == F.col("__key"), "left").withColumn("candidates", F.array_sort(F.transform(both, order))["t"]).drop("__key", "__drawn")
 
 
 def balanced_merge(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -97,40 +114,59 @@ def best_candidates(rows: DataFrame, group: str, score: str, marks: str, order:
     return rows.withColumn("met_ok", few).withColumn("sim_ok", good).withColumn("__at", at).where("__at = 1").drop("__at")
 
 
-def greedy_cover(rows: DataFrame, bin_: str, key: str, terms: str, most: int) -> DataFrame:
+def greedy_cover(rows: DataFrame, bin_: str, key: str, terms: str, most: int, at_once: int = 512) -> DataFrame:
     """(bin, key, rank, gain): in each bin up to `most` rows that add the most uncovered terms, ties to the smallest key.
 
-    When nothing adds a term, the rest is filled in hash order.  Bins are the unit of work (the reference has eight): a
-    bin's distinct term ids must fit one task; lazy evaluation with stale bounds picks what full evaluation would.
+    When nothing adds a term, the rest is filled in hash order.  Rounds over (bin, key, term) rows: Spark counts what every
+    row still adds, and a bin's best at_once rows are picked from in one task for as long as none outside can beat them (a
+    row never adds more than it did before); their terms leave by an anti-join.  The picks are what one at a time would give.
     """
-    numbered = F.transform(F.array_distinct(terms), lambda t: F.xxhash64(t))
     kind = dict(rows.dtypes)
-    schema = f"{bin_} {kind[bin_]}, {key} {kind[key]}, rank int, gain int"
+    narrow = rows.select(F.col(bin_).alias("b"), F.col(key).alias("k"), F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t))).alias("t")).where("size(t) > 0")
+    left = narrow.select("b", "k", F.explode("t").alias("t"))
+    schema = f"b {kind[bin_]}, k {kind[key]}, rank int, gain int, t array<bigint>"
 
     def pick(pdf):
         import pandas as pd
 
-        keys, sets = pdf["k"].tolist(), [set(x) for x in pdf["t"]]
-        heap = [(-len(s), k, i) for i, (k, s) in enumerate(zip(keys, sets)) if len(s)]
+        pdf = pdf.sort_values("at")
+        inside = pdf[pdf["at"] <= at_once]
+        outside = [(-int(g), k) for g, k in zip(pdf["gain"], pdf["k"])][at_once:]
+        sets, n, covered, out = {k: set(t) for k, t in zip(inside["k"], inside["t"])}, int(pdf["n"].iloc[0]), set(), []
+        heap = [(-len(s), k) for k, s in sets.items()]
         heapq.heapify(heap)
-        covered, out = set(), []
-        while heap and len(out) < most:
-            bound, k, i = heapq.heappop(heap)
-            gain = len(sets[i] - covered)
+        while heap and len(out) < most - n and not (outside and outside[0] < heap[0]):
+            bound, k = heapq.heappop(heap)
+            gain = len(sets[k] - covered)
             if gain == -bound:
-                if not gain:
-                    break
-                out.append((k, len(out) + 1, gain))
-                covered |= sets[i]
+                out.append((pdf["b"].iloc[0], k, n + len(out) + 1, gain, list(sets[k])))
+                covered |= sets[k]
             elif gain:
-                heapq.heappush(heap, (-gain, k, i))
-        taken = {o[0] for o in out}
-        rest = pdf[pdf["t"].map(len).gt(0) & ~pdf["k"].isin(taken)].sort_values(["h", "k"])
-        out += [(k, len(out) + 1 + j, 0) for j, k in enumerate(rest["k"].head(max(0, most - len(out))))]
-        return pd.DataFrame({bin_: pdf["b"].iloc[0], key: [o[0] for o in out], "rank": [o[1] for o in out], "gain": [o[2] for o in out]})
-
-    narrow = rows.select(F.col(bin_).alias("b"), F.col(key).alias("k"), numbered.alias("t"), hash_order(F.col(key)).alias("h"))
-    return narrow.groupBy("b").applyInPandas(pick, schema)
+                heapq.heappush(heap, (-gain, k))
+        return pd.DataFrame(out, columns=["b", "k", "rank", "gain", "t"])
+
+    spark, picks, counts = rows.sparkSession, None, {}
+    while True:
+        done = spark.createDataFrame(list(counts.items()) or [], f"b {kind[bin_]}, n int")
+        gains = left.groupBy("b", "k").agg(F.count("*").alias("gain"), F.collect_list("t").alias("t"))
+        gains = gains.join(F.broadcast(done), gains["b"].eqNullSafe(done["b"]), "left").drop(done["b"]).withColumn("n", F.coalesce("n", F.lit(0))).where(f"n < {most}")
+        best = gains.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("gain"), "k"))).where(f"at <= {at_once + 1}")
+        got = stored(best.groupBy("b").applyInPandas(pick, schema))
+        found = got.groupBy("b").agg(F.max("rank")).collect()  # a row for each bin
+        if not found:
+            break
+        counts |= {b: n for b, n in found}
+        picks = got if picks is None else picks.unionByName(got)
+        used = got.select(F.col("b").alias("__b"), F.explode("t").alias("__t"))
+        left = stored(left.join(used, left["b"].eqNullSafe(used["__b"]) & (left["t"] == used["__t"]), "left_anti"))
+    if picks is None:
+        return narrow.select(F.col("b").alias(bin_), F.col("k").alias(key), F.lit(0).alias("rank"), F.lit(0).alias("gain")).limit(0)
+    picked = picks.select("b", "k", "rank", "gain")
+    done = spark.createDataFrame(list(counts.items()), f"b {kind[bin_]}, n int")
+    rest = narrow.select("b", "k").join(picked.select(F.col("k").alias("__k"), F.col("b").alias("__b")), (F.col("k") == F.col("__k")) & F.col("b").eqNullSafe(F.col("__b")), "left_anti")
+    rest = rest.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy(hash_order(F.col("k")), "k"))).where(f"at <= {most}")
+    rest = rest.join(F.broadcast(done), rest["b"].eqNullSafe(done["b"])).drop(done["b"]).where(f"n + at <= {most}").select("b", "k", (F.col("n") + F.col("at")).cast("int").alias("rank"), F.lit(0).alias("gain"))
+    return picked.unionByName(rest).select(F.col("b").alias(bin_), F.col("k").alias(key), "rank", "gain")
 
 
 def weakest(summary: DataFrame, protected: list[str], name: str = "feature", mean_abs: str = "weight_mean_abs", pos: str = "pos") -> DataFrame:

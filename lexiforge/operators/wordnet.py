@@ -11,29 +11,45 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import python as P
 from lexiforge.operators.knowledge import numbered_names
+from lexiforge.operators.stored import stored
 from lexiforge.sources.writers import documentation, term_format
 
 OWN_FILE = 100
 
 
-def children(lines: DataFrame) -> DataFrame:
-    """(root, synset_id, ...): each line under each of its subsuming terms, with the number of the root's children."""
-    each = lines.where("size(subsuming) > 0").withColumn("root", F.explode(F.array_distinct("subsuming")))
-    counts = each.groupBy("root").agg(F.count("*").alias("n_children"))
-    return each.join(counts, "root")
+def children(lines: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """(root, pos, synset_id, ..., n_children): each line under each of its subsuming terms that isn't a relation (term)."""
+    each = lines.withColumn("subsuming", F.array_distinct("subsuming")).select("*", F.posexplode("subsuming").alias("pos", "root"))
+    if relations is not None:
+        each = each.join(relations.select(F.col("term").alias("root")).distinct(), "root", "left_anti")
+    return each.join(each.groupBy("root").agg(F.count("*").alias("n_children")), "root")
 
 
-def new_terms(lines: DataFrame, taken: DataFrame | None = None, most_levels: int = 40) -> DataFrame:
-    """(synset_id, line_num, root, term, parent, words, gloss, n_children, level) of synsets under one root each (their first).
+def new_terms(
+    lines: DataFrame, taken: DataFrame | None = None, relations: DataFrame | None = None, attributes: DataFrame | None = None, instances: DataFrame | None = None, most_levels: int = 1000,
+) -> DataFrame:
+    """(synset_id, line_num, root, term, parent, words, gloss, n_children, level, links): a term for each synset.
 
-    A synset whose hypernym is under the same root hangs below the hypernym's term, else below the root.  Hypernyms that
-    form a cycle are cut at the smallest line.
+    Of a synset's subsuming terms (without relations) the one that appears first of all is its root.  It hangs below the
+    terms of its hypernyms under that root, which take the root's place, and below its other subsuming terms; the last
+    hypernym, else the first subsuming term, gives the name.  links are array<struct<relation, parent>>: a term whose
+    parents are all attributes (term) is one too; below an attribute it is its subAttribute if that is an instance (term),
+    else its instance, and an attribute of it if it has other parents as well; all else are subclasses.  Names clash with
+    taken terms and earlier ones, by level, root and line.  Hypernyms in a cycle, which no level reaches, are left out.
     """
-    rows = children(lines.withColumn("subsuming", F.slice("subsuming", 1, 1)))
-    up = rows.select("root", "synset_id", "line_num", F.explode_outer("hypernyms").alias("above"))
-    inside = rows.select(F.col("root").alias("r"), F.col("synset_id").alias("s"))
-    parent = up.join(inside, (F.col("root") == F.col("r")) & (F.col("above") == F.col("s")) & (F.col("above") != F.col("synset_id"))).groupBy("root", "synset_id").agg(F.min("above").alias("above"))
-    todo = rows.join(parent, ["root", "synset_id"], "left").persist()
+    under = stored(children(lines, relations))
+    first = under.groupBy("root").agg(F.min(F.struct("line_num", "pos")).alias("seen"))
+    own = under.join(first, "root").groupBy("synset_id").agg(
+        F.min(F.struct("seen", "root", "n_children")).alias("r"), F.array_sort(F.collect_list(F.struct("pos", "root")))["root"].alias("maps"),
+        F.min(F.struct("line_num", "words", "hypernyms", "gloss")).alias("l"),
+    ).select("synset_id", "l.*", F.col("r.root").alias("root"), F.col("r.n_children").alias("n_children"), "maps")
+    inside = under.select("root", F.col("synset_id").alias("above")).distinct()
+    ups = own.select("synset_id", "root", F.posexplode("hypernyms").alias("at", "above")).where("above <> synset_id").join(inside, ["root", "above"]).select("synset_id", "at", "above")
+    wait = ups.groupBy("synset_id").agg(F.countDistinct("above").alias("wait"))
+    todo = stored(own.join(wait, "synset_id", "left").withColumn("wait", F.coalesce("wait", F.lit(0))))
+    ups = stored(ups)
+    flag = lambda df, name: (lines.sparkSession.createDataFrame([], "term string") if df is None else df.select("term")).distinct().withColumn(name, F.lit(True))
+    att, ins = flag(attributes, "att"), flag(instances, "ins")
 
     @F.pandas_udf("string")
     def name(word, parent_, grand):
@@ -41,18 +57,38 @@ def new_terms(lines: DataFrame, taken: DataFrame | None = None, most_levels: int
 
         return pd.Series([P.term_name(w, p or "", g or "") for w, p, g in zip(word, parent_, grand)])
 
-    level = todo.where("above is null").select("*", F.col("root").alias("parent"), F.lit("").alias("grand"))
-    out = None
+    out, names = None, taken.select("term") if taken is not None else None
     for n in range(most_levels):
-        made = level.withColumn("base", name(F.col("words")[0], "parent", "grand")).withColumn("level", F.lit(n))
-        made = made.select("synset_id", "line_num", "root", F.col("base"), "parent", "words", "gloss", "n_children", "level")
-        out = made if out is None else out.unionByName(made)
-        above = made.select(F.col("root").alias("r"), F.col("synset_id").alias("s"), F.col("base").alias("p"), F.col("parent").alias("g"))
-        level = todo.join(above, (F.col("root") == F.col("r")) & (F.col("above") == F.col("s"))).select(*todo.columns, F.col("p").alias("parent"), F.col("g").alias("grand")).persist()
-        if level.isEmpty():
+        if out is None:
+            level = todo.where("wait = 0").withColumn("new", F.array().cast("array<struct<at:int,term:string,att:boolean,ins:boolean,grand:string>>"))
+        else:
+            made = out.select(F.col("synset_id").alias("above"), F.col("root").alias("r"), "term", "att", "ins", "parent")
+            met = ups.join(made, "above").join(todo.select("synset_id", "root", "wait"), "synset_id").groupBy("synset_id").agg(
+                F.countDistinct("above").alias("met"), F.max("wait").alias("w"),
+                F.array_sort(F.collect_list(F.struct("at", "term", "att", "ins", F.when(F.col("r") == F.col("root"), F.col("parent")).otherwise("").alias("grand")))).alias("new"),
+            )
+            level = todo.join(met.where("met = w").drop("met", "w"), "synset_id").join(out.select("synset_id"), "synset_id", "left_anti")
+        last = F.try_element_at("new", F.lit(-1))
+        base = level.withColumn("base", name(F.col("words")[0], F.coalesce(last["term"], F.col("maps")[0]), F.coalesce(last["grand"], F.lit("")))).withColumn("at", F.struct("root", "line_num"))
+        if base.isEmpty():
             break
-    out = numbered_names(out.withColumn("at", F.struct("level", "root", "line_num")), "base", "at", taken)
-    return out.withColumnRenamed("unique", "term").drop("at", "base")
+        termed = numbered_names(base, "base", "at", names).withColumnRenamed("unique", "term").drop("base", "at")
+        kept = F.when(F.size("new") > 0, F.array_remove("maps", F.col("root"))).otherwise(F.col("maps"))
+        plain = termed.select("synset_id", F.posexplode(kept).alias("at", "up")).join(att.withColumnRenamed("term", "up"), "up", "left").join(ins.withColumnRenamed("term", "up"), "up", "left")
+        plain = plain.groupBy("synset_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("up").alias("term"), F.coalesce("att", F.lit(False)).alias("att"), F.coalesce("ins", F.lit(False)).alias("ins")))).alias("plain"))
+        short = lambda c: F.transform(c, lambda x: F.struct(x["term"].alias("term"), x["att"].alias("att"), x["ins"].alias("ins")))
+        parents = F.concat(short(F.reverse("new")), F.coalesce(short("plain"), F.array().cast("array<struct<term:string,att:boolean,ins:boolean>>")))
+        done = termed.join(plain, "synset_id", "left").withColumn("parents", parents).withColumn("att", F.forall("parents", lambda x: x["att"]))
+        links = F.transform("parents", lambda x: F.struct(relation(F.col("att"), x["att"], x["ins"]).alias("relation"), x["term"].alias("parent")))
+        done = done.withColumn("links", links).withColumn("ins", F.exists("links", lambda x: x["relation"] == "instance"))
+        done = done.select("synset_id", "line_num", "root", "term", F.col("parents")[0]["term"].alias("parent"), "words", "gloss", "n_children", F.lit(n).alias("level"), "links", "att", "ins")
+        out = stored(done if out is None else out.unionByName(done))
+        names = out.select("term") if taken is None else taken.select("term").union(out.select("term"))
+    else:
+        raise RuntimeError(f"hypernyms are deeper than {most_levels} levels")
+    if out is None:
+        raise ValueError("no synset is subsumed by a term")
+    return out.drop("att", "ins")
 
 
 def relation(is_attribute, parent_is_attribute, parent_is_instance):
@@ -62,16 +98,13 @@ def relation(is_attribute, parent_is_attribute, parent_is_instance):
     )
 
 
-def statements(terms: DataFrame, attributes: DataFrame, instances: DataFrame) -> DataFrame:
+def statements(terms: DataFrame) -> DataFrame:
     """(file, line_num, ord, value): documentation, relation and termFormat statements; roots of 100 children and more have their own file."""
-    att = attributes.select(F.col("term").alias("parent"), F.lit(True).alias("pa")).distinct()
-    ins = instances.select(F.col("term").alias("parent"), F.lit(True).alias("pi")).distinct()
-    t = terms.join(att, "parent", "left").join(ins, "parent", "left").withColumns({"pa": F.coalesce("pa", F.lit(False)), "pi": F.coalesce("pi", F.lit(False))})
-    rel = F.format_string("(%s %s %s)", relation(F.col("pa"), F.col("pa"), F.col("pi")), F.col("term"), F.col("parent"))
+    rel = F.transform("links", lambda x: F.format_string("(%s %s %s)", x["relation"], F.col("term"), x["parent"]))
     formats = F.transform("words", lambda w: term_format(F.col("term"), F.replace(w, F.lit("_"), F.lit(" "))))
-    all_lines = F.concat(F.array(documentation(F.col("term"), F.col("gloss")), rel), formats)
+    all_lines = F.concat(F.array(documentation(F.col("term"), F.col("gloss"))), rel, formats)
     file = F.when(F.col("n_children") >= OWN_FILE, F.concat("root", F.lit(".kif"))).otherwise("UNCATEGORIZED.kif")
-    return t.select(file.alias("file"), "line_num", F.posexplode(all_lines).alias("ord", "value"))
+    return terms.select(file.alias("file"), "line_num", F.posexplode(all_lines).alias("ord", "value"))
 
 
 def updated_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def _features(t):
 
 def _validated(t):
     rows = S.folds(_features(t), "doc_id", 5)
-    return rows, K.cross_validated(rows, "doc_id", FEATURES, epochs=400, lr=0.3)
+    return rows, K.cross_validated(rows, "doc_id", FEATURES)
 
 
 @query("logreg_cv")
@@ -109,7 +109,7 @@ def _(t, spark):
 @query("ablation")
 def _(t, spark):
     rows = S.folds(_features(t), "doc_id", 5).persist()
-    steps = K.ablation(rows, "doc_id", FEATURES, 0.9, fewest=3, epochs=200, lr=0.3)
+    steps = K.ablation(rows, "doc_id", FEATURES, 0.9, fewest=3)
     rows.unpersist()
     return spark.createDataFrame([(s["step"], s["n_features"], s["removed"], s["coherent_kept_rate"], s["precision"], s["chosen_t"]) for s in steps], "step int, n_features int, removed string, coherent_kept_rate double, precision double, chosen_t double")
 

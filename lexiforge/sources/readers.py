@@ -67,6 +67,25 @@ def after_preamble(rows: DataFrame) -> DataFrame:
     return kept.where("c.sentence is not null").groupBy("c.sentence").agg(F.max_by("c.validity", "line_num").alias("validity"))
 
 
+def last_known(rows: DataFrame, value: str, name: str, stretch: int = 100_000) -> DataFrame:
+    """rows (file, line_num, ...) with the last value that isn't null up to each line of its file.
+
+    It is carried within stretches of lines; only each stretch's last value is carried over a file, so a large file is many tasks'.
+    """
+    part = rows.withColumn("__stretch", F.expr(f"line_num div {stretch}"))
+    within = Window.partitionBy("file", "__stretch").orderBy("line_num")
+    before = Window.partitionBy("file").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = part.groupBy("file", "__stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("line_num"))).alias("__end"))
+    ends = ends.select(F.col("file").alias("__f"), F.col("__stretch").alias("__s"), F.last("__end", ignorenulls=True).over(before).alias("__before"))
+    done = part.withColumn(name, F.last(value, ignorenulls=True).over(within)).join(ends, F.col("file").eqNullSafe(F.col("__f")) & (F.col("__stretch") == F.col("__s")))
+    return done.withColumn(name, F.coalesce(name, "__before")).drop("__stretch", "__f", "__s", "__before")
+
+
+def first_lines(rows: DataFrame, n: int) -> DataFrame:
+    """The first n numbered lines of each file: a filter that the reader's numbers allow."""
+    return rows.where(F.col("line_num") <= n)
+
+
 def sectioned(rows: DataFrame, strict: bool = True) -> DataFrame:
     """(sentence, label, line_num) from lines (file, line_num, value) under section headers.
 
@@ -79,8 +98,7 @@ def sectioned(rows: DataFrame, strict: bool = True) -> DataFrame:
         label = F.when(~up.startswith("----"), None).when(has("INVALID SENTENCES"), -1).when(has("VALID SENTENCES"), 1).when(has("UNCLASSIFIED"), 0)
     else:
         label = F.when(~has("SENTENCE"), None).when(has("INVALID"), -1).when(has("UNCLASSIFIED"), 0).when(has("VALID"), 1)
-    order = Window.partitionBy("file").orderBy("line_num")
-    filled = rows.where(F.trim("value") != "").withColumn("head", label).withColumn("label", F.last("head", ignorenulls=True).over(order))
+    filled = last_known(rows.where(F.trim("value") != "").withColumn("head", label), "head", "label")
     body = filled.where("head is null and label is not null").select("file", "line_num", F.trim("value").alias("sentence"), "label")
     if strict:
         return body.where("label <> 0").select("sentence", "label", "line_num")

@@ -141,12 +141,41 @@ def test_wordnet_terms(spark):
     assert [(r.synset_id, r.words, r.hypernyms, r.gloss) for r in parsed.orderBy("line_num").collect()][0] == ("00000001-n", ["robin", "redbreast"], ["00000002-n"], "a small bird")
     terms = W.new_terms(parsed)
     assert rows(terms.select("synset_id", "term", "parent", "level")) == [("00000001-n", "RobinSongThrush", "SongThrushBird", 1), ("00000002-n", "SongThrushBird", "Bird", 0)]
-    none = spark.createDataFrame([], "term string")
-    out = [r.value for r in W.statements(terms, none, none).orderBy("line_num", "ord").collect()]
+    out = [r.value for r in W.statements(terms).orderBy("line_num", "ord").collect()]
     assert out[1] == "(subclass RobinSongThrush SongThrushBird)" and out[2] == '(termFormat EnglishLanguage RobinSongThrush "robin")' and len(out) == 7
     assert rows(W.updated_lines(parsed, terms))[2] == (4, "00000003 05 n 01 dog 0 000 | a dog &%Dog=")
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_numbers_behind_names_go_in_order(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW", few)
+    names = ["Dog", "Dog", "Dog1", "Cat", "Dog", "Dog1", "Cat"]
+    given, want = {"Cat", "Dog2"}, []
+    for n in names:
+        u = next(x for k in range(99) if (x := n if k == 0 else f"{n}{k}") not in given)
+        given.add(u)
+        want.append(u)
+    df = spark.createDataFrame(list(enumerate(names)), "o int, n string")
+    got = G.numbered_names(df, "n", "o", spark.createDataFrame([("Cat",), ("Dog2",)], "term string"))
+    assert [r.unique for r in got.orderBy("o").collect()] == want
+
+
+def test_wordnet_attributes_relations_and_clashes(spark):
+    """Several mappings, relations left out, attributes and instances carried down, names that are taken."""
+    term = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    lines = readers_lines(spark, [
+        "00000001 05 a 01 calm 0 000 | quiet &%Mood+", "00000002 05 a 01 calmer 0 001 @ 00000001 a 0000 | more so &%Mood+", "00000003 05 a 01 blue 0 000 | sad &%Mood+ &%Color+",
+        "00000004 05 a 01 odd 0 000 | strange &%Mood+ &%Thing+", "00000005 05 v 01 link 0 000 | to link &%related+", "00000006 05 n 01 calm 0 000 | a calm &%Mood+",
+    ])
+    terms = W.new_terms(readers.wordnet_lines(lines), taken=term("CalmMood1"), relations=term("related"), attributes=term("Mood", "Color"), instances=term("Color"))
+    got = {r.synset_id: (r.term, [tuple(x) for x in r.links]) for r in terms.collect()}
+    assert got == {
+        "00000001-a": ("CalmMood", [("instance", "Mood")]), "00000002-a": ("CalmerCalm", [("subAttribute", "CalmMood")]),
+        "00000003-a": ("BlueMood", [("instance", "Mood"), ("subAttribute", "Color")]), "00000004-a": ("OddMood", [("attribute", "Mood"), ("subclass", "Thing")]),
+        "00000006-n": ("CalmMood2", [("instance", "Mood")]),
+    }
+
+
 def test_calibration(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 3))
@@ -156,15 +185,21 @@ def test_calibration(spark):
     a, c = K.raw_rule({"f": 2.0}, {"f": 3.0}, {"f": 4.0}, 1.0, 0.5)
     assert a == {"f": 0.5} and c == pytest.approx(-0.5)
     df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(200)], "k int, y int, a double, b double, c double")
-    scored = K.cross_validated(S.folds(df, "k", 4), "k", ["a", "b", "c"], k=4, epochs=100, lr=0.5)
+    scored = K.cross_validated(S.folds(df, "k", 4), "k", ["a", "b", "c"], k=4)
     assert scored.count() == 200
+    for f in range(4):  # the optimum that gradient descent approaches on the other folds' rows
+        own = {r.k for r in scored.where(f"fold = {f}").collect()}
+        rest = [i for i in range(200) if i not in own]
+        plain, m, s = K.fit_arrays(x[rest], y[rest], epochs=20000, lr=0.5)
+        got = scored.where(f"fold = {f}").first()
+        assert np.allclose(got.weights, plain, atol=1e-4) and np.allclose(got.means, m) and np.allclose(got.stds, s)
     curve = K.curve(scored, 21).orderBy("threshold").collect()
     p = np.array([(r.p, r.y) for r in scored.collect()])
     for i, r in enumerate(curve):
         assert (r.kept, r.coh_kept) == ((p[:, 0] >= i / 20).sum(), p[p[:, 0] >= i / 20, 1].sum())
     best = K.chosen(K.curve(scored, 21), 0.99, min_accepted=500).first()
     assert (best.threshold, best.fallback, best.precision) == (1.0, "none", 0.0)
-    steps = K.ablation(S.folds(df, "k", 5), "k", ["a", "b", "c"], 0.8, fewest=2, epochs=50, lr=0.5)
+    steps = K.ablation(S.folds(df, "k", 5), "k", ["a", "b", "c"], 0.8, fewest=2)
     assert [s["n_features"] for s in steps] == [3, 2] and steps[1]["removed"] in ("b", "c")
     assert K.minimal_set([{"coherent_kept_rate": 1.0}, {"coherent_kept_rate": 0.995}, {"coherent_kept_rate": 0.5}]) == {"coherent_kept_rate": 0.995}
     assert all((r.kept, r.precision) == (0, 0.0) for r in K.curve(scored.limit(0), 21).collect())
