@@ -88,23 +88,18 @@ def _(t, spark):
     return G.syntax_statistics(docs, docs.where(~X.balanced(F.col("text"))).select(F.col("doc_id").alias("line_num")))
 
 
-# names that clash with each other and with taken ones: the SQL goes row by row in order, as a list of the names given so far
-@query("term_names", """WITH RECURSIVE r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Ab1' ELSE 'Ab' END || CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '' END AS base, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE p_partkey <= 60),
-g(i, p_partkey, name, given) AS (SELECT 0::BIGINT, 0::BIGINT, '', ['Ab', 'Ab12'] UNION ALL
-  SELECT r.i, r.p_partkey::BIGINT, n, list_append(given, n) FROM g JOIN r ON r.i = g.i + 1, LATERAL (SELECT list_filter(list_transform(range(0, 200), lambda k: CASE WHEN k = 0 THEN base ELSE base || k END), lambda x: NOT list_contains(given, x))[1] AS n))
-SELECT p_partkey, name FROM g WHERE i > 0""")
-def _(t, spark):
-    base = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Ab1").otherwise("Ab"), F.when(F.col("p_partkey") % 2 == 0, "1").otherwise(""))
-    rows = t("part").where("p_partkey <= 60").select(F.col("p_partkey").cast("long").alias("p_partkey"), base.alias("base"))
-    taken = spark.createDataFrame([("Ab",), ("Ab12",)], "term string")
+# the name itself and the numbers 1, 4, 7, ... behind it are taken, so the r-th row gets 2, 3, 5, 6, 8, ...
+@query("term_names", "SELECT p_partkey, p_brand || '-' || (3 * ((r - 1) // 2) + 2 + (r - 1) % 2) AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
+def _(t, spark):
+    rows = t("part").select("p_partkey", F.concat("p_brand", F.lit("-")).alias("base"))
+    free = rows.groupBy("base").agg(F.count("*").alias("n"))
+    taken = free.select(F.col("base").alias("term")).union(free.select(F.concat("base", F.explode(F.expr("transform(sequence(0, n), i -> string(3 * i + 1))")))))
     return G.numbered_names(rows, "base", "p_partkey", taken).select("p_partkey", F.col("unique").alias("name"))
 
 
-@query("part_names", "SELECT p_partkey, CASE WHEN r = 1 THEN p_brand ELSE p_brand || '-' || (r - 1) END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
+@query("part_names", "SELECT p_partkey, p_brand || '-' || CASE WHEN r = 1 THEN '' ELSE (r - 1)::VARCHAR END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
 def _(t, spark):
-    rows = t("part").select("p_partkey", F.concat("p_brand", F.lit("-")).alias("brand"), "p_brand")
-    done = G.numbered_names(rows, "brand", "p_partkey")
-    return done.select("p_partkey", F.when(F.col("unique") == F.col("brand"), F.col("p_brand")).otherwise(F.col("unique")).alias("name"))
+    return G.numbered_names(t("part").select("p_partkey", F.concat("p_brand", F.lit("-")).alias("base")), "base", "p_partkey").select("p_partkey", F.col("unique").alias("name"))
 
 
 @query("new_formats", "SELECT DISTINCT p_brand AS term, p_type AS phrase FROM part EXCEPT SELECT p_brand, p_type FROM part WHERE p_size < 25")

@@ -9,7 +9,7 @@ from lexiforge.functions import text as X
 from lexiforge.operators import pairs as O
 from lexiforge.operators import scramble as C
 from lexiforge.operators import selection as S
-from lexiforge.plans.common import query, r6
+from lexiforge.plans.common import WORDS_SQL, query, r6
 from lexiforge.sources import readers
 
 
@@ -194,7 +194,14 @@ def _(t, spark):
     return S.greedy_cover(rows, "lang", "doc_id", F.col("terms"), 40)
 
 
-@query("distractors")
+@query("distractors", rf"""WITH s AS (SELECT t, row_number() OVER (ORDER BY md5('42:' || t), t) - 1 AS r FROM (SELECT DISTINCT unnest({WORDS_SQL}) AS t FROM benchmark)),
+z AS (SELECT count(*) AS n FROM s), p AS (SELECT n, (SELECT min(q) FROM unnest(range(n, n + 300)) AS u(q) WHERE len(list_filter(range(2, sqrt(q)::BIGINT + 1), lambda d: q % d = 0 AND d < q)) = 0 AND q > 1) AS p FROM z),
+c AS (SELECT conv_id || '-' || turn AS row, list_distinct({WORDS_SQL}) AS own FROM conversations),
+h AS (SELECT *, ('0x' || substr(md5('43:' || row), 1, 7))::BIGINT AS a, ('0x' || substr(md5('44:' || row), 1, 7))::BIGINT % p AS b, 1 + ('0x' || substr(md5('45:' || row), 1, 7))::BIGINT % (p - 1) AS e FROM c, p),
+m AS (SELECT *, least(greatest(0, round_even((a::DOUBLE / 268435456.0::DOUBLE * 2.0::DOUBLE + 1.5::DOUBLE) * len(own), 0)::BIGINT - len(own)), n)::BIGINT AS more FROM h),
+d AS (SELECT row, own, list_filter(list_transform(range(0, more + p - n + 1), lambda i: (b + i * e) % p), lambda x: x < n)[1:more] AS ranks FROM m),
+e AS (SELECT row, unnest(own) AS t FROM d UNION ALL SELECT row, t FROM (SELECT row, unnest(ranks) AS r FROM d) JOIN s USING (r))
+SELECT c.row, coalesce(string_agg(t, ' ' ORDER BY md5(c.row || ':' || t), t), '') AS candidates FROM c LEFT JOIN e ON c.row = e.row GROUP BY c.row""")
 def _(t, spark):
     pool = t("benchmark").select(F.explode(X.words(F.col("text"))).alias("term"))
     rows = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("row"), F.array_distinct(X.words(F.col("text"))).alias("terms"))
@@ -232,7 +239,9 @@ def _(t, spark):
     return readers.sectioned(heads.unionByName(body)).select(F.substring_index("sentence", "|", 1).alias("file"), "line_num", "label")
 
 
-@query("scramble_map")
+@query("scramble_map", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '".*?"', ' ', 'g'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|\?')) AS token FROM benchmark),
+n AS (SELECT token, row_number() OVER (ORDER BY token) * 7368787 % 11881376 AS n FROM t)
+SELECT token, chr((65 + n // 456976 % 26)::INT) || chr((65 + n // 17576 % 26)::INT) || chr((65 + n // 676 % 26)::INT) || chr((65 + n // 26 % 26)::INT) || chr((65 + n % 26)::INT) AS code FROM n""")
 def _(t, spark):
     return C.code_map(t("benchmark").select("text"), "text")
 

@@ -215,12 +215,13 @@ def _(t, spark):
     return t("conversations").select("conv_id", "turn", X.translation_prompt(F.col("text")).alias("prompt"), wrapped(F.col("text")).alias("wrapped"))
 
 
-@query("sentence_split")
+@query("sentence_split", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, unnest(range(0, len(l)))::INT AS ord, unnest(l) AS sentence FROM l""")
 def _(t, spark):
     return t("documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("ord", "sentence"))
 
 
-@query("statement_parts")
+@query("statement_parts", "SELECT p_partkey, to_json(list_value('(a (b ' || p_brand || '))', '(c ' || p_size || ') rest'))::VARCHAR AS parts FROM part")
 def _(t, spark):
     text = F.format_string("(a (b %s)) (c %s) rest", "p_brand", F.col("p_size").cast("string"))
     return t("part").select("p_partkey", F.to_json(X.statement_parts(text)).alias("parts"))
@@ -251,3 +252,25 @@ def _(t, spark):
 def _(t, spark):
     n = X.lexical(F.col("text"))["sentence_length"]
     return t("documents").select("doc_id", N.complex_sentence(n, F.col("doc_id") % 9, F.col("doc_id") % 5).alias("complex"))
+
+
+@query("reply_cleanup", r"""SELECT doc_id, md5(regexp_replace('12. ' || text, '(?m)^\d+\.\s*', '', 'g')) AS unnumbered, contains(lower(text), 'yes') AS yes, trim(lang) AS resolved FROM documents""")
+def _(t, spark):
+    plain = F.md5(X.unnumbered(F.concat(F.lit("12. "), F.col("text"))).cast("binary"))
+    resolved = X.resolved_output(F.concat(F.col("text"), F.lit(" The resolved output is: "), F.col("lang"), F.lit(" ")))
+    return t("documents").select("doc_id", plain.alias("unnumbered"), X.yes(F.col("text")).alias("yes"), resolved.alias("resolved"))
+
+
+@query("pos_and_prompt", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'v' WHEN 2 THEN 'n' WHEN 3 THEN 'r' END AS pos,
+'Convert to SUO-KIF. Sentence: "' || c_name || '" Only use terms from this list: [' || c_mktsegment || ', ' || c_name || '].' AS prompt FROM customer""")
+def _(t, spark):
+    tag = F.element_at(F.array(*[F.lit(x) for x in ("JJ", "VBD", "NNS", "RB", "DT")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return t("customer").select("c_custkey", X.wordnet_pos(tag).alias("pos"), X.candidate_prompt(F.col("c_name"), F.array("c_mktsegment", "c_name")).alias("prompt"))
+
+
+@query("known_in_text", r"""WITH k AS (SELECT list(DISTINCT w) AS k FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> '')
+SELECT item_id, len(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b[a-zA-Z_][a-zA-Z_0-9]*\b'), lambda x: list_contains(k, x)))) AS n FROM benchmark, k WHERE NOT contains(text, '?')""")
+def _(t, spark):
+    known = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").agg(F.collect_set("w").alias("k"))  # the benchmark's words, a small table
+    rows = t("benchmark").where("not contains(text, '?')").crossJoin(F.broadcast(known))
+    return rows.select("item_id", F.size(X.known_terms(X.ascii_only(F.col("text")), F.col("k"))).cast("long").alias("n"))
