@@ -93,7 +93,7 @@ def _(t, spark):
 def _(t, spark):
     rows = t("part").select("p_partkey", F.concat("p_brand", F.lit("-")).alias("base"))
     free = rows.groupBy("base").agg(F.count("*").alias("n"))
-    taken = free.select(F.col("base").alias("term")).union(free.select(F.concat("base", F.explode(F.expr("transform(sequence(0, n), i -> string(3 * i + 1))")))))
+    taken = free.select(F.col("base").alias("term")).union(free.select(F.explode(F.expr("transform(sequence(0, n), i -> concat(base, string(3 * i + 1)))"))))
     return G.numbered_names(rows, "base", "p_partkey", taken).select("p_partkey", F.col("unique").alias("name"))
 
 
