@@ -111,3 +111,16 @@ def test_language_sets_match_fits_of_every_set():
                     s = (r * (c / r.sum(axis=1))[:, None]).sum(axis=0) / c.sum()
                 best = max(best, ((c * np.log(p @ s)).sum() - 6.0 * (k - 1) * np.log(c.sum() + 1), own))
         assert tuple(np.flatnonzero(share > 0)) == best[1]
+
+
+def test_small_sources_reach_their_targets_beside_a_huge_one(spark):
+    """Sources of a few words are neither lost nor doubled when blocks are far larger than their targets."""
+    from pyspark.sql import functions as F
+
+    from lexiforge.llm import mixing
+
+    huge = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 2000)").alias("text"), F.lit("a").alias("source"))
+    small = spark.createDataFrame([(1000 + i, "x " * n, s) for i, (n, s) in enumerate([(3, "b"), (9, "b"), (2, "c"), (40, "d"), (1, "e")])], "doc_id long, text string, source string")
+    rows = mixing.mix(huge.unionByName(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    got = {r.source: (r.taken, r.target) for r in rows}
+    assert all(got[s][0] == int(got[s][1]) for s in "bcde") and abs(got["a"][0] - got["a"][1]) < 0.01 * got["a"][1]
