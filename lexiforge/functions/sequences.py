@@ -69,6 +69,11 @@ def top_gap(top: Column, true: Column) -> Column:
     return mean(F.zip_with(top, true, lambda a, b: a - b))
 
 
+def top_mean(top: Column) -> Column:
+    """Mean of the best tokens' probabilities."""
+    return mean(top)
+
+
 def three_way(nll: Column, p95: Column, run: Column) -> Column:
     """-1 for weird, 1 for coherent, 0 for neither."""
     return F.when((nll > 3.5) | (p95 > 7.0) | (run >= 4), -1).when((nll < 2.2) & (p95 < 5.0) & (run <= 1), 1).otherwise(0)
@@ -114,6 +119,11 @@ def unknown_share(terms: Column, known: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_except(distinct, known)).cast("double"), F.size(distinct).cast("double")), F.lit(0.0))
 
 
+def too_long(length: Column, most: int = 30) -> Column:
+    """The plain measure of complexity: more words than that."""
+    return length > most
+
+
 def complex_sentence(length: Column, depth: Column, least_zipf: Column) -> Column:
     """Long, deep, or with a rare word."""
     return (length > 24) | (depth > 4) | (least_zipf < 3)

@@ -198,6 +198,12 @@ def weight_summary(scored: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def ordered(summary: DataFrame, by: str = "weight_mean_abs", pos: str | None = "pos") -> DataFrame:
+    """A summary of features with place 1, 2, ..., the largest value first, ties in feature order (one row a feature, small by nature)."""
+    ties = [pos] if pos else []
+    return summary.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), *ties)))
+
+
 def permutation_importance(rows: DataFrame, scored: DataFrame, choices: DataFrame, key: str, features: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, metric, delta_mean, delta_std): how much each metric falls at a fold's own threshold when a feature is shuffled within the fold.
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
+from lexiforge.operators import calibration, selection
 
 Rewrite = Callable[[str], str]
 
@@ -169,9 +170,16 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], kind: str, label: str = "y", seed: int = 42) -> DataFrame:
     """test with p, from MLlib: logreg, forest (500 trees of depth 12, leaves of 5, root-many features) or svm.
 
-    MLlib has no kernel machines: svm is linear, with its margin through a sigmoid.  Rows with missing features get no p.
+    The baselines plain_logreg, plain_forest and plain_svm take the usual defaults instead: a penalty of 1 against the sum
+    of losses, 100 trees as deep as MLlib lets them be (30) with leaves of 1.  MLlib has no kernel machines: svm is linear,
+    with its margin through a sigmoid.  Rows with missing features get no p.
     """
-    if kind == "logreg":
+    if kind in ("plain_logreg", "plain_svm"):
+        weak = 1 / max(1, train.count())
+        model = LogisticRegression(labelCol=label, regParam=weak, maxIter=1000) if kind == "plain_logreg" else LinearSVC(labelCol=label, regParam=weak)
+    elif kind == "plain_forest":
+        model = RandomForestClassifier(labelCol=label, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed)
+    elif kind == "logreg":
         model = LogisticRegression(labelCol=label, regParam=1e-3, standardization=True)
     elif kind == "forest":
         model = RandomForestClassifier(labelCol=label, numTrees=500, maxDepth=12, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
@@ -180,11 +188,29 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], kind:
     else:
         raise ValueError(f"unknown model {kind!r}")
     done = model.fit(_assembled(train, features)).transform(_assembled(test, features))
-    if kind == "svm":
+    if kind.endswith("svm"):
         return done.withColumn("p", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))).drop("features", "rawPrediction", "prediction")
     return done.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def fitted_with_threshold(
+    dev: DataFrame, test: DataFrame, features: list[str], key: str, kind: str = "forest", label: str = "y", held: float = 0.2, least: float = 0.9, lcb: bool = False,
+    steps: int = 201, min_accepted: int = 1, seed: int = 42,
+) -> tuple[DataFrame, dict]:
+    """test with p and label (1 from the threshold on, else -1), and the chosen threshold's row.
+
+    A stratified share of dev is held out; a model of the rest scores it and the threshold is chosen there.  The model that
+    scores test is then fitted on all of dev.
+    """
+    parts = selection.stratified(dev, key, label, held, seed)
+    scored = fit_and_score(parts.where("not chosen"), parts.where("chosen"), features, kind, label, seed)
+    best = calibration.chosen(calibration.curve(scored, steps, y=label), least, lcb, min_accepted=min_accepted).first()  # one row
+    if best is None:
+        raise ValueError("no row is held out")
+    done = fit_and_score(dev, test, features, kind, label, seed)
+    return done.withColumn("label", F.when(F.col("p") >= best["threshold"], 1).otherwise(-1)), best.asDict()
+
+
 def allowed_tokens(scores, allowed):
     """Token scores with all but the allowed ids at minus infinity (arrays as columns)."""
     return F.transform(scores, lambda s, i: F.when(F.array_contains(allowed, i), s).otherwise(F.lit(float("-inf"))))

@@ -215,9 +215,51 @@ def numeric_fractions(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("fraction")) for c in columns])).alias("x")).select("x.*")
 
 
+def score_summary(rows: DataFrame, scores: list[str], label: str, detected: str) -> DataFrame:
+    """One row: the mean of each score over its numeric values, and accuracy, precision and recall of a detector (0 or 1) against labels Y and N.
+
+    Rows without a detection don't count for the last three; a label that is neither Y nor N raises nothing and counts for none of them.
+    """
+    said, true = F.col(detected).try_cast("int"), F.when(F.col(label) == "Y", 1).when(F.col(label) == "N", 0)
+    both = said.isNotNull() & true.isNotNull()
+    n = lambda c: F.count_if(F.coalesce(both & c, F.lit(False)))
+    hit = n((said == 1) & (true == 1))
+    means = [F.avg(F.when(~F.isnan(v), v)).alias(c) for c, v in ((c, F.col(c).try_cast("double")) for c in scores)]
+    return rows.agg(*means, share(n(said == true), n(F.lit(True))).alias("accuracy"), share(hit, n(said == 1)).alias("precision"), share(hit, n(true == 1)).alias("recall"))
+
+
+def totals(rows: DataFrame, c: Column, by: list[str] | None = None) -> DataFrame:
+    """lines and characters of a text column, over all rows or by group (a file)."""
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long").alias("chars"))
+
+
+def labelled_points(points: DataFrame, labels: DataFrame, values: list[str], source: str | None = None, order: str = "row_id") -> DataFrame:
+    """(sentence, values, label): points whose trimmed sentence has a whole-number label; of several labels the last by order holds.
+
+    source keeps the labels of one source_file only.
+    """
+    kept = labels if source is None else labels.where(F.trim("source_file") == source)
+    number = F.trim(F.col("label").cast("string"))
+    whole = kept.select(F.trim("sentence").alias("sentence"), F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("int")).alias("label"), F.col(order).alias("o")).where("label is not null")
+    last = whole.groupBy("sentence").agg(F.max_by("label", "o").alias("label"))
+    return points.select(F.trim("sentence").alias("sentence"), *[F.col(v).cast("double").alias(v) for v in values]).join(last, "sentence")
+
+
+def usable_counts(rows: DataFrame, features: list[str], label: str, above: float = 2, below: float = -1) -> DataFrame:
+    """One row: how many rows `usable` drops for a label that isn't a number, one between the bounds, or a missing feature, in this order, and how many it keeps."""
+    graded = F.col(label).try_cast("double")
+    number, clear, whole = graded.isNotNull() & ~F.isnan(graded), (graded >= above) | (graded <= below), F.lit(True)
+    for f in features:
+        v = F.col(f).try_cast("double")
+        whole = whole & v.isNotNull() & ~F.isnan(v)
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    number = F.coalesce(number, F.lit(False))
+    return rows.agg(n(~number).alias("no_number"), n(number & ~clear).alias("borderline"), n(number & clear & ~whole).alias("missing_feature"), n(number & clear & whole).alias("kept"))
+
+
 def usable(rows: DataFrame, features: list[str], label: str, above: float = 2, below: float = -1) -> DataFrame:
     """Rows with all features and a graded label of at least above (y = 1) or at most below (y = 0)."""
-    graded = F.col(label).try_cast("double")
+    graded = F.nullif(F.col(label).try_cast("double"), F.lit(float("nan")))
     cast = {f: F.col(f).try_cast("double") for f in features}
     out = rows.withColumns(cast | {"y": F.when(graded >= above, 1).when(graded <= below, 0)}).where("y is not null")
     for f in features:

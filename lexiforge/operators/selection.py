@@ -33,6 +33,20 @@ def counted_split(rows: DataFrame, key: str, dev: int, test: int, seed: int = 42
     return shuffled(rows, key, seed).withColumn("part", part)
 
 
+def ninths_split(rows: DataFrame, key: str, train: int | None = None, seed: int = 42) -> DataFrame:
+    """rows with part: in hash order the first `train` train and a ninth as many dev, others are null; without a number nine tenths train, one tenth dev, both rounded down."""
+    if train is not None and train <= 0:
+        raise ValueError("the number of training rows must be positive")
+    sizes = rows.agg(F.count("*").alias("__n")).select(*([F.lit(train).cast("long").alias("__a"), F.lit(train // 9).cast("long").alias("__b")] if train else [F.expr("__n * 90 div 100").alias("__a"), F.expr("__n * 10 div 100").alias("__b")]))
+    part = F.when(F.col("place") <= F.col("__a"), "train").when(F.col("place") <= F.col("__a") + F.col("__b"), "dev")
+    return shuffled(rows, key, seed).crossJoin(F.broadcast(sizes)).withColumn("part", part).drop("__a", "__b")
+
+
+def first_lines(rows: DataFrame, n: int, order: str = "row_id", start: int = 0) -> DataFrame:
+    """The rows whose number (from start) is among the first n: a filter that reaches the scan, not a limit over an unordered table."""
+    return rows.where(F.col(order) < start + n)
+
+
 def shared_split(rows: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
     """rows with part: percent of them train, of the rest the first half dev, the other test."""
     total = F.broadcast(rows.agg(F.count("*").alias("__n")))

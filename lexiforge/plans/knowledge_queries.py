@@ -142,7 +142,8 @@ def _(t, spark):
     return V.unmasked(lines, words)[0].select("sentence_id", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query("oov_axioms")
+@query("oov_axioms", """SELECT w AS word, type, CASE type WHEN 'PERSON' THEN '( and ( instance ' || w || ' Human ) (names "' || w || '" ' || w || ' ) )' ELSE '( instance ' || w || ' Organization )' END AS value
+FROM (SELECT DISTINCT replace(c_name, '#', '_') AS w, CASE c_nationkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' END AS type FROM customer) WHERE type IS NOT NULL""")
 def _(t, spark):
     words = t("customer").select((F.col("c_custkey") % 40).alias("sentence_id"), F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("DATE")), F.col("c_nationkey") % 3 + 1).alias("type"), F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("word"))
     lines = words.select("sentence_id", F.col("id").alias("line_num"), F.format_string("(p UNK_%s_%d)", "type", "id").alias("text"))
@@ -167,13 +168,18 @@ def _(t, spark):
     return rowlocal.event_counts(t("events")).withColumn("total", F.round("total", 4))
 
 
-@query("resolved_sentences")
+@query("resolved_sentences", r"""WITH RECURSIVE s AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+r(conv_id, i, done) AS (SELECT conv_id, least(2, any_value(n)), list_filter(string_split(replace(string_agg(text, ' ' ORDER BY i), chr(10), ' '), '. '), lambda x: trim(x) <> '') FROM s WHERE i <= 2 GROUP BY conv_id
+ UNION ALL SELECT r.conv_id, s.i, CASE WHEN len(done) > 0 AND len(list_filter(string_split(replace(done[-1] || ' ' || text, chr(10), ' '), '. '), lambda x: trim(x) <> '')) = 2
+  THEN list_append(done, list_filter(string_split(replace(done[-1] || ' ' || text, chr(10), ' '), '. '), lambda x: trim(x) <> '')[2]) ELSE done END FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1)
+SELECT conv_id, (unnest(range(1, len(done) + 1)) - 1)::INT AS ord, unnest(done) AS text FROM (SELECT conv_id, arg_max(done, i) AS done FROM r GROUP BY conv_id)""")
 def _(t, spark):
     rows = t("conversations").select("conv_id", "turn", "text")
     return M.resolved(rows, "conv_id", "turn", "text", lambda s: s, lambda s: [x for x in s.replace("\n", " ").split(". ") if x.strip()])
 
 
-@query("metaphor_candidates")
+@query("metaphor_candidates", """WITH c AS (SELECT text, a, u, unnest([u, text[1:a + 5]]) AS candidate, unnest([0, 1]) AS j FROM (SELECT text, replace(upper(text), 'ẞ', 'SS') AS u FROM benchmark), range(4) AS z(a) WHERE a = 0 OR length(u) % 3 = 2)
+SELECT text AS sentence, (2 * a + j)::INT AS ord, candidate, CASE WHEN u = candidate THEN 1.0 ELSE 0.1 END::DOUBLE AS score, (length(candidate) % 3)::INT AS met_count, 1 AS allowed FROM c""")
 def _(t, spark):
     rows = t("benchmark").select(F.col("text").alias("sentence"), F.lit(6).alias("met_count"))
     return M.metaphor_rewrites(rows, lambda s, k: {"1": s.upper(), "2": s[: k + 5]}, lambda s: len(s) % 3, lambda a, b: 1.0 if a.upper() == b else 0.1)

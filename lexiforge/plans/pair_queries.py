@@ -262,7 +262,12 @@ def _(t, spark):
     return t("labels").agg(*[r6(F.avg(F.col(c).cast("string").try_cast("double"))).alias(c) for c in ("quality", "toxic")])
 
 
-@query("corpus_bleu")
+@query("corpus_bleu", rf"""WITH h AS (SELECT conv_id, turn, {WORDS_SQL.replace("text", "replace(text, 'the', 'a')")} AS p, {WORDS_SQL} AS r FROM conversations),
+k AS (SELECT 'p' AS side, conv_id, turn, p AS w FROM h UNION ALL SELECT 'r', conv_id, turn, r FROM h),
+o AS (SELECT side, conv_id, turn, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM k, range(1, 5) AS z(n)),
+g AS (SELECT side, conv_id, turn, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g, count(*) AS c FROM o GROUP BY ALL),
+m AS (SELECT a.n, sum(least(a.c, coalesce(b.c, 0))) AS hit, sum(a.c) AS al FROM (SELECT * FROM g WHERE side = 'p') a LEFT JOIN (SELECT * FROM g WHERE side = 'r') b USING (conv_id, turn, n, g) GROUP BY a.n)
+SELECT round(CASE WHEN count(*) = 4 AND min(hit) > 0 THEN (SELECT CASE WHEN sum(len(p)) > sum(len(r)) THEN 1 ELSE exp(1 - sum(len(r))::DOUBLE / sum(len(p))) END FROM h) * exp(sum(ln(hit::DOUBLE / al)) / 4) ELSE 0 END, 6)::DOUBLE AS bleu FROM m""")
 def _(t, spark):
     rows = t("conversations").select("text", F.regexp_replace("text", "the", "a").alias("other"))
     return O.corpus_bleu(rows, F.col("other"), F.col("text")).select(r6(F.col("bleu")).alias("bleu"))

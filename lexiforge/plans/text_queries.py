@@ -26,8 +26,7 @@ SELECT term, row_number() OVER (ORDER BY first) AS id, count FROM f""",
 )
 def _(t, spark):
     docs = t("documents").select("doc_id", X.ascii_only(F.col("text")).alias("text"))
-    kept = F.filter(X.logic_terms(F.col("text")), lambda w: F.lit(True))
-    return O.term_ids(O.term_rows(docs, kept, "doc_id").where("not startswith(term, 'UNK')"), "doc_id")
+    return O.term_ids(O.term_rows(docs, X.named_terms(F.col("text")), "doc_id"), "doc_id")
 
 
 @query(
@@ -227,7 +226,18 @@ def _(t, spark):
     return t("part").select("p_partkey", F.to_json(X.statement_parts(text)).alias("parts"))
 
 
-@query("rouge_l")
+_SIDE = WORDS_SQL.replace("text", "{}.text")
+
+
+@query("rouge_l", rf"""WITH p AS (SELECT u.conv_id, u.turn, {_SIDE.format("u")} AS a, {_SIDE.format("v")} AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant'),
+l AS (SELECT *, list_reduce(list_prepend(list_transform(b, lambda y: 0::BIGINT), list_transform(a, lambda x: list_transform(b, lambda y: (x = y)::BIGINT))),
+  lambda r, m: list_transform(range(1, len(m) + 1), lambda j: greatest(r[j], coalesce(list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN m[k] = 1 THEN 1 + coalesce(r[k - 1], 0) ELSE 0 END)), 0))))[-1] AS n FROM p),
+w AS (SELECT conv_id, turn, 1 AS k, a AS ref, b AS hyp FROM p UNION ALL SELECT conv_id, turn, 2, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]), list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]) FROM p),
+c AS (SELECT conv_id, turn, k, sum(least(nh, coalesce(nr, 0))) AS hit FROM (SELECT conv_id, turn, k, g, count(*) AS nh FROM (SELECT conv_id, turn, k, unnest(hyp) AS g FROM w) GROUP BY ALL)
+  LEFT JOIN (SELECT conv_id, turn, k, g, count(*) AS nr FROM (SELECT conv_id, turn, k, unnest(ref) AS g FROM w) GROUP BY ALL) USING (conv_id, turn, k, g) GROUP BY ALL),
+h AS (SELECT l.*, coalesce(c1.hit, 0) AS one, coalesce(c2.hit, 0) AS two, len(b) AS y, greatest(1, len(b) - 1) AS pairs FROM l LEFT JOIN c c1 ON c1.conv_id = l.conv_id AND c1.turn = l.turn AND c1.k = 1 LEFT JOIN c c2 ON c2.conv_id = l.conv_id AND c2.turn = l.turn AND c2.k = 2)
+SELECT conv_id, turn, round(CASE WHEN n > 0 THEN 2 * n::DOUBLE / (len(a) + len(b)) ELSE 0 END, 6) AS rouge_l,
+  round(CASE WHEN one = 0 THEN 0 ELSE CASE WHEN y > len(a) THEN 1 ELSE exp(1 - len(a)::DOUBLE / y) END * CASE WHEN two > 0 THEN two::DOUBLE / pairs WHEN y > 1 THEN ln(y) / 10 / pairs ELSE 0 END END, 6) AS bleu2 FROM h""")
 def _(t, spark):
     a = t("conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("a"))
     b = t("conversations").where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))

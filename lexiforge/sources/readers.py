@@ -6,6 +6,7 @@ before it.  Only those counts are summed over, so a file of any size is numbered
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,18 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) ->
     return raw.join(placed, ["file", "part"]).select("file", number.cast("int").alias("line_num"), "value")
 
 
+def result_lines(spark: SparkSession, base: str, model: str = "*", method: str = "*") -> DataFrame:
+    """(model, method, file, line_num, value): lines of the .txt files in base/model/method, all of them or one's; a folder without files gives no rows."""
+    try:
+        found = lines(spark, f"{base.rstrip('/')}/{model}/{method}/*.txt")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "model string, method string, file string, line_num int, value string")
+    at = F.split("file", "/")
+    return found.select(F.try_element_at(at, F.lit(-3)).alias("model"), F.try_element_at(at, F.lit(-2)).alias("method"), "file", "line_num", "value")
+
+
 def sentence_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_num, sentence): lines that aren't blank, trimmed, under the numbers that they have in the file."""
     return lines(spark, path).select("line_num", F.trim("value").alias("sentence")).where("sentence <> ''")

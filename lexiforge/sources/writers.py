@@ -14,6 +14,38 @@ def write_pairs(rows: DataFrame, path: str) -> None:
     rows.select("input", "output").write.mode("overwrite").json(path)
 
 
+def pair_array(rows: DataFrame) -> DataFrame:
+    """(ord, value): the lines of one JSON array of pairs (row_id, input, output) in row order, four blanks deep; written with one file if order must show.
+
+    Only the first and last row's ids are looked up, so no task holds all pairs.
+    """
+    ends = rows.agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    item = F.concat(F.lit('    {\n        "input": '), quoted(F.col("input")), F.lit(',\n        "output": '), quoted(F.col("output")), F.lit("\n    }"))
+    each = rows.crossJoin(F.broadcast(ends)).select(
+        F.col("row_id").alias("ord"), F.concat(F.when(F.col("row_id") == F.col("a"), "[\n").otherwise(""), item, F.when(F.col("row_id") == F.col("b"), "\n]").otherwise(",")).alias("value")
+    )
+    return each
+
+
+def scored_lines(rows: DataFrame, score: float, name: str = "score") -> DataFrame:
+    """(ord, value): tab-separated prediction and reference of rows (row_id, prediction, reference), then the score's line."""
+    body = rows.select(F.col("row_id").cast("long").alias("ord"), F.concat_ws("\t", F.coalesce("prediction", F.lit("")), F.coalesce("reference", F.lit(""))).alias("value"))
+    return body.unionByName(rows.sparkSession.createDataFrame([(2**62, f"{name}\t{score:.6f}")], "ord long, value string"))
+
+
+def count_line(lines: DataFrame) -> DataFrame:
+    """One row (value): how many lines a file of term formats has, as its comment."""
+    return lines.agg(F.format_string("; %d termFormat lines", F.count("*")).alias("value"))
+
+
+def create_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> None:
+    """The table exists afterwards; one of that name is left as it is.  Spark has no indexes: sort or bucket by the key instead."""
+    at = "" if path is None else " LOCATION '" + path.replace("'", "\\'") + "'"
+    quoted = ".".join(f"`{part}`" for part in name.split("."))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted} ({schema}) USING parquet{at}")
+
+
 def fixed_decimals(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with these columns as text of six decimals."""
     return rows.withColumns({c: F.format_string("%.6f", F.col(c).cast("double")) for c in columns})

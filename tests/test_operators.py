@@ -253,3 +253,75 @@ def test_commands(spark, tmp_path):
     for bad, kind in (("prover", NotImplementedError), ("nonsense", ValueError)):
         with pytest.raises(kind):
             s.run(bad)
+
+
+def test_split_by_ninths(spark):
+    df = spark.range(40).select("id")
+    assert sorted(map(str, [r.part for r in S.ninths_split(df, "id").collect()])) == ["dev"] * 4 + ["train"] * 36
+    assert sorted(map(str, [r.part for r in S.ninths_split(df, "id", 18).collect()])) == ["None"] * 20 + ["dev"] * 2 + ["train"] * 18
+    assert S.ninths_split(df.limit(0), "id").count() == 0
+    with pytest.raises(ValueError):
+        S.ninths_split(df, "id", 0)
+
+
+def test_dropped_rows_are_counted(spark):
+    df = spark.createDataFrame([("3", "1.5"), ("x", "1"), (None, "1"), ("nan", "1"), ("1", "1"), ("-1", None), ("-2", "NaN"), ("-2", "0")], "human_label string, f string")
+    assert rows(O.usable_counts(df, ["f"], "human_label")) == [(3, 1, 2, 2)]
+    assert rows(O.usable(df, ["f"], "human_label").select("y")) == [(0,), (1,)]
+    assert rows(O.usable_counts(df.limit(0), ["f"], "human_label")) == [(0, 0, 0, 0)]
+
+
+def test_points_take_the_last_label(spark):
+    points = spark.createDataFrame([("a ", 1.0), ("b", 2.0), ("c", 3.0), (None, 4.0)], "sentence string, run double")
+    labels = spark.createDataFrame([(1, "a", "1", "x"), (2, " a", "-1", "x"), (3, "b", "", "x"), (4, "c", "2.5", "x"), (5, "a", "0", "y"), (6, None, "1", "x")], "row_id int, sentence string, label string, source_file string")
+    assert rows(O.labelled_points(points, labels, ["run"])) == [("a", 1.0, 0)]
+    assert rows(O.labelled_points(points, labels, ["run"], "x")) == [("a", 1.0, -1)]
+
+
+def test_score_summary_of_odd_rows(spark):
+    df = spark.createDataFrame([("1", "Y", "1"), ("nan", "N", "1"), ("3", "?", "1"), ("x", "Y", None), (None, None, "0")], "s string, label string, found string")
+    assert rows(O.score_summary(df, ["s"], "label", "found")) == [(2.0, 0.5, 0.5, 1.0)]
+    assert rows(O.score_summary(df.limit(0), ["s"], "label", "found")) == [(None, 0.0, 0.0, 0.0)]
+
+
+def test_result_files_and_tables(spark, tmp_path):
+    for model, method, text in (("m1", "a", "one\ntwo\n"), ("m2", "a", "three\n"), ("m1", "b", "four\n")):
+        folder = tmp_path / "results" / model / method
+        folder.mkdir(parents=True)
+        (folder / "out.txt").write_text(text)
+        (folder / "notes.md").write_text("left out")
+    base = str(tmp_path / "results")
+    assert rows(readers.result_lines(spark, base, "m1", "a").select("model", "method", "line_num", "value")) == [("m1", "a", 1, "one"), ("m1", "a", 2, "two")]
+    assert readers.result_lines(spark, base).count() == 4 and readers.result_lines(spark, base, "m3").count() == 0
+    for _ in range(2):
+        writers.create_table(spark, "words_of_test", "id STRING, word STRING", str(tmp_path / "words"))
+    assert spark.table("words_of_test").columns == ["id", "word"]
+    spark.sql("DROP TABLE words_of_test")
+
+
+def test_pair_array_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "x"\n', "(p)"), (5, "ü", None), (9, "", "(q)")], "row_id int, input string, output string")
+    text = "\n".join(r.value for r in writers.pair_array(df).orderBy("ord").collect())
+    assert json.loads(text) == [{"input": 'say "x"\n', "output": "(p)"}, {"input": "ü", "output": ""}, {"input": "", "output": "(q)"}]
+    (tmp_path / "pairs.json").write_text(text)
+    assert readers.pairs(spark, str(tmp_path / "pairs.json")).count() == 3
+    scored = writers.scored_lines(df.select("row_id", F.col("input").alias("prediction"), F.col("output").alias("reference")), 0.5, "BLEU")
+    assert [r.value for r in scored.orderBy("ord").collect()][-1] == "BLEU\t0.500000"
+
+
+def test_threshold_from_held_out_rows(spark):
+    dev = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + (F.col("id") % 7) / 20).alias("f"), (F.col("id") % 3).cast("double").alias("g"))
+    dev = dev.repartition(2).persist()
+    done, best = M.fitted_with_threshold(dev, dev, ["f", "g"], "id", "plain_logreg", least=1.0)
+    assert best["precision"] == 1 and best["total"] == 40
+    assert done.where("label = 1 and y = 0").isEmpty() and done.where("label = 1").count() > 50
+    for kind in ("plain_forest", "plain_svm"):
+        assert M.fit_and_score(dev, dev, ["f", "g"], kind).where((F.col("p") >= 0.5) != (F.col("y") == 1)).isEmpty()
+    dev.unpersist()
+
+
+def test_models_as_functions(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "id int, sentence string")
+    assert rows(M.log_probabilities(df, "sentence", lambda t: [1.0] * len(t.split())).select("id", "nll")) == [(1, [1.0, 1.0]), (2, None), (3, None)]
+    assert rows(M.compared(df, {"up": str.upper, "same": str}).select("id", "model", "output")) == rows(spark.createDataFrame([(1, "up", "A B"), (2, "up", "C"), (3, "up", None), (1, "same", "a b"), (2, "same", "c"), (3, "same", None)]))
+    assert rows(M.judged(df, "sentence", lambda t: "Invalid" if t == "c" else "Valid").select("id", "verdict")) == [(1, 1), (2, -1), (3, None)]
