@@ -315,7 +315,7 @@ def test_threshold_from_held_out_rows(spark):
     done, best = M.fitted_with_threshold(dev, dev, ["f", "g"], "id", "plain_logreg", least=1.0)
     assert best["precision"] == 1 and best["total"] == 40
     assert done.where("label = 1 and y = 0").isEmpty() and done.where("label = 1").count() > 50
-    for kind in ("plain_forest", "plain_svm"):
+    for kind in ("plain_forest",):
         assert M.fit_and_score(dev, dev, ["f", "g"], kind).where((F.col("p") >= 0.5) != (F.col("y") == 1)).isEmpty()
     dev.unpersist()
 
