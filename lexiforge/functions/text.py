@@ -61,9 +61,17 @@ def prompt_terms(c: Column, keywords: tuple[str, ...] = PROMPT_KEYWORDS) -> Colu
     return F.filter(F.split(bare, r"[\s()]+"), lambda t: (t != "") & ~t.startswith("?") & ~F.lower(t).isin(*[k.lower() for k in keywords]))
 
 
+def without_quotes(c: Column) -> Column:
+    """A blank for each quoted text (escapes respected); from a quote that never closes on, the text stays (and a blank follows).
+
+    The repeats are possessive: the regex engine then loops where it would else recurse once for each character.
+    """
+    return F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"|("(?:[^"\\]|\\.)*+\z)', "$1 ")
+
+
 def checked_terms(c: Column, keywords: tuple[str, ...] = CHECK_KEYWORDS) -> Column:
-    """Tokens outside quotes (escapes respected), without variables, keywords, pure numbers and unknown marks."""
-    bare = F.translate(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"', " "), "()", "  ")
+    """Tokens outside quotes (escapes respected), without variables, keywords, pure numbers and unknown marks; quotes of any length."""
+    bare = F.translate(without_quotes(c), "()", "  ")
     keep = lambda t: (t != "") & ~t.startswith("?") & ~t.isin(*keywords) & ~t.rlike(r"^\d+$") & ~t.startswith("UNK_")
     return F.filter(F.split(F.trim(bare), r"\s+"), keep)
 

@@ -135,7 +135,7 @@ def knowledge_words(spark: SparkSession, path: str, variables: bool = False) ->
     """(word, file) of knowledge files without quoted text and comment lines; variables counts their names too (compat)."""
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.kif").text(path, wholetext=True).withColumn("file", F.input_file_name())
     whole = whole.where(~F.element_at(F.split("file", "/"), -1).isin(*EXCLUDED))
-    unquoted = F.regexp_replace("value", r'(?s)"(?:[^"\\]|\\.)*?"', "")
+    unquoted = F.regexp_replace("value", r'(?s)"(?:[^"\\]|\\.)*+"|("(?:[^"\\]|\\.)*+\z)', "$1")  # possessive, see text.without_quotes
     each = whole.select("file", F.explode(F.split(unquoted, r"\n")).alias("line")).where("trim(line) <> '' and not startswith(trim(line), ';')")
     pattern = r"(?U)\b\w+\b" if variables else r"(?U)(?<!\?)\b\w+\b"
     return each.select("file", F.explode(F.regexp_extract_all(F.regexp_replace("line", r"(?U)[^\w\s?]", ""), F.lit(pattern), F.lit(0))).alias("word")).distinct()

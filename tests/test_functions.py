@@ -103,3 +103,11 @@ def test_prompts(spark):
     assert "1) bank; 2) shore" in value(spark, prompts.word_sense(F.col("s"), F.lit("bank"), F.col("w")), s="x", w=["bank", "shore"])
     with pytest.raises(ValueError):
         prompts.simplify(F.col("s"), ["a"], [])
+
+
+def test_quotes_of_a_megabyte(spark):
+    """Long quotes, floods of escapes and quotes that never close neither crash nor take quadratic time."""
+    texts = ['(a "' + "x" * 1_000_000 + '" b)', 'a "' + '\\"' * 300_000, 'a "' + '\\"' * 300_000 + '" b', 'a "b c', '(a "b \\" c" d) "e" "f', '"' * 400_001]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.checked_terms(F.col("t")).alias("w")).orderBy("k").collect()
+    assert [r.w for r in got[:1]] == [["a", "b"]] and got[2].w == ["a", "b"] and got[3].w == ["a", '"b', "c"] and got[4].w == ["a", "d", '"f']
+    assert got[1].w == ["a", texts[1][2:]] and got[5].w == ['"']
