@@ -22,13 +22,14 @@ from lexiforge.llm.common import table
 KINDS = ("email", "date", "ip", "ssn", "card", "phone")
 _EDGE, _END = r"(?<![A-Za-z0-9._%+@-])", r"(?![A-Za-z0-9@])"
 _DATE_END = r"(?:(?![A-Za-z0-9@])|(?=T[0-9]{2}:?[0-9]{2}))"  # a time may follow
-#: One pattern for each kind; a run of characters is entered at its left edge only, so long runs cost linear time.
+_OK = r"[0-9](?![0-9]*+[A-Za-z@])"  # a digit of a group that ends well
+#: One pattern for each kind; no group repeats without a bound unless possessively, where the engine loops and doesn't recurse; a run of characters is entered at its left edge only, so long runs cost linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _DATE_END,
     "ip": _EDGE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
-    "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,}" + _END,
+    "card": _EDGE + rf"(?={_OK}(?:[ -]?{_OK}){{12}})[0-9]++(?![A-Za-z@])(?:[ -][0-9]++(?![A-Za-z@]))*+",
     "phone": r"(?<![A-Za-z0-9._%@-])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4})" + _END,
 }
 CANDIDATE = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
@@ -140,26 +141,37 @@ def kind_of(match: Column) -> Column:
 
 
 def _parts(match: Column) -> Column:
-    """A failed candidate in pieces, array<struct<old, kind>>: from the left the parts of PARTS that pass, and what lies between."""
+    """A failed candidate in pieces, array<struct<old, kind>>: from the left the parts of PARTS that pass, and what lies between.
+
+    The candidate is cut into characters once, so each place costs the same however long the candidate is.
+    """
     piece = "array<struct<old:string,kind:string>>"
-    between = lambda a, b: F.array(F.struct(F.substr(match, a, b - a).alias("old"), F.lit(None).cast("string").alias("kind")))
 
-    def step(acc, p):
-        ahead = F.substr(match, p, F.lit(PART_WINDOW))
-        tries = [F.regexp_extract(ahead, f"^({form})(?![0-9])", 1) for form in PARTS[:-1]]
-        tries.append(F.when(p == 1, F.regexp_extract(ahead, f"^({PARTS[-1]})(?![0-9])", 1)).otherwise(""))
-        judged = F.transform(F.filter(F.array(*tries), lambda t: t != ""), lambda t: F.struct(t.alias("old"), kind_of(t).alias("kind")))
-        hits = F.slice(F.filter(judged, lambda x: x["kind"].isNotNull()), 1, 1)
+    def pieces(chars):
+        text = lambda a, n: F.array_join(F.slice(chars, a, n), "")
+        between = lambda a, b: F.array(F.struct(text(a, b - a).alias("old"), F.lit(None).cast("string").alias("kind")))
+
+        def tried(ahead, p):
+            tries = [F.regexp_extract(ahead, f"^({form})(?![0-9])", 1) for form in PARTS[:-1]]
+            tries.append(F.when(p == 1, F.regexp_extract(ahead, f"^({PARTS[-1]})(?![0-9])", 1)).otherwise(""))
+            judged = F.transform(F.filter(F.array(*tries), lambda t: t != ""), lambda t: F.struct(t.alias("old"), kind_of(t).alias("kind")))
+            return F.slice(F.filter(judged, lambda x: x["kind"].isNotNull()), 1, 1)
+
+        def step(acc, c, p):
+            def taken(hits):
+                length = F.length(F.get(hits, F.lit(0))["old"])
+                return F.struct((p + length).alias("next"), c.alias("last"), F.concat(acc["done"], between(acc["next"], p), hits).cast(piece).alias("done"))
 
-        def taken(hits):
-            length = F.length(F.get(hits, F.lit(0))["old"])
-            return F.struct((p + length).alias("next"), F.concat(acc["done"], between(acc["next"], p), hits).cast(piece).alias("done"))
+            on = F.struct(acc["next"].alias("next"), c.alias("last"), acc["done"].alias("done"))
+            starts = (p >= acc["next"]) & c.rlike("[0-9+(]") & ~acc["last"].rlike("[0-9]")
+            hits = F.get(F.transform(F.array(text(p, F.lit(PART_WINDOW))), lambda ahead: tried(ahead, p)), F.lit(0))
+            return F.when(starts, F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, taken(h)).otherwise(on)), F.lit(0))).otherwise(on)
 
-        starts = (p >= acc["next"]) & F.substr(match, p, F.lit(1)).rlike("[0-9+(]") & ((p == 1) | ~F.substr(match, p - 1, F.lit(1)).rlike("[0-9]"))
-        return F.when(starts, F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, taken(h)).otherwise(acc)), F.lit(0))).otherwise(acc)
+        places = F.transform(chars, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("p")))
+        zero = F.struct(F.lit(1).alias("next"), F.lit("").alias("last"), F.array().cast(piece).alias("done"))
+        return F.aggregate(places, zero, lambda acc, x: step(acc, x["c"], x["p"]), lambda acc: F.concat(acc["done"], between(acc["next"], F.size(chars) + 1)))
 
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast(piece).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(match)), zero, step, lambda acc: F.concat(acc["done"], between(acc["next"], F.length(match) + 1)))
+    return F.get(F.transform(F.array(F.filter(F.split(match, ""), lambda c: c != "")), pieces), F.lit(0))
 
 
 def pseudonym(match: Column, kind: Column, key: str) -> Column:

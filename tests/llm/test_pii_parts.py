@@ -39,3 +39,17 @@ def test_equal_cards_change_alike_and_two_in_a_row_are_found(spark):
     assert rows[1].text == f"7 {card} 3"
     assert rows[2].text.startswith(card + " ") and rows[2].text.endswith(" 1") and [x.kind for x in rows[2].pii] == ["card", "card"]
     assert rows[3].text == texts[3]
+
+
+def test_runs_of_a_megabyte(spark):
+    """A million digits, digits with blanks, and cards in a row: no crash, and values beside them are found."""
+    from time import perf_counter
+
+    card = "4111 1111 1111 1111"
+    texts = ["7" * 1_000_000, "7 " * 500_000, f"{'12 ' * 100_000}x {card} y", (card + " ") * 2_000, "1" * 30 + "x", "12-" * 300_000 + "a@b.example.com"]
+    at = perf_counter()
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert perf_counter() - at < 120
+    assert [len(r.text) for r in rows] == [len(t) for t in texts]
+    assert [x.kind for x in rows[2].pii] == ["card"] and len(rows[3].pii) == 2_000 and len(set(rows[3].text.split("  "))) == 1
+    assert rows[0].pii == [] and rows[0].text == texts[0] and rows[4].text == texts[4]
