@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL for those that SQL can express."""
 
-from lexiforge.llm import embeddings, langid, media, mixing, pii, secrets, sentencepieces, simhash, toxicity, warc
+from lexiforge.llm import embeddings, langid, media, mixing, pii, runs, secrets, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_warc_index": warc.query,
     "op9_media_sniffing": media.query,
     "op10_secret_scan": secrets.query,
+    "op13_periodic_runs": runs.query,
 }
 
 ORACLES = {"op2_source_mixing": mixing.ORACLE, "op8_warc_index": warc.ORACLE, "op10_secret_scan": secrets.ORACLE}
