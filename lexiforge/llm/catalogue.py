@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL for those that SQL can express."""
 
-from lexiforge.llm import embeddings, htmltext, langid, media, mixing, pii, runs, secrets, sentencepieces, simhash, toxicity, warc
+from lexiforge.llm import alignment, embeddings, htmltext, langid, media, mixing, pii, runs, secrets, sentencepieces, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_media_sniffing": media.query,
     "op10_secret_scan": secrets.query,
     "op11_html_text": htmltext.query,
+    "op12_token_alignment": alignment.query,
     "op13_periodic_runs": runs.query,
 }
 

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_warc_index": ("pages", "page_id payload_bytes payload_digest record_type refers_to"),
     "op9_media_sniffing": ("documents", "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature"),
     "op11_html_text": ("pages", "page_id url text n_chars"),
+    "op12_token_alignment": ("documents", "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
     "op13_periodic_runs": ("documents", "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"),
     "op10_secret_scan": ("documents", "doc_id n_assign n_access n_hex base_sha256 spans"),
 }
