@@ -37,7 +37,7 @@ KEY_LENGTH, REMEMBERED = 120, 200_000
 # Fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Long white space but for its last character: PARTS ends a part there, and the engine would take as many steps back to see it.
+#: Long white space, whose part is cut out here: the engine of PARTS would remember each of its characters as a place to go back to.
 _BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}+")
 
 
@@ -94,8 +94,9 @@ class Pair:
             return [], []
         whole, a, at = " " + text, [], 0
         for m in _BLANKS.finditer(whole):
-            a += self.a.encode_ordinary(whole[at : m.end() - 1])
-            at = m.end() - 1
+            end = m.end() - (m.end() < len(whole))  # the last blank goes with what follows
+            a += self.a.encode_ordinary(whole[at : m.start()]) + self.a._encode_single_piece(whole[m.start() : end])
+            at = end
         a, b = a + self.a.encode_ordinary(whole[at:]), self.b.encode_as_ids(text)
         raw = (" " + text).encode()
         same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
