@@ -19,8 +19,9 @@ import json
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,16 @@ from lexiforge.llm.common import appended, shared_dir, table
 #: The query's tokenizers: byte-level byte pairs, and a SentencePiece model.
 BYTE_PAIRS, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 HEAVY = 20_000
-#: Keys up to this length have their links remembered in a worker, so many of them.
-KEY_LENGTH, REMEMBERED = 120, 200_000
+#: A worker remembers what it made for the latest keys of up to so many characters, for at least so many of them.
+KEY_LENGTH, REMEMBERED = 64, 200_000
 # Fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Long white space, whose part is cut out here: the engine of PARTS would remember each of its characters as a place to go back to.
 _BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}+")
 
+NONE = np.zeros(0, np.int32)
+
 
 @dataclass(frozen=True)
 class Files:
@@ -65,6 +68,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Values of make for keys that came lately: two generations, the older dropped when the younger is full; long keys aren't kept."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if isinstance(key, int) or len(key) <= KEY_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Pair:
     """Both tokenizers in a worker."""
 
@@ -86,38 +108,40 @@ class Pair:
         self.a_length = np.zeros(max(self.a_bytes) + 1, np.int64)
         self.a_length[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
         self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
-        self.remembered_pairs = lru_cache(REMEMBERED)(self.pairs_in)
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of a blank and the text; none where either tokenizer doesn't give these bytes back."""
-        if not text:
-            return [], []
-        whole, a, at = " " + text, [], 0
-        for m in _BLANKS.finditer(whole):
-            end = m.end() - (m.end() < len(whole))  # the last blank goes with what follows
-            a += self.a.encode_ordinary(whole[at : m.start()]) + self.a._encode_single_piece(whole[m.start() : end])
-            at = end
-        a, b = a + self.a.encode_ordinary(whole[at:]), self.b.encode_as_ids(text)
-        raw = (" " + text).encode()
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-        return (a, b) if same else ([], [])
-
-    def groups(self, a: list[int], b: list[int]) -> list[str]:
+        self.numbers = list(map(str, range(max(len(self.a_length), len(self.b_length)))))
+        self.lone = Memo(lambda k: f"{k >> 32}|{k & 0xFFFFFFFF}")
+        self.distinct_pairs = Memo(lambda k: tuple({f"{x}|{y}" for x, y in self.links(k)}))
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a blank and each text; none where either tokenizer doesn't give these bytes back."""
+        out = []
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
+            whole, a, at = " " + (text or ""), [], 0
+            for m in _BLANKS.finditer(whole):
+                end = m.end() - (m.end() < len(whole))  # the last blank goes with what follows
+                a += self.a.encode_ordinary(whole[at : m.start()]) + self.a._encode_single_piece(whole[m.start() : end])
+                at = end
+            a = a + self.a.encode_ordinary(whole[at:]) if at else self.a.encode_ordinary(whole)
+            raw = whole.encode()
+            same = text and self.a.decode_bytes(a) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            out.append((np.array(a, np.int32), np.array(b, np.int32)) if same else (NONE, NONE))
+        return out
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> list[str]:
         """Keys of a text's groups in order: the ids of both, as in 5,17|9."""
-        if not a:
+        if not len(a):
             return []
         ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         there = np.zeros(int(ends_a[-1]) + 1, bool)
         there[ends_b] = True
         cut_a = np.flatnonzero(there[ends_a])
         cut_b = np.searchsorted(ends_b, ends_a[cut_a])
-        # lone tokens, the most frequent kind of group, need no joining
-        one = (np.diff(cut_a, prepend=-1) == 1) & (np.diff(cut_b, prepend=-1) == 1)
-        sa, sb = list(map(str, a)), list(map(str, b))
-        out, x, y = [], 0, 0
-        for i, j, alone in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), one.tolist()):
-            out.append(f"{sa[x]}|{sb[y]}" if alone else f"{','.join(sa[x:i])}|{','.join(sb[y:j])}")
-            x, y = i, j
+        from_a, from_b = np.append(0, cut_a[:-1] + 1), np.append(0, cut_b[:-1] + 1)
+        out = list(map(self.lone.__getitem__, (a[from_a].astype(np.int64) << 32 | b[from_b]).tolist()))
+        several = np.flatnonzero((cut_a > from_a) | (cut_b > from_b))  # all others are of one token each
+        a, b, number = a.tolist(), b.tolist(), self.numbers.__getitem__
+        for g, i, x, j, y in zip(*(v.tolist() for v in (several, from_a[several], cut_a[several] + 1, from_b[several], cut_b[several] + 1))):
+            out[g] = f"{','.join(map(number, a[i:x]))}|{','.join(map(number, b[j:y]))}"
         return out
 
     def links(self, key: str) -> list[tuple[int, int]]:
@@ -131,16 +155,12 @@ class Pair:
             i, j = i + (ends_a[i] == low), j + (ends_b[j] == low)
         return out
 
-    def pairs_in(self, key: str) -> tuple[str, ...]:
-        """The distinct pairs of a group's links, each written like the key of a group of these two alone."""
-        return tuple({f"{x}|{y}" for x, y in self.links(key)})
-
     def again(self, counts: Counter) -> list[str]:
         """Pairs that more than one of a document's distinct groups hold, once for each further one."""
         seen, out = set(), []
         for key in counts:
             if "," in key:
-                for p in self.remembered_pairs(key) if len(key) <= KEY_LENGTH else self.pairs_in(key):
+                for p in self.distinct_pairs[key]:
                     if p in counts or p in seen:
                         out.append(p)
                     else:
@@ -166,8 +186,7 @@ def grouped(docs: DataFrame, files: Files, text: str = "text") -> DataFrame:
 
     def compute(col: pa.Array) -> list[pa.Array]:
         pair, out = _pair(files), []
-        for one in col.to_pylist():
-            a, b = pair.tokens(one)
+        for a, b in pair.tokens(col.to_pylist()):
             keys = pair.groups(a, b)
             counts = Counter(keys)
             digest = hashlib.sha256(";".join(keys).encode()).hexdigest() if keys else ""
@@ -175,7 +194,7 @@ def grouped(docs: DataFrame, files: Files, text: str = "text") -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
         return [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
 
-    return appended(docs, text, GROUPED, compute, at_once=32)
+    return appended(docs, text, GROUPED, compute, at_once=64)
 
 
 def expanded(dictionary: DataFrame, files: Files) -> DataFrame:
