@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import sequences as N
 from lexiforge.functions import text as X
-from lexiforge.operators import ngrams
+from lexiforge.operators import ngrams, tagging
 from lexiforge.plans.common import WORDS_SQL, query, r6
 
 
@@ -67,3 +67,50 @@ def _(t, spark):
     model = ngrams.trained(t("documents"), X.words(F.col("text")), 2)
     items = t("benchmark").select("item_id", X.words(F.col("text")).alias("words"))
     return _features(ngrams.scored(items, "item_id", F.col("words"), model), "item_id")
+
+
+#: A token's tag in these queries: the document's language and how the word begins.
+_BEGINS = "CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'A' WHEN regexp_matches(w, '^[a-z]') THEN 'a' ELSE '0' END"
+_TOKENS_SQL = f"""t AS (SELECT doc_id, lang, {WORDS_SQL} AS ws FROM documents), k AS (SELECT doc_id, lang, i, ws[i] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+y AS (SELECT doc_id, i, w, lang || '-' || {_BEGINS} AS tag FROM k WHERE lang IS NOT NULL)"""
+_MOVES_SQL = "m AS (SELECT lag(tag) OVER (PARTITION BY doc_id ORDER BY i) AS before, tag FROM y)"
+
+
+def _tokens(t, spark):
+    words = t("documents").select("doc_id", "lang", F.posexplode(X.words(F.col("text"))).alias("pos", "word"))
+    begins = F.when(F.col("word").rlike("^[A-Z]"), "A").when(F.col("word").rlike("^[a-z]"), "a").otherwise("0")
+    return words.select(F.col("doc_id").alias("sentence_id"), "pos", "word", F.concat("lang", F.lit("-"), begins).alias("tag"), "lang")
+
+
+@query("tag_transitions", f"WITH {_TOKENS_SQL}, {_MOVES_SQL} SELECT before, tag, count(*) AS n FROM m GROUP BY ALL")
+def _(t, spark):
+    return tagging.transitions(_tokens(t, spark).where("lang is not null"))
+
+
+_LEVELS_SQL = ", ".join(
+    f"l{k} AS (SELECT c.ending, c.j, (c.n / c.total + th.theta * b.p) / (1 + th.theta) AS p FROM c{k} c JOIN l{k - 1} b ON b.ending = right(c.ending, {k - 1}) AND b.j = c.j CROSS JOIN th)" for k in range(1, 5)
+)
+_COUNTS_SQL = ", ".join(
+    f"c{k} AS (SELECT g.ending, n.j, coalesce(x.n, 0)::DOUBLE AS n, g.total FROM (SELECT right(w, {k}) AS ending, sum(n)::DOUBLE AS total FROM rare WHERE length(w) >= {k} GROUP BY 1) g CROSS JOIN n "
+    f"LEFT JOIN (SELECT right(w, {k}) AS ending, j, sum(n) AS n FROM rare WHERE length(w) >= {k} GROUP BY 1, 2) x ON x.ending = g.ending AND x.j = n.j)" for k in range(1, 5)
+)
+
+
+@query("tagged_paths", f"""WITH {_TOKENS_SQL}, {_MOVES_SQL}, n AS (SELECT tag, row_number() OVER (ORDER BY tag) AS j, c AS of_tag, c / sum(c) OVER () AS prior FROM (SELECT tag, count(*)::DOUBLE AS c FROM y GROUP BY tag)),
+e AS (SELECT w, j, c, sum(c) OVER (PARTITION BY w) AS of_word, ln(c / of_tag) AS score FROM (SELECT w, tag, count(*) AS c FROM y GROUP BY ALL) JOIN n USING (tag)),
+v AS (SELECT a.j AS a, b.j AS b, ln((coalesce(x.n, 0) + 0.1) / (coalesce(s.n, 0) + 0.1 * (SELECT count(*) FROM n))) AS move FROM (SELECT j, tag FROM n UNION ALL SELECT 0, NULL) a CROSS JOIN n b
+ LEFT JOIN (SELECT before, tag, count(*) AS n FROM m GROUP BY ALL) x ON x.before IS NOT DISTINCT FROM a.tag AND x.tag = b.tag LEFT JOIN (SELECT before, count(*) AS n FROM m GROUP BY ALL) s ON s.before IS NOT DISTINCT FROM a.tag),
+mv AS (SELECT list(r ORDER BY b) FILTER (WHERE b > 0) AS moves FROM (SELECT b, list(move ORDER BY a) FILTER (WHERE a > 0) AS r FROM v GROUP BY b)), st AS (SELECT list(move ORDER BY b) AS first FROM v WHERE a = 0),
+th AS (SELECT stddev_samp(prior) AS theta FROM n), rare AS (SELECT lower(w) AS w, j, c AS n FROM e WHERE of_word <= 10), l0 AS (SELECT '' AS ending, j, prior AS p FROM n), {_COUNTS_SQL}, {_LEVELS_SQL},
+en AS (SELECT ending, j, ln(l.p / prior) AS score FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) l JOIN n USING (j)),
+nw AS (SELECT DISTINCT w FROM k WHERE w NOT IN (SELECT w FROM e)), be AS (SELECT w, arg_max(ending, length(ending)) AS ending FROM (SELECT w, right(lower(w), unnest([0, 1, 2, 3, 4])) AS ending FROM nw) JOIN (SELECT DISTINCT ending FROM en) USING (ending) GROUP BY w),
+o AS (SELECT w, j, score, true AS known FROM e UNION ALL SELECT w, j, score, false FROM be JOIN en USING (ending)),
+ov AS (SELECT u.w, u.known, list(coalesce(o.score, '-Infinity'::DOUBLE) ORDER BY n.j) AS s FROM (SELECT DISTINCT w, known FROM o) u CROSS JOIN n LEFT JOIN o ON o.w = u.w AND o.j = n.j GROUP BY u.w, u.known),
+d AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE known) AS n_known, list(s ORDER BY i) AS path FROM k JOIN ov ON ov.w = k.w GROUP BY doc_id)
+SELECT doc_id, n_words, n_known, round(list_max(list_reduce(path[2:], lambda acc, x: list_transform(moves, lambda r, b: x[b] + list_max(list_transform(r, lambda y, a: y + acc[a]))), list_transform(first, lambda y, a: y + path[1][a]))), 3) AS score FROM d, mv, st""")
+def _(t, spark):
+    tokens = _tokens(t, spark)
+    tagger = tagging.trained(tokens.where("lang is not null"))
+    done = tagging.tagged_sentences(tokens.select("sentence_id", "pos", "word"), tagger)
+    known = F.size(F.filter("known", lambda x: x)).cast("long")
+    return done.select(F.col("sentence_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), known.alias("n_known"), F.round("score", 3).alias("score"))
