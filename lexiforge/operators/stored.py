@@ -1,20 +1,25 @@
-"""Cutting the lineage of iterations."""
+"""Cutting the lineage of iterations, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir; on one machine (tests) in a temporary one where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on one machine (tests) a temporary one where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiforge-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

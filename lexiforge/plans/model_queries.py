@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexiforge.functions import sequences as N
 from lexiforge.functions import text as X
-from lexiforge.operators import ngrams, tagging
+from lexiforge.operators import decoding, ngrams, tagging
+from lexiforge.operators.stored import shared_folder
 from lexiforge.plans.common import WORDS_SQL, query, r6
+from lexiforge.sources import batches, tokenised
 
 
 def _ngram_sql(order: int) -> str:
@@ -114,3 +118,45 @@ def _(t, spark):
     done = tagging.tagged_sentences(tokens.select("sentence_id", "pos", "word"), tagger)
     known = F.size(F.filter("known", lambda x: x)).cast("long")
     return done.select(F.col("sentence_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), known.alias("n_known"), F.round("score", 3).alias("score"))
+
+
+@query("word_batches", f"SELECT w AS root, lang AS pos, min(doc_id % 2)::INT AS batch FROM (SELECT doc_id, lang, unnest({WORDS_SQL}) AS w FROM documents) GROUP BY ALL")
+def _(t, spark):
+    table = batches.words_table(spark, f"{shared_folder(spark)}/words-{uuid.uuid4().hex}")
+    words = t("documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("root"), F.col("lang").alias("pos"))
+    batches.add_words(table, words.where("doc_id % 2 = 0"), 0)
+    batches.add_words(table, words, 0)  # again: nothing happens
+    batches.add_words(table, words, 1)
+    return table.read().select("root", "pos", "batch")
+
+
+@query("unknown_batches", f"""WITH k AS (SELECT conv_id, role, lower(ws[i]) AS word, turn % 2 AS b, turn * 100000 + i AS pos FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, {WORDS_SQL} AS ws FROM conversations))),
+f AS (SELECT conv_id, role, word, min(b) AS batch FROM k GROUP BY ALL), p AS (SELECT f.*, min(pos) AS first FROM f JOIN k USING (conv_id, role, word) WHERE b = batch GROUP BY ALL)
+SELECT conv_id AS sentence_id, role AS type, word, row_number() OVER (PARTITION BY conv_id, role ORDER BY batch, first, word)::INT AS id, batch::INT AS batch FROM p""")
+def _(t, spark):
+    table = batches.unknown_table(spark, f"{shared_folder(spark)}/unknown-{uuid.uuid4().hex}")
+    words = t("conversations").select(F.col("conv_id").alias("sentence_id"), F.col("role").alias("type"), "turn", F.posexplode(X.words(F.col("text"))).alias("i", "word"))
+    tokens = words.withColumn("pos", F.col("turn") * 100000 + F.col("i"))
+    for batch in (0, 1, 0):
+        batches.add_unknown_words(table, tokens.where(F.col("turn") % 2 == batch), batch)
+    return table.read().select("sentence_id", "type", "word", "id", "batch")
+
+
+@query("tokenised_rows", """SELECT doc_id, len(c)::BIGINT AS n, coalesce(list_sum(c), 0)::BIGINT AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(left(text, 50), '(?s).'), lambda x: unicode(x)) AS c FROM documents JOIN labels USING (doc_id))""")
+def _(t, spark):
+    path = f"{shared_folder(spark)}/tokenised-{uuid.uuid4().hex}"
+    rows = t("documents").where("doc_id is not null").select(F.col("doc_id").alias("row_id"), "text")
+    tokenised.write(tokenised.encoded(rows, {"text": "ids"}, lambda texts: [[ord(c) for c in x] for x in texts], most=50), path, span=1000)
+    got = tokenised.where(spark, path, t("labels").select(F.col("doc_id").alias("row_id")), span=1000)
+    return got.select(F.col("row_id").alias("doc_id"), F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("next_tokens", f"""WITH RECURSIVE terms AS (SELECT DISTINCT unnest({WORDS_SQL}) AS t FROM benchmark), words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS w FROM documents), lens AS (SELECT DISTINCT length(t) AS k FROM terms),
+r(w, e) AS (SELECT w, 0::BIGINT FROM words UNION SELECT r.w, r.e + k FROM r JOIN lens ON r.e + k <= length(r.w) JOIN terms ON t = substr(r.w, r.e + 1, k)),
+x AS (SELECT DISTINCT w, substr(t, length(w) - e + 1, 1) AS nx FROM r JOIN (SELECT t, substr(t, 1, j) AS start, j FROM (SELECT t, unnest(range(0, length(t))) AS j FROM terms)) p ON start = substr(w, e + 1) AND length(w) - e = j)
+SELECT w AS word, coalesce(n, 0)::BIGINT AS n_next, e IS NOT NULL AS ends FROM words LEFT JOIN (SELECT w, count(*) AS n FROM x GROUP BY w) USING (w) LEFT JOIN (SELECT DISTINCT w, e FROM r WHERE e = length(w)) USING (w)""")
+def _(t, spark):
+    letters = lambda rows: rows.select(F.explode(X.words(F.col("text"))).alias("word")).distinct().withColumn("tokens", F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0)))
+    terms = letters(t("benchmark"))
+    done = decoding.following(letters(t("documents")), "word", "tokens", decoding.trie(terms), decoding.longest(terms))
+    return done.select("word", F.size("next").cast("long").alias("n_next"), "ends")
