@@ -8,6 +8,9 @@ import string
 import unicodedata
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,49 @@ def _over(kind: str, f, *cols: Column) -> Column:
     return F.pandas_udf(lambda a, b: run.func(a, b), kind)(*cols)
 
 
+def repetition(tokens: Column) -> Column:
+    """struct<n, distinct, same, again> of an array of texts: tokens, distinct ones, those equal to the one before, and bigrams that occur more than once.
+
+    Tokens become numbers in Arrow, and a row's bigrams are counted as numbers; a null array gives null.
+    """
+
+    @F.arrow_udf("struct<n:int,distinct:int,same:int,again:int>")
+    def run(col: pa.Array) -> pa.Array:
+        numbers = col.flatten().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = np.cumsum([0, *[n or 0 for n in pc.list_value_length(col).to_pylist()]])
+        out = []
+        for a, b in zip(ends, ends[1:]):
+            own = numbers[a:b]
+            _, n = np.unique(own[:-1] << 32 | own[1:], return_counts=True)
+            out.append((len(own), len(np.unique(own)), int((own[1:] == own[:-1]).sum()), int(n[n > 1].sum())))
+        names, gone = ("n", "distinct", "same", "again"), pc.is_null(col)
+        return pa.StructArray.from_arrays([pa.array([row[k] for row in out], pa.int32()) for k in range(4)], names, mask=gone)
+
+    return run(tokens)
+
+
+def statement_parts(c: Column) -> Column:
+    """The top-level parenthesised parts of a text, trimmed; what is left over goes with the last.  One pass over its parentheses."""
+
+    def parts(t: str) -> list[str]:
+        out, depth, start = [], 0, 0
+        for m in re.finditer(r"[()]", t):
+            depth += 1 if m.group() == "(" else -1
+            if depth == 0 and m.group() == ")":
+                out.append(t[start : m.end()].strip(" "))
+                start = m.end()
+        rest = t[start:].strip(" ")
+        if rest:
+            out[-1:] = [f"{out[-1]} {rest}" if out else rest]
+        return out
+
+    @F.arrow_udf("array<string>")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else parts(t) for t in col.to_pylist()], pa.list_(pa.string()))
+
+    return run(c)
+
+
 def subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiforge.functions import python
+
 #: Weights of the composite score: embedding, bigrams, subsequence, corrected words, reduction.
 COMPOSITE = (0.15, 0.15, 0.10, 0.50, 0.10)
 
@@ -41,16 +43,7 @@ def share_over(v: Column, bound: float) -> Column:
 
 def repetition(tokens: Column) -> dict[str, Column]:
     """Share of distinct tokens, of adjacent repeats, and of bigrams that occur more than once; (1, 0, 0) for one token or none."""
-    def measured(t: Column) -> Column:
-        n = F.size(t)
-        pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("\u0000"), b))
-        again = lambda s: F.size(F.filter(s, lambda p, i: (p == F.get(s, i - 1)) | (p == F.get(s, i + 1))))
-        return F.struct(
-            n.alias("n"), F.size(F.array_distinct(t)).alias("distinct"), F.size(F.filter(t, lambda x, i: x == F.get(t, i - 1))).alias("same"),
-            F.get(F.transform(F.array(F.sort_array(pairs)), again), F.lit(0)).alias("again"),
-        )
-
-    m = F.get(F.transform(F.array(tokens), measured), F.lit(0))  # lambdas bind the tokens and the sorted pairs once
+    m = python.repetition(tokens)
     part = lambda x, of, other: F.when(m["n"] <= 1, F.lit(other)).otherwise(F.try_divide(m[x].cast("double"), of.cast("double")))
     return {"uniq_token_ratio": part("distinct", m["n"], 1.0), "rep_1gram": part("same", m["n"] - 1, 0.0), "rep_2gram": part("again", m["n"] - 1, 0.0)}
 

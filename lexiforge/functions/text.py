@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.functions.python import statement_parts  # noqa: F401  (the one function here that built-in expressions can't give in one pass)
+
 # Fixed values of the logic language and its tools.
 TERM = r"(?<!\?)\b[a-zA-Z_][a-zA-Z_0-9]*\b"
 VARIABLE = r"\?\w+"
@@ -55,6 +57,12 @@ def known_terms(c: Column, known: Column) -> Column:
     return F.array_intersect(F.array_distinct(logic_terms(c)), known)
 
 
+def known_in(rows: DataFrame, key: str, c: str, known: DataFrame) -> DataFrame:
+    """(key, term), once each: the logic terms of a text that a table of known terms (term) has; both sides are shuffled by term."""
+    own = rows.select(key, F.explode(F.array_distinct(logic_terms(F.col(c)))).alias("term")).distinct()
+    return own.join(known.select("term").distinct(), "term", "left_semi").select(key, "term")
+
+
 def prompt_terms(c: Column, keywords: tuple[str, ...] = PROMPT_KEYWORDS) -> Column:
     """Tokens outside quotes and parentheses, without variables and keywords (any case)."""
     bare = F.regexp_replace(c, r'"[^"]*"', "")
@@ -218,27 +226,6 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
 
 
-def statement_parts(c: Column) -> Column:
-    """The top-level parenthesised parts of a text; what is left over goes with the last."""
-    chars = F.split(c, "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, ch):
-        depth = acc["depth"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-        now = F.concat(acc["now"], ch)
-        done = (ch == ")") & (depth == 0)
-        return F.struct(
-            depth.alias("depth"), F.when(done, "").otherwise(now).alias("now"),
-            F.when(done, F.concat(acc["out"], F.array(F.trim(now)))).otherwise(acc["out"]).alias("out"),
-        )
-
-    def end(acc):
-        rest, n = F.trim(acc["now"]), F.size(acc["out"])
-        last = F.concat(F.slice(acc["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["out"], -1), F.lit(" "), rest)))
-        return F.when(rest == "", acc["out"]).when(n == 0, F.array(rest)).otherwise(last)
-
-    return F.aggregate(chars, start, step, end)
-
 
 # ---- shape ----
 

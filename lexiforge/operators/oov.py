@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
+from lexiforge.operators import pairs
 
 MASK = r"UNK_(\w+)_([\d]+)"
 
@@ -53,8 +54,7 @@ def tagged_lines(sentences: DataFrame) -> DataFrame:
 def read_tagged(lines: DataFrame) -> DataFrame:
     """(sentence_id, line_num, text) of lines (file, line_num, value): ids are carried down to the lines after them."""
     found = F.nullif(F.regexp_extract("value", r"^SentenceId:(\d+)", 1), F.lit("")).cast("int")
-    carried = F.last(found, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_num"))
-    return lines.withColumn("sentence_id", carried).where(found.isNull()).select("sentence_id", "line_num", F.col("value").alias("text"))
+    return pairs.carried(lines, found, "line_num", ["file"], "sentence_id").where(found.isNull()).select("sentence_id", "line_num", F.col("value").alias("text"))
 
 
 def unmasked(lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +82,14 @@ def axioms(used: DataFrame) -> DataFrame:
     return used.withColumn("value", F.when(term == "Human", human).when(term.isNotNull(), other)).where("value is not null")
 
 
-def snapped_join(words: DataFrame, hits: DataFrame) -> DataFrame:
-    """(sentence_id, start, word): words (sentence_id, start, word) that hits (sentence_id, at) fall into; a range join within the sentence key."""
-    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.length("word"))
+def snapped_join(words: DataFrame, hits: DataFrame, cell: int = 16) -> DataFrame:
+    """(sentence_id, start, word): words (sentence_id, start, word) that hits (sentence_id, at) fall into, without marks at their ends, once each.
+
+    A range join: words are laid on cells of some characters and meet only the hits of their cells, so a long sentence's
+    words and hits aren't all paired.  Null and empty words and null places meet nothing.
+    """
     trimmed: Column = F.regexp_replace("word", r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
-    return words.join(hits, "sentence_id").where(inside).select("sentence_id", "start", trimmed.alias("word")).distinct()
+    spans = words.where("length(word) > 0 and start is not null").select("sentence_id", "start", "word", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.length("word") - 1) / cell))).alias("cell"))
+    places = hits.where("at is not null").select("sentence_id", "at", F.floor(F.col("at") / cell).alias("cell")).distinct()
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.length("word"))
+    return spans.join(places, ["sentence_id", "cell"]).where(inside).select("sentence_id", "start", trimmed.alias("word")).distinct()

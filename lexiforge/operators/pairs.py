@@ -275,14 +275,37 @@ def signed(rows: DataFrame, features: list[str], label: str) -> DataFrame:
 # ---- order-dependent ----
 
 
-def carried(rows: DataFrame, value: Column, order: str, by: list[str], name: str = "carried") -> DataFrame:
+def scanned(rows: DataFrame, value: Column, order: str, by: list[str], how: str, name: str, before: bool = False, stretch: int = 100_000) -> DataFrame:
+    """rows with what a state is at each row of its group (before: just before it): the last value that isn't null, their sum or their max.
+
+    order is a whole number.  The state runs within stretches of order; only each stretch's end runs over a group, so a
+    group of any size is many tasks'.  Rows of equal order share their state, unless `before` is set: it then takes them
+    in any order.  Without values so far the state is null.
+    """
+    whole = {"last": lambda v: F.last(v, ignorenulls=True), "sum": F.sum, "max": F.max}[how]
+    part = rows.withColumns({"__v": value, "__s": F.expr(f"`{order}` div {stretch}")})
+    window = Window.partitionBy(*by, "__s").orderBy(order)
+    inner = whole(F.col("__v")).over(window.rowsBetween(Window.unboundedPreceding, -1) if before else window)
+    end = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))) if how == "last" else whole("__v")
+    ends = part.groupBy(*by, "__s").agg(end.alias("__e"))
+    earlier = whole(F.col("__e")).over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__s").alias("__t"), earlier.alias("__e"))
+    on = F.col("__s").eqNullSafe(F.col("__t"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    done = part.withColumn("__i", inner).join(ends, on)
+    both = F.coalesce(F.col("__i") + F.col("__e"), "__i", "__e") if how == "sum" else F.greatest("__i", "__e") if how == "max" else F.coalesce("__i", "__e")
+    return done.withColumn(name, both).drop("__v", "__s", "__t", "__e", "__i", *[f"__{c}" for c in by])
+
+
+def carried(rows: DataFrame, value: Column, order: str, by: list[str], name: str = "carried", stretch: int = 100_000) -> DataFrame:
     """rows with the last non-null value at or before each row of its group."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
+    return scanned(rows, value, order, by, "last", name, stretch=stretch)
 
 
-def segments(rows: DataFrame, separator: Column, order: str, by: list[str], name: str = "segment") -> DataFrame:
+def segments(rows: DataFrame, separator: Column, order: str, by: list[str], name: str = "segment", stretch: int = 100_000) -> DataFrame:
     """rows with the number of separators at or before each row of its group."""
-    return rows.withColumn(name, F.sum(separator.cast("int")).over(Window.partitionBy(*by).orderBy(order)).cast("long"))
+    return scanned(rows, separator.cast("int"), order, by, "sum", name, stretch=stretch).withColumn(name, F.col(name).cast("long"))
 
 
 def statement_groups(rows: DataFrame) -> DataFrame:
@@ -293,14 +316,17 @@ def statement_groups(rows: DataFrame) -> DataFrame:
     return body.groupBy("file", "segment").agg(F.array_join(lines, " ").alias("text"))
 
 
-def corpus_sentences(tokens: DataFrame) -> DataFrame:
+def corpus_sentences(tokens: DataFrame, stretch: int = 100_000) -> DataFrame:
     """Corpus tokens (line_num, word, ...) with sentence: it ends after . ! ? # <p> ... and ...."""
     end = F.col("word").isin(".", "!", "?", "#", "<p>", "...", "....")
-    before = Window.partitionBy("file").orderBy("line_num").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn("sentence", F.coalesce(F.sum(end.cast("int")).over(before), F.lit(0)))
+    done = scanned(tokens, end.cast("int"), "line_num", ["file"], "sum", "sentence", before=True, stretch=stretch)
+    return done.withColumn("sentence", F.coalesce("sentence", F.lit(0).cast("long")))
 
 
 def after_marker(rows: DataFrame, marker: Column, order: str, by: list[str]) -> DataFrame:
-    """The rows of each group that come after its first marker."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__seen", F.max(marker.cast("int")).over(before)).where("__seen = 1").drop("__seen")
+    """The rows of each group that come after its first marker (in order; rows of the same place don't)."""
+    first = rows.where(marker).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(order).alias("__first"))
+    on = F.col(order) > F.col("__first")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(first, on).drop("__first", *[f"__{c}" for c in by])

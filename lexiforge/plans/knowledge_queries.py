@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
@@ -150,12 +151,15 @@ def _(t, spark):
     return V.axioms(V.unmasked(lines, words)[1]).select("word", "type", "value")
 
 
-@query("snapped_words", "SELECT conv_id AS sentence_id, turn, 1 AS n FROM conversations WHERE length(string_split(text, ' ')[1]) > 2 AND NOT regexp_matches(string_split(text, ' ')[1], '^[[:punct:]]+$')")
+@query("snapped_words", r"""WITH p AS (SELECT doc_id, string_split(text, ' ') AS ws, length(text) AS n FROM documents), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM p),
+w AS (SELECT doc_id, word, (sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(word) - 1)::BIGINT AS start FROM u), h AS (SELECT doc_id, unnest(range(0, n, 37)) AS place FROM p)
+SELECT doc_id, w.start, regexp_replace(word, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') AS word FROM w JOIN h USING (doc_id) WHERE place >= w.start AND place < w.start + length(word) GROUP BY ALL""")
 def _(t, spark):
-    c = t("conversations").where("length(split(text, ' ')[0]) > 2")
-    words = c.select(F.struct("conv_id", "turn").alias("sentence_id"), F.lit(0).alias("start"), F.split("text", " ")[0].alias("word"))
-    hits = c.select(F.struct("conv_id", "turn").alias("sentence_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("at"))
-    return V.snapped_join(words, hits).where("word <> ''").groupBy("sentence_id").agg(F.count("*").cast("int").alias("n")).select("sentence_id.conv_id", "sentence_id.turn", "n").withColumnRenamed("conv_id", "sentence_id")
+    parts = t("documents").select(F.col("doc_id").alias("sentence_id"), F.posexplode(F.split("text", " ", -1)).alias("i", "word"))
+    ends = F.sum(F.length("word") + 1).over(Window.partitionBy("sentence_id").orderBy("i"))  # one text's words
+    words = parts.withColumn("start", ends - F.length("word") - 1)
+    hits = t("documents").where("length(text) > 0").select(F.col("doc_id").alias("sentence_id"), F.explode(F.expr("sequence(0L, length(text) - 1L, 37L)")).alias("at"))
+    return V.snapped_join(words, hits).select(F.col("sentence_id").alias("doc_id"), "start", "word")
 
 
 @query("tagged_tokens")

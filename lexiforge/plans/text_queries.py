@@ -278,9 +278,8 @@ def _(t, spark):
     return t("customer").select("c_custkey", X.wordnet_pos(tag).alias("pos"), X.candidate_prompt(F.col("c_name"), F.array("c_mktsegment", "c_name")).alias("prompt"))
 
 
-@query("known_in_text", r"""WITH k AS (SELECT list(DISTINCT w) AS k FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> '')
-SELECT item_id, len(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b[a-zA-Z_][a-zA-Z_0-9]*\b'), lambda x: list_contains(k, x)))) AS n FROM benchmark, k WHERE NOT contains(text, '?')""")
+@query("known_in_text", r"""WITH k AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\??\b[a-zA-Z_][a-zA-Z_0-9]*\b'), lambda x: x[1] <> '?')) AS w FROM documents))
+SELECT doc_id, count(*) AS n FROM d JOIN k USING (w) WHERE w <> '' GROUP BY doc_id""")
 def _(t, spark):
-    known = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").agg(F.collect_set("w").alias("k"))  # the benchmark's words, a small table
-    rows = t("benchmark").where("not contains(text, '?')").crossJoin(F.broadcast(known))
-    return rows.select("item_id", F.size(X.known_terms(X.ascii_only(F.col("text")), F.col("k"))).cast("long").alias("n"))
+    known = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    return X.known_in(t("documents").withColumn("text", X.ascii_only(F.col("text"))), "doc_id", "text", known).groupBy("doc_id").agg(F.count("*").alias("n"))
