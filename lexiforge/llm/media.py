@@ -4,13 +4,16 @@ One Aho-Corasick pass finds every magic number in the bytes; the format's valida
 its lengths from there.  What starts at the first byte corrects the declared type; what is found further in and
 validates is carved out as embedded media.  Magic bytes alone, as in running text, are not enough.
 
-Scale: per-row work, no shuffle; rows of any size are handled one at a time.
+Scale: per-row work, no shuffle; rows of any size are handled one at a time, in time that grows with their bytes: chunks that
+several headers reach are walked once, and checksums of long chunks come from running sums.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
+import operator
 import re
 import struct
 import zlib
@@ -38,41 +41,126 @@ MAGIC = (
 RIFF = {b"WAVE": ("audio/wav", (b"fmt ", b"data"), 2), b"WEBP": ("image/webp", (b"VP8 ", b"VP8L", b"VP8X"), 1), b"AVI ": ("video/x-msvideo", (b"LIST",), 1)}
 
 
-def _riff(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
-    """(end, type) of a valid file of the format that starts at `at`, else None (as for all validators).
+#: Chunk names that any form asks for.
+RIFF_NAMES = sorted({n for _, names, _ in RIFF.values() for n in names})
+
 
-    dead holds places from which validators failed before; walks that reach one stop, so places are walked once.
+class Chains:
+    """Chunk chains of all RIFF headers in some bytes, each chunk walked once.
+
+    From a chunk the next one follows from its own length alone, so chains that meet go on together and make a forest
+    whose roots lie at the end.  Whether a file's declared end is on the chain of its first chunk is then a matter of
+    the order in which the forest is numbered, and which chunks lie between follows from counts along the chains.
     """
+
+    def __init__(self, b: bytes):
+        after: dict[int, int] = {}
+        at = b.find(b"RIFF")
+        while at >= 0:
+            c = at + 12
+            while c + 8 <= len(b) and c not in after:
+                size = int.from_bytes(b[c + 4 : c + 8], "little")
+                after[c] = c + 8 + size + size % 2
+                c = after[c]
+            at = b.find(b"RIFF", at + 1)
+        weight: dict[int, int] = {}
+        for c in sorted(after):
+            weight[c] = weight.get(c, 0) + 1
+            weight[after[c]] = weight.get(after[c], 0) + weight[c]
+        for root in set(after.values()) - set(after):
+            weight[root] = weight.get(root, 0) + 1
+        self.place, self.counts, self.weight, free, roots = {}, {}, weight, {}, 0
+        for c in sorted(weight, reverse=True):
+            up = after.get(c)
+            if up is None:
+                self.place[c], roots = roots, roots + weight[c]
+                self.counts[c] = (0,) * len(RIFF_NAMES)
+            else:
+                self.place[c], free[up] = free[up], free[up] + weight[c]
+                name = b[c : c + 4]
+                self.counts[c] = tuple(n + (name == x) for n, x in zip(self.counts[up], RIFF_NAMES))
+            free[c] = self.place[c] + 1
+
+    def between(self, first: int, end: int) -> set[bytes] | None:
+        """Names that matter of the chunks from first up to end; None if end isn't on first's chain."""
+        if first == end:
+            return set()
+        if first not in self.place or end not in self.place or not self.place[end] <= self.place[first] < self.place[end] + self.weight[end]:
+            return None
+        return {x for x, n, m in zip(RIFF_NAMES, self.counts[first], self.counts[end]) if n > m}
+
+
+def _riff(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
+    """(end, type) of a valid file of the format that starts at `at`, else None (as for all validators); dead keeps what was found out about these bytes."""
     form = RIFF.get(b[at + 8 : at + 12])
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if form is None or end > len(b):
         return None
     kind, need, least = form
-    chunk, names, walked = at + 12, set(), []
-    while chunk + 8 <= end and (end, chunk) not in dead:
-        size = int.from_bytes(b[chunk + 4 : chunk + 8], "little")
-        names.add(b[chunk : chunk + 4])
-        walked.append((end, chunk))
-        chunk += 8 + size + size % 2
-    if chunk == end:
-        return (end, kind) if len(names & set(need)) >= least else None
-    dead.update(walked)
-    return None
+    if dead.chains is None:
+        dead.chains = Chains(b)
+    names = dead.chains.between(at + 12, end)
+    return (end, kind) if names is not None and len(names & set(need)) >= least else None
+
+
+def _zeros() -> list[list[int]]:
+    """What 2^k zero bytes, k = 0, 1, ..., do to a CRC-32, as columns of a matrix over bits."""
+    times = lambda m, v: functools.reduce(operator.xor, (m[i] for i in range(32) if v >> i & 1), 0)
+    one = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
+    out = []
+    for k in range(3 + 40):
+        if k >= 3:
+            out.append(one)
+        one = [times(one, v) for v in one]
+    return out
+
+
+class Sums:
+    """CRC-32 of any stretch of some bytes after one pass: sums up to every STEP bytes, and what lies between."""
+
+    STEP = 1024
+
+    def __init__(self, b: bytes):
+        self.b, self.upto = b, [0]
+        for i in range(0, len(b), self.STEP):
+            self.upto.append(zlib.crc32(b[i : i + self.STEP], self.upto[-1]))
+
+    def _to(self, n: int) -> int:
+        k = n // self.STEP
+        return zlib.crc32(self.b[k * self.STEP : n], self.upto[k])
+
+    def of(self, start: int, end: int) -> int:
+        if end - start <= 4 * self.STEP:
+            return zlib.crc32(self.b[start:end])
+        if not _ZEROS:
+            _ZEROS.extend(_zeros())
+        v, n, k = self._to(start), end - start, 0
+        while n:
+            if n & 1:
+                v = functools.reduce(operator.xor, (c for i, c in enumerate(_ZEROS[k]) if v >> i & 1), 0)
+            n, k = n >> 1, k + 1
+        return v ^ self._to(end)
+
+
+_ZEROS: list[list[int]] = []
 
 
 def _png(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
-    chunk, first = at + 8, True
-    while chunk + 12 <= len(b):
+    chunk, first, walked = at + 8, True, []
+    while chunk + 12 <= len(b) and chunk not in dead:
         size, name = struct.unpack(">I4s", b[chunk : chunk + 8])
         end = chunk + 12 + size
-        if end > len(b) or first != (name == b"IHDR") or (first and size != 13) or chunk in dead:
-            return None
-        if zlib.crc32(b[chunk + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
-            dead.add(chunk)
-            return None
+        if end > len(b) or first != (name == b"IHDR") or (first and size != 13):
+            break
+        walked += [] if first else [chunk]
+        if dead.sums is None:
+            dead.sums = Sums(b)
+        if dead.sums.of(chunk + 4, end - 4) != int.from_bytes(b[end - 4 : end], "big"):
+            break
         if name == b"IEND":
             return end, "image/png"
         chunk, first = end, False
+    dead.update(walked)
     return None
 
 
@@ -101,9 +189,11 @@ def _gif(b: bytes, at: int, dead: Dead) -> tuple[int, str] | None:
 
 
 class Dead(set):
-    """Places from which validators failed before, and the JPEG markers once they are asked for: work stays linear in the bytes."""
+    """Places from which validators failed before, and what is found out once for all of them when it is asked for: work stays linear in the bytes."""
 
     marks: list[int] | None = None
+    chains: Chains | None = None
+    sums: Sums | None = None
 
 
 _MARK = re.compile(rb"\xff(?=[^\x00\xd0-\xd7])", re.S)
