@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
-from lexiforge.operators import knowledge, models, oov, pairs, selection
+from lexiforge.operators import knowledge, models, oov, pairs, selection, tagging
 from lexiforge.sources import readers, writers
 
 #: Former names of the commands.
@@ -20,7 +20,7 @@ class Session:
 
     def __init__(
         self, spark: SparkSession, base: str, vocabulary: DataFrame, metaphor: models.Rewrite = str, simplify: models.Rewrite = str,
-        translate: models.Rewrite = str, tagger: Callable = models.plain_tagger,
+        translate: models.Rewrite = str, tagger: Callable | tagging.Tagger = models.plain_tagger,
     ):
         self.spark, self.kb, self.vocabulary = spark, writers.KnowledgeBase(spark, base), vocabulary
         self.metaphor, self.simplify, self.translate, self.tagger = metaphor, simplify, translate, tagger

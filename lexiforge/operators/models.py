@@ -1,6 +1,7 @@
 """Model-backed steps behind one protocol: a model is a function of a pandas frame that returns one.
 
-No language model ships here; the defaults are plain rules that make the steps run, and no parity is claimed for them.
+Networks are passed in as functions; the defaults are plain rules that make the steps run, and no parity is claimed for
+them.  A word model (operators.ngrams) and a tagger (operators.tagging) can be trained here and take their places.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
-from lexiforge.operators import calibration, selection
+from lexiforge.operators import calibration, kernels, selection, tagging
 
 Rewrite = Callable[[str], str]
 
@@ -76,8 +77,11 @@ def plain_tagger(sentence: str) -> list[dict]:
     return out
 
 
-def tagged(sentences: DataFrame, tagger: Callable[[str], list[dict]] = plain_tagger) -> DataFrame:
-    """(sentence_id, pos, text, lemma, upos) of sentences (sentence_id, text)."""
+def tagged(sentences: DataFrame, tagger: Callable[[str], list[dict]] | tagging.Tagger = plain_tagger) -> DataFrame:
+    """(sentence_id, pos, text, lemma, upos) of sentences (sentence_id, text), by a function of a text or a trained tagger (see operators.tagging)."""
+    if isinstance(tagger, tagging.Tagger):
+        words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+        return tagging.tagged(sentences.select("sentence_id", F.posexplode(words).alias("pos", "word")), tagger)
 
     @F.pandas_udf("array<struct<pos:int,text:string,lemma:string,upos:string>>")
     def run(col):
@@ -172,8 +176,10 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], kind:
 
     The baselines plain_logreg, plain_forest and plain_svm take the usual defaults instead: a penalty of 1 against the sum
     of losses, 100 trees as deep as MLlib lets them be (30) with leaves of 1.  MLlib has no kernel machines: svm is linear,
-    with its margin through a sigmoid.  Rows with missing features get no p.
+    with its margin through a sigmoid; kernel is operators.kernels' machine.  Rows with missing features get no p.
     """
+    if kind == "kernel":
+        return kernels.scored(test, kernels.fitted(train.withColumn("__k", F.xxhash64(*features)), features, "__k", label, seed=seed)).drop("margin")
     if kind in ("plain_logreg", "plain_svm"):
         weak = 1 / max(1, train.count())
         model = LogisticRegression(labelCol=label, regParam=weak, maxIter=1000) if kind == "plain_logreg" else LinearSVC(labelCol=label, regParam=weak)
