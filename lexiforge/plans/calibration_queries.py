@@ -65,8 +65,10 @@ def _(t, spark):
 
 @query("linear_rule", "SELECT doc_id, CASE WHEN -20.0 * length(regexp_replace(text, '[^!-/:-@\\[-`{-~]', '', 'g')) / greatest(length(text), 1) + 0.7 >= 0 THEN 1 ELSE -1 END AS label FROM documents")
 def _(t, spark):
-    rows = t("documents").select("doc_id", X.shape(F.col("text"))["punct_ratio"].alias("punct_ratio"))
-    return K.kept_by_rule(rows, {"punct_ratio": -20.0}, 0.7).select("doc_id", "label")
+    # twenty times the share in one division: twenty times a rounded share lands beside 0.7 where it is just 0.7; a null text gives none
+    marks = 20.0 * F.regexp_count("text", F.lit(r"[!-/:-@\[-`{-~]"))
+    rows = t("documents").select("doc_id", (marks / F.greatest(F.length("text"), F.lit(1))).alias("marks_in_20"))
+    return K.kept_by_rule(rows, {"marks_in_20": -1.0}, 0.7).select("doc_id", "label")
 
 
 @query("raw_rule_fold", "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS d FROM customer) SELECT c_custkey, CASE WHEN 1.5 * (c_acctbal - m) / d + 0.2 - ln(0.7 / 0.3) >= 0 THEN 1 ELSE -1 END AS label FROM customer, s")
