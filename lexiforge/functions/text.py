@@ -222,9 +222,9 @@ def balanced(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of a text, split after ., ! and ? before white space, trimmed."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-
+    """Sentences of a text, split after ., ! and ? before white space, without spaces (of any kind) at their ends."""
+    # F.trim itself would take the place that transform hands it for the characters to trim
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\p{Zs}+|\p{Zs}+\z", "")), lambda s: s != "")
 
 
 # ---- shape ----

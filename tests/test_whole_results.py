@@ -25,3 +25,8 @@ def test_linear_rule_on_its_bound_and_without_text(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert same_as_sql(spark, tmp_path, "linear_rule", documents=docs) == [("0", "1"), ("1", "-1"), ("2", "1"), ("3", "1"), ("4", "-1")]
 
+
+def test_sentences_keep_digits_at_their_ends(spark, tmp_path):
+    texts = ["0 a 0. 1 b 1. 22.2!  c　? ", "", None, "x.\ty"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ("0", "1", "1 b 1.") in same_as_sql(spark, tmp_path, "sentence_split", documents=docs)
