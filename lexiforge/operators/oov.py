@@ -16,17 +16,30 @@ MASK = r"UNK_(\w+)_([\d]+)"
 
 
 def unknown_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """tokens with type: that of nouns and verbs whose lower-cased lemma the vocabulary (root, pos) lacks, else null."""
+    """tokens with type: that of nouns and verbs whose lower-cased lemma the vocabulary (root, pos) lacks, else null.
+
+    The vocabulary, a row a known word, goes to all tasks, so the tokens aren't shuffled by their words (of which few are very frequent).
+    """
     typed = tokens.withColumn("type", X.word_type(F.col("upos")))
-    known = vocabulary.select(F.lower("root").alias("root"), F.col("pos").alias("kind")).distinct().withColumn("known", F.lit(True))
+    known = F.broadcast(vocabulary.select(F.lower("root").alias("root"), F.col("pos").alias("kind")).distinct().withColumn("known", F.lit(True)))
     hit = typed.join(known, (F.lower("lemma") == F.col("root")) & (F.col("type") == F.col("kind")), "left")
     return hit.withColumn("type", F.when(F.col("known").isNull(), F.col("type"))).drop("root", "kind", "known")
 
 
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """(sentence_id, pos, type, text, id): per sentence and type ids from 1 in order of first appearance; a repeated word keeps its id.
+
+    Tokens are dealt by sentence once, and all that follows stays where it is; several uses share that one exchange.
+    """
+    own = tokens.select("sentence_id", "pos", "type", "text").repartition("sentence_id")
+    first = own.withColumn("first", F.min("pos").over(Window.partitionBy("sentence_id", "type", "text")))
+    place = F.dense_rank().over(Window.partitionBy("sentence_id", "type").orderBy("first", "text"))  # one sentence's words
+    return first.withColumn("id", F.when(F.col("type").isNotNull(), place)).drop("first")
+
+
 def unknown_words(tokens: DataFrame) -> DataFrame:
     """(sentence_id, type, word, id): per sentence and type ids from 1 in order of first appearance; a repeated word keeps its id."""
-    first = tokens.where("type is not null").groupBy("sentence_id", "type", F.col("text").alias("word")).agg(F.min("pos").alias("first"))
-    return first.withColumn("id", F.row_number().over(Window.partitionBy("sentence_id", "type").orderBy("first"))).drop("first")
+    return _numbered(tokens).where("id is not null").select("sentence_id", "type", F.col("text").alias("word"), "id").distinct()
 
 
 def largest_id(words: DataFrame) -> DataFrame:
@@ -35,14 +48,14 @@ def largest_id(words: DataFrame) -> DataFrame:
 
 
 def masked(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Masked sentences (sentence_id, text), and their unknown words; tokens as unknown_tokens gives them (entity types too)."""
-    words = unknown_words(tokens)
-    on = (F.col("w.sentence_id") == F.col("t.sentence_id")) & (F.col("w.type") == F.col("t.type")) & (F.col("w.word") == F.col("t.text"))
-    named = tokens.alias("t").join(words.alias("w"), on, "left").select(
-        "t.sentence_id", "t.pos", F.coalesce(F.concat(F.lit("UNK_"), F.col("w.type"), F.lit("_"), F.col("w.id").cast("string")), F.col("t.text")).alias("text")
-    )
+    """Masked sentences (sentence_id, text), and their unknown words; tokens as unknown_tokens gives them (entity types too).
+
+    Tokens without a sentence have no masks.
+    """
+    mask = F.when(F.col("sentence_id").isNotNull(), F.concat(F.lit("UNK_"), F.col("type"), F.lit("_"), F.col("id").cast("string")))
+    named = _numbered(tokens).select("sentence_id", "pos", F.coalesce(mask, "text").alias("text"))
     line = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], " ")
-    return named.groupBy("sentence_id").agg(line.alias("text")), words
+    return named.groupBy("sentence_id").agg(line.alias("text")), unknown_words(tokens)
 
 
 def tagged_lines(sentences: DataFrame) -> DataFrame:
@@ -62,14 +75,13 @@ def unmasked(lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A mask without a word stays.
     """
-    parts = lines.withColumns({"gaps": F.split("text", MASK, -1), "masks": F.regexp_extract_all("text", F.lit(MASK), F.lit(0))})
-    each = parts.select("sentence_id", "line_num", F.posexplode("masks").alias("at", "mask"))
+    # each gap with the mask behind it (the last has none), so that a line's text goes through the join once and needs no other
+    parts = F.arrays_zip(F.split("text", MASK, -1).alias("gap"), F.regexp_extract_all("text", F.lit(MASK), F.lit(0)).alias("mask"))
+    each = lines.select("sentence_id", "line_num", F.posexplode_outer(parts).alias("at", "x")).select("sentence_id", "line_num", "at", "x.gap", "x.mask")
     each = each.withColumns({"type": F.regexp_extract("mask", MASK, 1), "id": F.regexp_extract("mask", MASK, 2).cast("int")})
     found = each.join(words.select("sentence_id", "type", "id", X.format_word(F.col("word")).alias("word")), ["sentence_id", "type", "id"], "left")
-    filled = found.groupBy("sentence_id", "line_num").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", "mask").alias("new"))))["new"].alias("new"))
-    pieces = F.arrays_zip(F.col("gaps"), F.coalesce("new", F.array().cast("array<string>")).alias("new"))
-    text = F.array_join(F.flatten(F.transform(pieces, lambda x: F.array(x["gaps"], F.coalesce(x["new"], F.lit(""))))), "")
-    done = parts.join(filled, ["sentence_id", "line_num"], "left").select("sentence_id", "line_num", text.alias("text"))
+    pieces = F.array_sort(F.collect_list(F.struct("at", F.concat("gap", F.coalesce("word", "mask", F.lit(""))).alias("new"))))["new"]
+    done = found.groupBy("sentence_id", "line_num").agg(F.when(F.count("gap") > 0, F.array_join(pieces, "")).alias("text"))
     used = found.where("word is not null").groupBy("word", "type").agg(F.min(F.struct("line_num", "at")).alias("first"))
     return done, used
 
