@@ -253,6 +253,11 @@ def snapped(sentence: Column, hits: Column) -> Column:
     return _over("array<struct<start:int,word:string>>", lambda s, h: snapped_words(s, list(h)), sentence, hits)
 
 
+def starts(lengths: Column) -> Column:
+    """Where each word of a text begins (array<long>), from their lengths with one character between them."""
+    return _over("array<long>", lambda n: (np.cumsum(np.asarray(n, dtype=np.int64) + 1) - n - 1).tolist(), lengths)
+
+
 def gerund(c: Column) -> Column:
     return _over("string", gerund_of, c)
 

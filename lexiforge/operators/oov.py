@@ -94,14 +94,19 @@ def axioms(used: DataFrame) -> DataFrame:
     return used.withColumn("value", F.when(term == "Human", human).when(term.isNotNull(), other)).where("value is not null")
 
 
-def snapped_join(words: DataFrame, hits: DataFrame, cell: int = 16) -> DataFrame:
+def snapped_join(words: DataFrame, hits: DataFrame, cell: int = 4096) -> DataFrame:
     """(sentence_id, start, word): words (sentence_id, start, word) that hits (sentence_id, at) fall into, without marks at their ends, once each.
 
-    A range join: words are laid on cells of some characters and meet only the hits of their cells, so a long sentence's
-    words and hits aren't all paired.  Null and empty words and null places meet nothing.
+    A range join: words and hits of a cell of characters are put in one order, in which each word looks for the next hit from its start on;
+    so they aren't paired, and are dealt out once.  Null and empty words, null places and null sentences meet nothing.
     """
     trimmed: Column = F.regexp_replace("word", r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
-    spans = words.where("length(word) > 0 and start is not null").select("sentence_id", "start", "word", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.length("word") - 1) / cell))).alias("cell"))
-    places = hits.where("at is not null").select("sentence_id", "at", F.floor(F.col("at") / cell).alias("cell")).distinct()
-    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.length("word"))
-    return spans.join(places, ["sentence_id", "cell"]).where(inside).select("sentence_id", "start", trimmed.alias("word")).distinct()
+    own = words.where("length(word) > 0 and start is not null").select("sentence_id", F.col("start").cast("long").alias("start"), "word")
+    places = hits.where("at is not null").select("sentence_id", F.col("at").cast("long").alias("start"), F.lit(None).cast("string").alias("word"))  # a hit has no word
+    both = own.unionByName(places).where("sentence_id is not null").repartition("sentence_id")
+    last = F.col("start") + F.coalesce(F.length("word"), F.lit(1)) - 1
+    both = both.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(last / cell))))
+    both = both.withColumns({"p": F.greatest("start", F.col("cell") * cell), "at": F.when(F.col("word").isNull(), F.col("start"))})
+    down = Window.partitionBy("sentence_id", "cell").orderBy(F.desc("p"), F.col("word").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("next", F.last("at", ignorenulls=True).over(down)).where(F.col("word").isNotNull() & (F.col("next") <= last))
+    return hit.select("sentence_id", "start", trimmed.alias("word")).distinct()

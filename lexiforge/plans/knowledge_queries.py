@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexiforge.functions import python as P
 from lexiforge.functions import text as X
 from lexiforge.operators import knowledge as G
 from lexiforge.operators import models as M
@@ -155,9 +155,8 @@ def _(t, spark):
 w AS (SELECT doc_id, word, (sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(word) - 1)::BIGINT AS start FROM u), h AS (SELECT doc_id, unnest(range(0, n, 37)) AS place FROM p)
 SELECT doc_id, w.start, regexp_replace(word, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') AS word FROM w JOIN h USING (doc_id) WHERE place >= w.start AND place < w.start + length(word) GROUP BY ALL""")
 def _(t, spark):
-    parts = t("documents").select(F.col("doc_id").alias("sentence_id"), F.posexplode(F.split("text", " ", -1)).alias("i", "word"))
-    ends = F.sum(F.length("word") + 1).over(Window.partitionBy("sentence_id").orderBy("i"))  # one text's words
-    words = parts.withColumn("start", ends - F.length("word") - 1)
+    parts = F.split("text", " ", -1)
+    words = t("documents").select(F.col("doc_id").alias("sentence_id"), F.explode(F.arrays_zip(parts.alias("word"), P.starts(F.transform(parts, F.length)).alias("start"))).alias("x")).select("sentence_id", "x.word", "x.start")
     hits = t("documents").where("length(text) > 0").select(F.col("doc_id").alias("sentence_id"), F.explode(F.expr("sequence(0L, length(text) - 1L, 37L)")).alias("at"))
     return V.snapped_join(words, hits).select(F.col("sentence_id").alias("doc_id"), "start", "word")
 
