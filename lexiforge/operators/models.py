@@ -222,7 +222,22 @@ def allowed_tokens(scores, allowed):
     return F.transform(scores, lambda s, i: F.when(F.array_contains(allowed, i), s).otherwise(F.lit(float("-inf"))))
 
 
+#: A lemma's senses are dealt over so many cells, and the words go to each, so that a frequent lemma's pairs are made in many tasks.
+CELLS, PARTS = 32, 96
+
+
 def senses(words: DataFrame, table: DataFrame) -> DataFrame:
-    """Senses (lemma, pos, sense) of words (lemma, tag), of the part of speech that the tag stands for, or of all if it stands for none."""
+    """Senses (lemma, pos, sense) of words (lemma, tag), of the part of speech that the tag stands for, or of all if it stands for none.
+
+    There are as many rows as a lemma's words times its senses; no pair is made of another part of speech.
+    """
     typed = words.withColumn("pos_of", X.wordnet_pos(F.col("tag")))
-    return typed.join(table, "lemma").where("pos_of is null or pos = pos_of").drop("pos_of")
+    cells, own = F.sequence(F.lit(0), F.lit(CELLS - 1)), [c for c in typed.columns if c not in ("lemma", "pos_of")]
+    dealt = typed.withColumn("__cell", F.explode(cells))
+    table = table.withColumn("__cell", F.pmod(F.xxhash64(*table.columns), F.lit(CELLS)))
+    columns = ["lemma", *own, *[c for c in table.columns if c not in ("lemma", "__cell")]]
+    by = lambda df, *keys: df.repartition(PARTS, *keys, "__cell")
+    kind = ["lemma", "pos", "__cell"]
+    some = by(dealt.where("pos_of is not null").withColumnRenamed("pos_of", "pos"), "lemma", "pos").join(by(table, "lemma", "pos"), kind)
+    every = by(dealt.where("pos_of is null").drop("pos_of"), "lemma").join(by(table, "lemma"), ["lemma", "__cell"])
+    return some.select(columns).unionByName(every.select(columns))
