@@ -189,14 +189,12 @@ def corpus_bleu(rows: DataFrame, prediction: Column, reference: Column, order: i
     """
     held = rows.select(F.monotonically_increasing_id().alias("i"), X.words(prediction).alias("p"), X.words(reference).alias("r"))
     starts = lambda w: F.sequence(F.lit(0), F.size(w) - 1)
-    each = None
-    for side in ("p", "r"):
-        w = F.col(side)
-        at = held.where(F.size(w) > 0).select("i", w.alias("w"), F.explode(starts(w)).alias("at"))
-        grams = at.select("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.size("w") - F.col("at")))).alias("n"), "w", "at")
-        counted = grams.groupBy("i", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("g")).agg(F.count("*").alias(side))
-        each = counted if each is None else each.join(counted, ["i", "n", "g"], "left")
-    by_order = each.groupBy("n").agg(F.sum(F.least("p", F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("p").alias("all"))
+    sides = F.explode(F.array(*[F.struct(F.col(side).alias("w"), F.lit(side == "p").alias("of_p")) for side in ("p", "r")]))
+    at = held.select("i", sides.alias("x")).where(F.size("x.w") > 0).select("i", "x.of_p", "x.w", F.explode(starts("x.w")).alias("at"))
+    grams = at.select("i", "of_p", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.size("w") - F.col("at")))).alias("n"), "w", "at")
+    # both sides' grams are counted together, so that a gram that both have is shuffled once and needs no join
+    each = grams.groupBy("i", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("g")).agg(F.count_if("of_p").alias("p"), F.count_if(~F.col("of_p")).alias("r")).where("p > 0")
+    by_order = each.groupBy("n").agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("all"))
     sums = by_order.agg(F.count("*").alias("orders"), F.min("hit").alias("least"), F.sum(F.ln(F.try_divide(F.col("hit"), F.col("all")))).alias("logs"))
     lengths = held.agg(F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("r"))
     brevity = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("c"))))
