@@ -72,15 +72,19 @@ def type_check(phrases: DataFrame, known: DataFrame, statement: str = "statement
 
 def coverage(rows: DataFrame, terms: Column, known: DataFrame, key: str = "row_id") -> DataFrame:
     """One row: distinct terms, the shares of distinct terms, of occurrences and of lines that the known terms (term) lack."""
-    each = rows.select(key, F.explode(terms).alias("term")).join(known.select("term", F.lit(True).alias("known")).distinct(), "term", "left")
-    by_term = each.groupBy("term", "known").agg(F.count("*").alias("n"))
+    # the known terms, a table of bounded size by its role, go to all tasks: occurrences are counted where they are read
+    each = rows.select(key, F.explode(terms).alias("term")).join(F.broadcast(known.select("term", F.lit(True).alias("known")).distinct()), "term", "left")
+    each = each.select(key, "term", F.col("known").isNull().alias("miss"))
+    # both groupings in one pass, as finding the terms of a text is most of the work
+    both = each.groupingSets([["term"], [key]], "term", key).agg(F.grouping("term").alias("of_line"), F.count("*").alias("n"), F.count_if("miss").alias("missed"))
     pct = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 2)
-    words = by_term.agg(
-        F.count("*").alias("unique_terms"), pct(F.count_if(F.col("known").isNull()), F.count("*")).alias("pct_unique_unknown"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_terms"),
-        pct(F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)), F.sum("n")).alias("pct_all_unknown"),
+    term, line = F.col("of_line") == 0, (F.col("of_line") == 1) & F.col(key).isNotNull()
+    words = both.agg(
+        F.count_if(term).alias("unique_terms"), pct(F.count_if(term & (F.col("missed") > 0)), F.count_if(term)).alias("pct_unique_unknown"), F.coalesce(F.sum(F.when(term, F.col("n"))), F.lit(0)).alias("total_terms"),
+        pct(F.coalesce(F.sum(F.when(term, F.col("missed"))), F.lit(0)), F.sum(F.when(term, F.col("n")))).alias("pct_all_unknown"), F.count_if(line & (F.col("missed") > 0)).alias("unknown_lines"),
     )
-    lines = rows.agg(F.count("*").alias("total_lines")).crossJoin(each.where("known is null").agg(F.countDistinct(key).alias("unknown_lines")))
-    return words.crossJoin(lines).withColumn("pct_lines_unknown", pct(F.col("unknown_lines"), F.col("total_lines")))
+    done = words.crossJoin(rows.agg(F.count("*").alias("total_lines"))).withColumn("pct_lines_unknown", pct(F.col("unknown_lines"), F.col("total_lines")))
+    return done.select("unique_terms", "pct_unique_unknown", "total_terms", "pct_all_unknown", "total_lines", "unknown_lines", "pct_lines_unknown")
 
 
 def first_unknown(rows: DataFrame, terms: Column, known: DataFrame, n: int, key: str = "row_id") -> DataFrame:
