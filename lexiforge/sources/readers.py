@@ -30,7 +30,8 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) ->
     upto = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select("file", "part", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     number = F.col("before") + F.col("at") - F.col("first") + 1
-    return raw.join(placed, ["file", "part"]).select("file", number.cast("int").alias("line_num"), "value")
+    # a row for each file and split: lines stay where they are read
+    return raw.join(F.broadcast(placed), ["file", "part"]).select("file", number.cast("int").alias("line_num"), "value")
 
 
 def result_lines(spark: SparkSession, base: str, model: str = "*", method: str = "*") -> DataFrame:
