@@ -62,8 +62,12 @@ def words_table(spark: SparkSession, path: str) -> BatchedTable:
 
 def add_words(table: BatchedTable, words: DataFrame, batch: int) -> bool:
     """Add (root, pos) to a vocabulary; an id is a digest of both, so it doesn't depend on when a word came."""
-    rows = words.where("root is not null").select(F.sha2(F.to_json(F.struct("root", "pos")), 224).alias("id"), "root", "pos")
-    return table.insert_or_ignore(rows, batch, ["root", "pos"])
+    if batch in table.committed():
+        return False
+    one = words.where("root is not null").select("root", "pos").distinct()
+    have = table.read().select(F.col("root").alias("__root"), F.col("pos").alias("__pos"))
+    new = one.join(have, one["root"].eqNullSafe(have["__root"]) & one["pos"].eqNullSafe(have["__pos"]), "left_anti")
+    return table.append(new.select(F.sha2(F.to_json(F.struct("root", "pos")), 224).alias("id"), "root", "pos"), batch)  # digests of new words only
 
 
 def unknown_table(spark: SparkSession, path: str) -> BatchedTable:
