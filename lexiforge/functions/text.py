@@ -36,7 +36,7 @@ def ascii_only(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words; a blank text has none."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
 
 
 # ---- terms ----
