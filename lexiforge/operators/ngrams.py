@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.operators.stored import stored
+from lexiforge.operators.stored import saved
 
 #: Between the words of a gram; what stands for it, and for the escape itself, in a word.
 SEPARATOR, ESCAPE = "\u001f", "\u001e"
@@ -58,8 +58,12 @@ def _end(c: str, order: int) -> Column:
 
 def grams_at(words: Column, order: int) -> Column:
     """For each word the gram of it and the order - 1 words before it, empty words before the first."""
-    padded = F.concat(F.array_repeat(F.lit(""), order - 1), F.split(gram(words), SEPARATOR))
-    return F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - order + 1), lambda i: F.array_join(F.slice(p, i, order), SEPARATOR))), F.lit(0))
+    own = F.split(gram(words), SEPARATOR)
+    out = own
+    for k in range(1, order):  # the words k places before
+        back = F.slice(F.concat(F.array_repeat(F.lit(""), k), own), F.lit(1), F.size(own))
+        out = F.zip_with(back, out, lambda a, b: F.concat(a, F.lit(SEPARATOR), b))
+    return out
 
 
 def gram_counts(rows: DataFrame, words: Column, order: int) -> DataFrame:
@@ -77,15 +81,20 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))
 
 
-def _shares(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, context, own) and (context, rest): a gram's discounted share of its context, and what is left for the lower order."""
+def _shares(counts: DataFrame, order: int) -> DataFrame:
+    """(gram, context, own, rest): a gram's discounted share of its context, and what the context leaves for the lower order."""
     taken = discounts(counts)
     off = F.when(F.col("n") == 1, taken[0]).when(F.col("n") == 2, taken[1]).otherwise(taken[2])
-    split = counts.withColumn("context", _context(order)).withColumn("off", off)
     of = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
-    sums = split.groupBy("context").agg(F.sum("n").alias("total"), (of[0] * F.lit(taken[0]) + of[1] * F.lit(taken[1]) + of[2] * F.lit(taken[2])).alias("lost"))
-    own = split.join(sums, "context").select("gram", "context", ((F.col("n") - F.col("off")) / F.col("total")).alias("own"))
-    return own, sums.select("context", (F.col("lost") / F.col("total")).alias("rest"))
+    lost = of[0] * F.lit(taken[0]) + of[1] * F.lit(taken[1]) + of[2] * F.lit(taken[2])
+    if order == 1:  # one context, of every word: summed apart, so that no task has them all
+        sums = counts.agg(F.sum("n").alias("total"), lost.alias("lost")).where("total is not null")
+        split = counts.crossJoin(F.broadcast(sums)).withColumn("context", F.lit(""))
+    else:
+        within = lambda c: F.sum(c).over(Window.partitionBy("context"))
+        ones = [within(F.when(x, 1).otherwise(0)) for x in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+        split = counts.withColumn("context", _context(order)).withColumns({"total": within(F.col("n")), "lost": ones[0] * F.lit(taken[0]) + ones[1] * F.lit(taken[1]) + ones[2] * F.lit(taken[2])})
+    return split.select("gram", "context", ((F.col("n") - off) / F.col("total")).alias("own"), (F.col("lost") / F.col("total")).alias("rest"))
 
 
 def trained(rows: DataFrame, words: Column, order: int = 3) -> Model:
@@ -95,29 +104,29 @@ def trained(rows: DataFrame, words: Column, order: int = 3) -> Model:
     """
     if order < 1:
         raise ValueError("the order must be 1 at least")
-    levels = [stored(gram_counts(rows, words, order))]
+    levels = [saved(gram_counts(rows, words, order))]
     for k in range(order - 1, 0, -1):  # a gram's count at a lower order: the different grams that end in it
-        levels.insert(0, stored(levels[0].groupBy(_end("gram", k + 1).alias("gram")).agg(F.count("*").alias("n"))))
-    own, rest = _shares(levels[0], 1)
-    left = rest.first()  # one row: the empty context
+        levels.insert(0, saved(levels[0].groupBy(_end("gram", k + 1).alias("gram")).agg(F.count("*").alias("n"))))
+    own = _shares(levels[0], 1)
+    left = own.select("rest").first()  # the same for every word: that of the empty context
     unknown = (left["rest"] if left else 1.0) / (levels[0].count() + 1)
-    grams = [stored(own.select("gram", (F.col("own") + unknown).alias("p")))]
+    grams = [saved(own.select("gram", (F.col("own") + unknown).alias("p")))]
     best = grams[0].agg(F.max("p")).first()[0]
     best = unknown if best is None else max(best, unknown)
     contexts = []
     for k in range(2, order + 1):
-        own, rest = _shares(levels[k - 1], k)
+        own = _shares(levels[k - 1], k)
         lower = grams[-1].select(F.col("gram").alias("end"), F.col("p").alias("low"))
-        full = own.withColumn("end", _end("gram", k)).join(lower, "end").join(rest, "context").select("gram", "context", (F.col("own") + F.col("rest") * F.col("low")).alias("p"))
-        full = stored(full)
-        tops = full.groupBy("context").agg(F.max("p").alias("seen")).join(rest, "context")
+        full = own.withColumn("end", _end("gram", k)).join(lower, "end").select("gram", "context", (F.col("own") + F.col("rest") * F.col("low")).alias("p"), "rest")
+        full = saved(full)
+        tops = full.groupBy("context").agg(F.max("p").alias("seen"), F.max("rest").alias("rest"))
         # a best word of the lower order that the context has seen has more here than its share of the rest
         if contexts:
             above = contexts[-1].select(F.col("context").alias("end"), F.col("top").alias("low"))
             tops = tops.withColumn("end", _end("context", k - 1)).join(above, "end", "left").withColumn("low", F.coalesce("low", F.lit(best))).drop("end")
         else:
             tops = tops.withColumn("low", F.lit(best))
-        contexts.append(stored(tops.select("context", "rest", F.greatest("seen", F.col("rest") * F.col("low")).alias("top"))))
+        contexts.append(saved(tops.select("context", "rest", F.greatest("seen", F.col("rest") * F.col("low")).alias("top"))))
         grams.append(full.select("gram", "p"))
     return Model(order, tuple(grams), tuple(contexts), unknown, best)
 
@@ -129,7 +138,7 @@ def probabilities(grams: DataFrame, model: Model) -> DataFrame:
         seen = model.grams[k - 1].select("gram", F.col("p").alias("seen"))
         if k == 1:
             return own.join(seen, "gram", "left").select("gram", F.coalesce("seen", F.lit(model.unknown)).alias("p"), F.lit(model.best).alias("top"))
-        here = stored(own.withColumn("context", _context(k)).join(seen, "gram", "left").join(model.contexts[k - 2], "context", "left").select("gram", "seen", "rest", "top"))
+        here = saved(own.withColumn("context", _context(k)).join(seen, "gram", "left").join(model.contexts[k - 2], "context", "left").select("gram", "seen", "rest", "top"))
         here = here.withColumn("end", _end("gram", k))
         fewer = here.where("seen is null or top is null").select(F.col("end").alias("gram")).distinct()  # only these need the lower order
         lower = at(fewer, k - 1).select(F.col("gram").alias("end"), F.col("p").alias("low"), F.col("top").alias("low_top"))

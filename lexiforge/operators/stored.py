@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,9 @@ def stored(df: DataFrame) -> DataFrame:
     """df computed once, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once, as Parquet in the shared folder: for large tables, of which a checkpoint computes the last step twice and writes rows uncompressed."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}")
+    return df.sparkSession.read.parquet(path)
