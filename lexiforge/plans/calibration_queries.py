@@ -8,6 +8,7 @@ from lexiforge.functions import text as X
 from lexiforge.operators import calibration as K
 from lexiforge.operators import models as M
 from lexiforge.operators import selection as S
+from lexiforge.operators.stored import saved
 from lexiforge.plans.common import query, r6
 
 FEATURES = ["punct_ratio", "digit_ratio", "upper_ratio", "words", "diversity"]
@@ -118,11 +119,11 @@ def _(t, spark):
 
 @query("forest_label")
 def _(t, spark):
-    rows = S.hashed_split(_features(t), "doc_id", 80)
+    rows = S.hashed_split(saved(_features(t)), "doc_id", 80)  # fitting reads its rows several times
     return M.fit_and_score(rows.where("train"), rows.where("not train"), FEATURES, "forest").select("doc_id", "y", r6(F.col("p")).alias("p"))
 
 
 @query("margin_label")
 def _(t, spark):
-    rows = S.hashed_split(_features(t), "doc_id", 80)
+    rows = S.hashed_split(saved(_features(t)), "doc_id", 80)  # fitting reads its rows several times
     return M.fit_and_score(rows.where("train"), rows.where("not train"), FEATURES, "svm").select("doc_id", "y", r6(F.col("p")).alias("p"))
