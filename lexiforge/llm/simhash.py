@@ -274,8 +274,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: The pipeline's stage: two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 4/5 or
 #: more, so i common of a and b shingles link when 9 * i >= 4 * (a + b).
 #: Keys that at most SMALL classes share are paired one by one, others in blocks of BLOCK (DENSE: with more pairs a row than
-#: that, a block's texts are compared together); a group of pairs has about MEMBERS; SAMPLE texts tell common shingles.
-SMALL, BLOCK, DENSE, MEMBERS, SAMPLE, COMMON, SEEN = 64, 512, 4, 256, 10_000, 100_000, 200_000
+#: that, a block's texts are compared together); a group of pairs has about MEMBERS.
+SMALL, BLOCK, DENSE, MEMBERS, SEEN = 64, 512, 4, 256, 200_000
+#: One text in SAMPLED tells which shingles are common: those that OFTEN or more of its texts hold.  It is a share and not a number of
+#: texts, so a shingle of about OFTEN * SAMPLED texts is common in a table of any size, and pairs a key don't grow with the table.
+#: Common shingles are kept by the low CELL_BITS of their hashes: a byte a cell (16 MB), however many there are.
+SAMPLED, OFTEN, CELL_BITS = 4, 3, 24
 #: A pair (x, y) of index rows that may link, by their sizes and by what is left behind the shared key in both.
 _MAY_LINK = "5 * least({x}n, {y}n) >= 4 * greatest({x}n, {y}n) and 9 * least({x}n - {x}pos, {y}n - {y}pos) >= 4 * ({x}n + {y}n)"
 #: At a Jaccard similarity of 4/5, fingerprints of 256 bits differ in 39 bits, with a deviation of 6: 76 are 6.5 deviations off.
@@ -287,18 +291,16 @@ def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def _rare_first(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set in the order of index keys: shingles that few hold first, then the common ones by rank."""
-    if len(common):
-        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        s = s[np.argsort(np.where(common[place] == s, rank[place], 0), kind="stable")]
-    return s
+def _rare_first(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set in the order of index keys: shingles that few hold first, then the common ones from rare to common."""
+    return s[np.argsort(level[(s & np.uint64(len(level) - 1)).astype(np.int64)], kind="stable")]
 
 
 def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that a sample of the texts shares, and their ranks from rare to common.
+    """Cells of the shingles that a share of the texts holds often, and their levels (8 for each doubling of their texts).
 
-    Only the order of index keys depends on them, so they change the work and never the result.
+    Only the order of index keys depends on them, so they change the work and never the result; a rare shingle in the
+    cell of a common one only comes later in the order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +308,11 @@ def _common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarr
             for value in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_set(value.as_py(), shingle).view(np.int64))], ["h"])
 
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.select(F.col(text).alias("t")).withColumn("k", F.xxhash64("t")).where(F.pmod("k", F.lit(every)) == 0).dropDuplicates(["k"])
-    counts = some.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 3")
-    top = counts.orderBy(F.desc("k"), "h").limit(COMMON).toArrow()
-    h, k = top["h"].to_numpy().view(np.uint64), top["k"].to_numpy()
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, k))] = np.arange(1, len(h) + 1)
-    order = np.argsort(h)
-    return h[order], rank[order]
+    some = docs.select(F.col(text).alias("t")).withColumn("k", F.xxhash64("t")).where(F.pmod("k", F.lit(SAMPLED)) == 0).dropDuplicates(["k"])
+    counts = some.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("k")).where(f"k >= {OFTEN}")
+    cell, level = F.expr(f"int(h & {2**CELL_BITS - 1})"), F.expr("smallint(least(floor(8 * log2(k)), 255))")
+    top = counts.groupBy(cell.alias("cell")).agg(F.max(level).alias("level")).toArrow()
+    return top["cell"].to_numpy(), top["level"].to_numpy().astype(np.uint8)
 
 
 def shingle_classes(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> DataFrame:
@@ -325,11 +323,13 @@ def shingle_classes(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> D
     in common, so they share a key (exact, nothing is lost).  A task gives the keys of a class once and null after that,
     so a hot group of copies stays narrow and is aggregated before the shuffle.
     """
-    common, rank = _common_shingles(docs, text, shingle)
+    common, how = _common_shingles(docs, text, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        level = np.zeros(2**CELL_BITS, np.uint8)
+        level[common] = how
         seen: set[bytes] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
@@ -340,7 +340,7 @@ def shingle_classes(docs: DataFrame, rep: str, text: str, shingle: int = 5) -> D
                     keys = sim = None
                     if n and fp not in seen:
                         sim = folded(s, STAGE_RING[0] // 64)
-                        keys = _rare_first(s, common, rank)[: n // 5 + 1].view(np.int64)
+                        keys = _rare_first(s, level)[: n // 5 + 1].view(np.int64)
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(fp)

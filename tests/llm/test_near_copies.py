@@ -118,3 +118,14 @@ def test_fingerprints_of_near_copies_pass_the_chains():
         x = np.frombuffer(simhash.folded(own, 4), ">u8") ^ np.frombuffer(simhash.folded(other, 4), ">u8")
         lost += not len(ring.near(x.astype(np.uint64).reshape(1, 4)))
     assert lost == 0
+
+
+def test_passages_of_a_few_texts_give_few_pairs(spark):
+    """Each of 100,000 texts holds one of 3334 passages, with about 30 texts each: in a large table too these are no index keys."""
+    word = "concat('{0}', pmod(xxhash64(pmod(id, {1}), {2}, j), 1000000))"
+    words = "array_join(transform(sequence(1, 20), j -> " + word + "), ' ')"
+    docs = spark.range(0, 100_000, 1, 8).selectExpr(
+        "id as doc_id", f"concat({words.format('o', 1_000_000, 1)}, ' ', {words.format('p', 3334, 2)}) as text"
+    )
+    index = simhash.shingle_classes(docs, "doc_id", "text").selectExpr("explode(keys) as key").groupBy("key").count()
+    assert index.selectExpr("sum(count * (count - 1) div 2)").first()[0] < 200_000
