@@ -136,7 +136,8 @@ def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("source").alias("__source"),
         F.expr("int(round(taken / size))").alias("__copies"),
     ).where("__copies > 0")
-    plan = plan.groupBy("__id", "__key", "__source").agg(F.collect_list("__copies").alias("__copies"))
+    # cut here, or the whole schedule stands twice in the plan of the texts' join and the driver holds it anew after each of its stages
+    plan = cut(plan.groupBy("__id", "__key", "__source").agg(F.collect_list("__copies").alias("__copies")))
     keyed = docs.withColumn("__k", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(plan["__id"]) & (keyed["__k"] == plan["__key"]) & keyed["source"].eqNullSafe(plan["__source"])
     # rows that repeat are equal here, so any of them may carry any of the numbers

@@ -531,7 +531,9 @@ def jaccard_links(classes: DataFrame, texts: DataFrame, shingle: int = 5) -> Dat
     star = star.where("c.id < id and " + _MAY_LINK.format(x="c.", y="")).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(_pruned(star, classes))
     linked = cut(_verified(star, _with_text(_ends(star), classes, texts), shingle))
-    named = classes.select("id", "fp").join(components(linked), F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
+    roots = components(linked)
+    linked = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # connects the same, and settles at once
+    named = classes.select("id", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
     named = met.join(named, "id").select("key", "pos", "id", "n", "m", "fp", "root")
     apart = named.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
     apart = cut(named.join(apart.hint("shuffle_hash"), "key"))
