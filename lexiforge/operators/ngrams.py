@@ -13,6 +13,7 @@ to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,7 +75,11 @@ def gram_counts(rows: DataFrame, words: Column, order: int) -> DataFrame:
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """What a gram that occurs once, twice and more often loses, from how many grams occur one to four times."""
-    n = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+    return discounts_of(counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
+
+
+def discounts_of(n: Sequence[int]) -> tuple[float, float, float]:
+    """The same from how many grams occur one to four times."""
     if not (n[0] and n[1] and n[2]):
         return PLAIN_DISCOUNTS
     y = n[0] / (n[0] + 2 * n[1])

@@ -28,5 +28,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """df computed once, as Parquet in the shared folder: for large tables, of which a checkpoint computes the last step twice and writes rows uncompressed."""
-    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}")
+    conf, cleaned = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleaned, None)
+    conf.set(cleaned, "true")  # nothing else reads the shuffle files of this write
+    try:
+        df.write.parquet(path := f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}", compression="zstd")
+    finally:
+        conf.unset(cleaned) if before is None else conf.set(cleaned, before)
     return df.sparkSession.read.parquet(path)

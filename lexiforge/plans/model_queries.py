@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import sequences as N
 from lexiforge.functions import text as X
-from lexiforge.operators import decoding, ngrams, tagging
+from lexiforge.operators import decoding, gramcells, ngrams, tagging
 from lexiforge.operators.stored import shared_folder
 from lexiforge.plans.common import WORDS_SQL, query, r6
 from lexiforge.sources import batches, tokenised
@@ -57,9 +57,7 @@ def _features(scored, key):
 v AS (SELECT doc_id, list(-ln(p) ORDER BY i) AS v, list(top ORDER BY i) AS tops FROM k JOIN p3 USING (gram) JOIN g3 ON g3.context = gram[:2] WHERE i > 1 GROUP BY doc_id)
 SELECT doc_id, {_FEATURES} FROM v""")
 def _(t, spark):
-    docs = t("documents").select("doc_id", X.words(F.col("text")).alias("words"))
-    model = ngrams.trained(docs, F.col("words"), 3)
-    return _features(ngrams.scored(docs, "doc_id", F.col("words"), model), "doc_id")
+    return _features(gramcells.scored(t("documents"), "doc_id", X.words(F.col("text"))), "doc_id")
 
 
 @query("ngram_foreign", f"""{_ngram_sql(2)},

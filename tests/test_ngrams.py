@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import ngrams
+from lexiforge.operators import gramcells, ngrams
 
 
 def plain(texts, order):
@@ -75,3 +75,32 @@ def test_odd_rows(spark):
     assert got[None].nll == [0.0, 0.0] and got[1].nll is None and len(got[2].nll) == 3
     with pytest.raises(ValueError):
         ngrams.trained(empty, F.col("w"), 0)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"frequent": 3, "piece": 5, "cell": 3, "heavy": 4, "bits": 7}])
+def test_own_texts_match_the_definition(spark, sizes):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)) + [(99, None), (None, ["on", "the", "cat"])], "k int, w array<string>").repartition(3)
+    texts = [*TEXTS, ["on", "the", "cat"]]
+    p, words = plain(texts, 3)
+    got = {r.k: r for r in gramcells.scored(rows, "k", F.col("w"), **sizes).collect()}
+    assert set(got) == {k for k, t in [*enumerate(TEXTS), (None, texts[-1])] if len(t) > 1}
+    for k, t in [*enumerate(TEXTS), (None, texts[-1])]:
+        if len(t) > 1:
+            before = [tuple(["", ""] + t[:i])[-2:] for i in range(1, len(t))]
+            assert got[k].nll == pytest.approx([-math.log(p(w, b)) for w, b in zip(t[1:], before)])
+            assert got[k].top == pytest.approx([max(p(w, b) for w in words | {"?"}) for b in before])
+
+
+def test_own_texts_odd_rows(spark):
+    empty = spark.createDataFrame([], "k int, w array<string>")
+    assert gramcells.scored(empty, "k", F.col("w")).collect() == []
+    twice = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b", "c"]), (2, ["x"]), (3, [])], "k int, w array<string>")
+    assert [(r.k, len(r.nll), len(r.top)) for r in gramcells.scored(twice, "k", F.col("w")).collect()] == [(1, 3, 3)]
+
+
+def test_own_texts_shuffle_few_bytes_a_word(spark):
+    rows = spark.range(40).select("id", F.expr("transform(sequence(1, 1000), i -> concat('word', cast(pow(pmod(xxhash64(id, i), 1000) / 10.0D, 2) as int)))").alias("w"))
+    sent = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    gramcells.scored(rows, "id", F.col("w")).write.format("noop").mode("overwrite").save()
+    assert sent() - before < 40 * 40_000  # 119 bytes a word by joins with tables of grams
