@@ -18,29 +18,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.operators.ngrams import discounts_of
+from lexiforge.operators.pieces import PIECE, packed, pieces, repeated, unpacked, words_of
 from lexiforge.operators.stored import saved
 
-#: Words numbered by rank; words of a piece and of a cell; a word is given a cell of its own from this many on; bits of a hash.
-FREQUENT, PIECE, CELL, HEAVY, BITS = 65536, 1_000_000, 1_000_000, 500_000, 62
+#: Words numbered by rank; words of a cell; a word is given a cell of its own from this many on; bits of a hash.
+FREQUENT, CELL, HEAVY, BITS = 65536, 1_000_000, 500_000, 62
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SENT = "cell int, share int, piece long, size int, data binary"
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of eight-byte numbers of equal length, byte by byte of all their numbers, which compresses well."""
-    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, size: int, kinds: list) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data, size * 8 * len(kinds), "zstd", asbytes=True), np.uint8).reshape(len(kinds), 8, size)
-    return [np.ascontiguousarray(raw[i].T).view(kind).reshape(-1) for i, kind in enumerate(kinds)]
-
-
 def _numbers(words: pa.Array, seed: int, bits: int, frequent: pa.Array | None = None) -> np.ndarray:
     """int64 numbers of different words: from 1 the rank of the frequent, of others a hash beyond all ranks."""
     hashes = pd.util.hash_array(np.asarray(words.to_pandas(), dtype=object), hash_key=f"{seed:016d}", categorize=False) >> np.uint64(64 - bits)
@@ -121,7 +111,7 @@ class _Cell:
         for i, j in zip(self.heads, ends):
             rows = self.rows.slice(i, j - i)
             sizes = rows["size"].to_numpy()
-            a, b, c, n = (np.concatenate(x) for x in zip(*(_unpacked(d.as_buffer(), s, [np.int64] * 4) for d, s in zip(rows["data"], sizes))))
+            a, b, c, n = (np.concatenate(x) for x in zip(*(unpacked(d.as_buffer(), s, 4) for d, s in zip(rows["data"], sizes))))
             first, mid, last = (np.unique(x, return_inverse=True)[1] for x in (a, b, c))
             at_two, two = _distinct(mid, last)
             at, three = _distinct(first, two)
@@ -161,11 +151,10 @@ def scored(rows: DataFrame, key: str, words: Column, frequent: int = FREQUENT, p
     nll and top are array<double> without the first word, as `ngrams.scored` gives them: each word's negative log
     probability after the two words before it, and the best word's probability there.  Rows with an equal key have one list.
     """
-    texts = rows.select(F.col(key).alias("key"), words.alias("words")).where(F.size("words") > 0)
-    key_type = texts.schema["key"].dataType.simpleString()
-    pieces = saved(texts.mapInArrow(_pieces(piece), f"piece long, keys array<{key_type}>, sizes array<int>, words array<string>, data binary"))
+    key_type = rows.schema[key].dataType.simpleString()
+    made = pieces(rows, F.col(key), words, piece)
     for seed in range(100):
-        known = saved(_vocabulary(pieces, seed, bits))
+        known = saved(_vocabulary(made, seed, bits))
         if known.groupBy("number").count().where("count > 1").isEmpty():
             break
     else:
@@ -177,7 +166,7 @@ def scored(rows: DataFrame, key: str, words: Column, frequent: int = FREQUENT, p
     cells, lows = max(16, total // cell), max(4, n_words // cell)
 
     read = _reader(seed, bits, ranked, cells, shares)
-    sent = pieces.select("piece", "sizes", "words", "data").mapInArrow(_sent(read), _SENT)
+    sent = made.select("piece", "sizes", "words", "data").mapInArrow(_sent(read), _SENT)
     asked = saved(sent.groupBy("cell").applyInArrow(_asked(lows), "low int, cell int, size int, data binary, seen2 array<long>, seen3 array<long>"))
     told = saved(asked.where("low >= 0").select("low", "cell", "size", "data").groupBy("low").applyInArrow(_told, "cell int, low int, size int, data binary, seen array<long>, total long, most long"))
 
@@ -188,8 +177,8 @@ def scored(rows: DataFrame, key: str, words: Column, frequent: int = FREQUENT, p
     model = _Ones(taken[0], ones, *(int(x or 0) for x in ends))
 
     values = sent.groupBy("cell").cogroup(told.where("cell >= 0").select("cell", "low", "size", "data").groupBy("cell")).applyInArrow(_valued(model, taken, lows), "piece long, cell int, share int, size int, data binary")
-    done = values.groupBy("piece").cogroup(pieces.groupBy("piece")).applyInArrow(_lists(read), f"key {key_type}, nll array<double>, top array<double>")
-    if not pieces.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").isEmpty():
+    done = values.groupBy("piece").cogroup(made.groupBy("piece")).applyInArrow(_lists(read), f"key {key_type}, nll array<double>, top array<double>")
+    if repeated(made):
         done = done.groupBy("key").agg(F.flatten(F.collect_list("nll")).alias("nll"), F.flatten(F.collect_list("top")).alias("top"))
     return done.withColumnRenamed("key", key)
 
@@ -208,47 +197,23 @@ class _Ones:
         return (n - self.taken[np.minimum(n, 3) - 1]) / self.total + self.unknown
 
 
-def _pieces(most: int):
-    def pieces(batches):
-        task, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes, i = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64), 0
-            ends = np.cumsum(sizes)
-            while i < len(sizes):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-                part = batch.slice(i, j - i)
-                own = part.column("words").flatten().dictionary_encode()
-                data = _packed(own.indices.to_numpy().astype(np.int64))
-                keys, words = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays([part.column("key")]), own.dictionary))
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), keys, pa.array([sizes[i:j]], pa.list_(pa.int32())), words, pa.array([data], pa.binary())], ["piece", "keys", "sizes", "words", "data"])
-                i, made = j, made + 1
-
-    return pieces
-
-
-def _words_of(sizes: pa.ListScalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """How many words a piece's texts have, and each word's place among the piece's distinct ones."""
-    sizes = sizes.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return sizes, _unpacked(data.as_buffer(), int(sizes.sum()), [np.int64])[0]
-
-
-def _vocabulary(pieces: DataFrame, seed: int, bits: int) -> DataFrame:
+def _vocabulary(made: DataFrame, seed: int, bits: int) -> DataFrame:
     """(word, number, n) of all words."""
 
     def counted(batches):
         for batch in batches:
             for words, sizes, data in zip(*batch.columns):
                 own = words.values
-                n = np.bincount(_words_of(sizes, data)[1], minlength=len(own))
+                n = np.bincount(words_of(sizes, data)[1], minlength=len(own))
                 yield pa.RecordBatch.from_arrays([own, pa.array(_numbers(own, seed, bits)), pa.array(n)], ["word", "number", "n"])
 
-    each = pieces.select("words", "sizes", "data").mapInArrow(counted, "word string, number long, n long")
+    each = made.select("words", "sizes", "data").mapInArrow(counted, "word string, number long, n long")
     return each.groupBy("word", "number").agg(F.sum("n").alias("n"))
 
 
 def _reader(seed: int, bits: int, frequent: pa.Array, cells: int, shares: np.ndarray):
     def read(words: pa.ListScalar, sizes: pa.ListScalar, data: pa.Scalar) -> tuple[_Piece, np.ndarray]:
-        sizes, own = _words_of(sizes, data)
+        sizes, own = words_of(sizes, data)
         return _Piece(_numbers(words.values, seed, bits, frequent), own, sizes, cells, shares), sizes
 
     return read
@@ -263,7 +228,7 @@ def _sent(read):
                 at = [p.start for p in parts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(own.cell[at], pa.int32()), pa.array(own.share[at], pa.int32()), pa.array([piece.as_py()] * len(at), pa.int64()), pa.array([p.stop - p.start for p in parts], pa.int32()),
-                    pa.array([_packed(own.a[p], own.b[p], own.c[p], own.n[p]) for p in parts], pa.binary()),
+                    pa.array([packed(own.a[p], own.b[p], own.c[p], own.n[p]) for p in parts], pa.binary()),
                 ], ["cell", "share", "piece", "size", "data"])
 
     return sent
@@ -284,7 +249,7 @@ def _asked(lows: int):
         low = _spread(cell.words, lows)
         to = np.unique(low)
         picked = [low == k for k in to]
-        columns = {"low": [-1, *to], "size": [0, *(int(x.sum()) for x in picked)], "data": [None, *(_packed(cell.words[x], n[x]) for x in picked)],
+        columns = {"low": [-1, *to], "size": [0, *(int(x.sum()) for x in picked)], "data": [None, *(packed(cell.words[x], n[x]) for x in picked)],
                    "cell": [rows["cell"][0].as_py()] * (len(to) + 1), "seen2": [_histogram(cell.n), *[None] * len(to)], "seen3": [cell.seen, *[None] * len(to)]}
         return _table(columns, [("low", pa.int32()), ("cell", pa.int32()), ("size", pa.int32()), ("data", pa.binary()), ("seen2", _LONGS), ("seen3", _LONGS)])
 
@@ -294,11 +259,11 @@ def _asked(lows: int):
 def _told(rows: pa.Table) -> pa.Table:
     """Each word's count in all cells, to the cells that asked for it, in their order."""
     sizes = rows["size"].to_numpy()
-    parts = [_unpacked(d.as_buffer(), s, [np.int64] * 2) for d, s in zip(rows["data"], sizes)]
+    parts = [unpacked(d.as_buffer(), s, 2) for d, s in zip(rows["data"], sizes)]
     _, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     n = np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     ends = np.cumsum(sizes)
-    columns = {"cell": [-1, *rows["cell"].to_pylist()], "low": [rows["low"][0].as_py()] * (len(sizes) + 1), "size": [0, *sizes], "data": [None, *(_packed(n[of[e - s : e]]) for s, e in zip(sizes, ends))],
+    columns = {"cell": [-1, *rows["cell"].to_pylist()], "low": [rows["low"][0].as_py()] * (len(sizes) + 1), "size": [0, *sizes], "data": [None, *(packed(n[of[e - s : e]]) for s, e in zip(sizes, ends))],
                "seen": [_histogram(n), *[None] * len(sizes)], "total": [int(n.sum()), *[None] * len(sizes)], "most": [int(n.max()), *[None] * len(sizes)]}
     return _table(columns, [("cell", pa.int32()), ("low", pa.int32()), ("size", pa.int32()), ("data", pa.binary()), ("seen", _LONGS), ("total", pa.int64()), ("most", pa.int64())])
 
@@ -311,7 +276,7 @@ def _valued(model: _Ones, taken: list[tuple], lows: int):
         cell = _Cell(rows)
         low, ones = _spread(cell.words, lows), np.zeros(len(cell.words), np.int64)
         for k, size, data in zip(told["low"].to_pylist(), told["size"].to_pylist(), told["data"]):
-            ones[low == k] = _unpacked(data.as_buffer(), size, [np.int64])[0]
+            ones[low == k] = unpacked(data.as_buffer(), size, 1)[0]
         own, rest2 = _levels(cell.n, cell.first, len(cell.befores), taken[1])
         two = own + rest2[cell.first] * model.of(ones)[cell.last]
         top2 = np.maximum(_highest(two, cell.first, len(cell.befores)), rest2 * model.best)
@@ -325,7 +290,7 @@ def _valued(model: _Ones, taken: list[tuple], lows: int):
             top = np.maximum(_highest(p, g["context"][at], size), rest * low_top)
             each, best = p[g["three"]].view(np.int64), top[g["context"]].view(np.int64)
             ends, number = np.cumsum(g["sizes"]), cell.rows["share"][int(cell.heads[share])].as_py()
-            out += [(k, number, s, _packed(each[e - s : e], best[e - s : e] ^ each[e - s : e])) for k, s, e in zip(g["pieces"], g["sizes"], ends)]
+            out += [(k, number, s, packed(each[e - s : e], best[e - s : e] ^ each[e - s : e])) for k, s, e in zip(g["pieces"], g["sizes"], ends)]
         pieces, shares, sizes, data = zip(*out)
         return _table({"piece": pieces, "cell": [rows["cell"][0].as_py()] * len(out), "share": shares, "size": sizes, "data": data}, kinds)
 
@@ -337,7 +302,7 @@ def _lists(read):
         """A piece's texts with the values of their words."""
         own, sizes = read(pieces["words"][0], pieces["sizes"][0], pieces["data"][0])
         order = np.lexsort((values["share"].to_numpy(), values["cell"].to_numpy()))  # as they were sent
-        p, top = (np.concatenate(x) for x in zip(*(_unpacked(values["data"][int(i)].as_buffer(), values["size"][int(i)].as_py(), [np.int64] * 2) for i in order)))
+        p, top = (np.concatenate(x) for x in zip(*(unpacked(values["data"][int(i)].as_buffer(), values["size"][int(i)].as_py(), 2) for i in order)))
         later = np.arange(len(own.of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) > 0
         of, many = own.of[later], sizes > 1
         ends = pa.array(np.append(0, np.cumsum(sizes[many] - 1)), pa.int32())

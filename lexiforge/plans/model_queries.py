@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import sequences as N
 from lexiforge.functions import text as X
-from lexiforge.operators import decoding, gramcells, ngrams, tagging
+from lexiforge.operators import decoding, gramcells, ngrams, pieces, tagging
 from lexiforge.operators.stored import shared_folder
 from lexiforge.plans.common import WORDS_SQL, query, r6
 from lexiforge.sources import batches, tokenised
@@ -78,10 +78,14 @@ y AS (SELECT doc_id, i, w, lang || '-' || {_BEGINS} AS tag FROM k WHERE lang IS
 _MOVES_SQL = "m AS (SELECT lag(tag) OVER (PARTITION BY doc_id ORDER BY i) AS before, tag FROM y)"
 
 
+def _begins(word):
+    first = F.substring(word, 1, 1)
+    return F.when(first.between("A", "Z"), "A").when(first.between("a", "z"), "a").otherwise("0")
+
+
 def _tokens(t, spark):
     words = t("documents").select("doc_id", "lang", F.posexplode(X.words(F.col("text"))).alias("pos", "word"))
-    begins = F.when(F.col("word").rlike("^[A-Z]"), "A").when(F.col("word").rlike("^[a-z]"), "a").otherwise("0")
-    return words.select(F.col("doc_id").alias("sentence_id"), "pos", "word", F.concat("lang", F.lit("-"), begins).alias("tag"), "lang")
+    return words.select(F.col("doc_id").alias("sentence_id"), "pos", "word", F.concat("lang", F.lit("-"), _begins(F.col("word"))).alias("tag"), "lang")
 
 
 @query("tag_transitions", f"WITH {_TOKENS_SQL}, {_MOVES_SQL} SELECT before, tag, count(*) AS n FROM m GROUP BY ALL")
@@ -111,11 +115,17 @@ ov AS (SELECT u.w, u.known, list(coalesce(o.score, '-Infinity'::DOUBLE) ORDER BY
 d AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE known) AS n_known, list(s ORDER BY i) AS path FROM k JOIN ov ON ov.w = k.w GROUP BY doc_id)
 SELECT doc_id, n_words, n_known, round(list_max(list_reduce(path[2:], lambda acc, x: list_transform(moves, lambda r, b: x[b] + list_max(list_transform(r, lambda y, a: y + acc[a]))), list_transform(first, lambda y, a: y + path[1][a]))), 3) AS score FROM d, mv, st""")
 def _(t, spark):
-    tokens = _tokens(t, spark)
-    tagger = tagging.trained(tokens.where("lang is not null"))
-    done = tagging.tagged_sentences(tokens.select("sentence_id", "pos", "word"), tagger)
+    made = pieces.pieces(t("documents"), F.col("doc_id"), X.words(F.col("text")))
+    if pieces.repeated(made):  # the words of texts with one id are one sentence
+        tokens = _tokens(t, spark)
+        tagger = tagging.trained(tokens.where("lang is not null"))
+        done = tagging.tagged_sentences(tokens.select("sentence_id", "pos", "word"), tagger).withColumnRenamed("sentence_id", "key")
+    else:
+        texts = t("documents").where("doc_id is not null and lang is not null").select("lang", X.words(F.col("text")).alias("words"))
+        links = tagging.text_transitions(texts, F.transform("words", lambda w: F.concat("lang", F.lit("-"), _begins(w))))
+        done = tagging.tagged_pieces(made, tagging.trained(_tokens(t, spark).where("lang is not null"), links))
     known = F.size(F.filter("known", lambda x: x)).cast("long")
-    return done.select(F.col("sentence_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), known.alias("n_known"), F.round("score", 3).alias("score"))
+    return done.select(F.col("key").alias("doc_id"), F.size("words").cast("long").alias("n_words"), known.alias("n_known"), F.round("score", 3).alias("score"))
 
 
 @query("word_batches", f"SELECT w AS root, lang AS pos, min(doc_id % 2)::INT AS batch FROM (SELECT doc_id, lang, unnest({WORDS_SQL}) AS w FROM documents) GROUP BY ALL")

@@ -80,3 +80,26 @@ def test_odd_tables(spark):
     assert tagger.tags == () and T.tagged(empty, tagger).collect() == []
     one = T.trained(spark.createDataFrame([(1, 0, "a", "X"), (None, 0, "b", "X"), (1, 1, None, "Y")], "sentence_id int, pos int, word string, tag string"))
     assert [(r.text, r.upos) for r in T.tagged(spark.createDataFrame([(1, 0, "zz"), (1, 0, "zz")], "sentence_id int, pos int, word string"), one).collect()] == [("zz", "X")] * 2
+
+
+def test_sentences_together_have_the_paths_they_have_alone():
+    rng = np.random.default_rng(3)
+    moves, size, sizes = np.log(rng.dirichlet(np.ones(4), 5)), rng.integers(1, 5, 20), rng.integers(1, 6, 40)
+    tags = np.concatenate([np.sort(rng.choice(4, n, replace=False)) for n in size])
+    scores, words = rng.normal(size=len(tags)), rng.integers(0, 20, sizes.sum())
+    start, ends = np.cumsum(size) - size, np.cumsum(sizes)
+    path, best = T.best_paths(moves, sizes, words, size, tags, scores)
+    for n, e, score in zip(sizes, ends, best):
+        assert T.best_path(moves, [[(int(tags[j]), float(scores[j])) for j in range(start[w], start[w] + size[w])] for w in words[e - n : e]]) == (path[e - n : e].tolist(), score)
+
+
+def test_words_of_texts_are_looked_up_once_a_piece(spark):
+    texts = spark.range(40).select(F.col("id").alias("sentence_id"), F.expr("transform(sequence(1, 1000), i -> concat('word', pmod(xxhash64(id, i), 300)))").alias("w"))
+    tokens = texts.select("sentence_id", F.posexplode("w").alias("pos", "word")).withColumn("tag", F.substring("word", -1, 1))
+    links = T.text_transitions(texts, F.transform("w", lambda w: F.substring(w, -1, 1)))
+    assert sorted(map(str, links.collect())) == sorted(map(str, T.transitions(tokens).collect()))
+    tagger = T.trained(tokens, links)
+    sent = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    T.tagged_texts(texts, F.col("sentence_id"), F.col("w"), tagger).write.format("noop").mode("overwrite").save()
+    assert sent() - before < 10 * 40_000  # tokens carried their options before

@@ -67,3 +67,8 @@ def test_snapped_words_that_span_cells_and_overlap(spark):
         got = oov.snapped_join(spark.createDataFrame(words, "sentence_id int, start int, word string"), spark.createDataFrame(hits, "sentence_id int, at int"), cell)
         assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
         assert sorted(map(tuple, got.collect())) == [(1, 0, "abcdefgh"), (1, 2, "cd")]
+
+
+def test_tagged_paths_of_known_and_unknown_words(spark, tmp_path):
+    rows = [(1, "the cat sat The end", "en"), (2, "le chat the fin 12", "fr"), (3, "the newcats", None), (4, "", "en"), (5, None, "en"), (6, "The The le", "en")]
+    assert len(same_as_sql(spark, tmp_path, "tagged_paths", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 4
