@@ -54,6 +54,21 @@ def repetition(tokens: Column) -> Column:
     return run(tokens)
 
 
+def unmasked(texts: Column, masks: Column, words: Column) -> Column:
+    """Texts (an array) with the masks that are listed replaced by their words; ids of masks may have leading zeros."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, masks: pa.Array, words: pa.Array) -> pa.Array:
+        mask, out = re.compile(r"(UNK_\w+_)(\d+)", re.ASCII), []
+        for own, m, w in zip(texts, masks, words):
+            known = dict(zip(m.as_py() or (), w.as_py() or ()))
+            put = lambda x: known.get(x[1] + (x[2].lstrip("0") or "0"), x[0])  # noqa: B023, E731
+            out.append([t if t is None or not known else mask.sub(put, t) for t in own.as_py()])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(texts, masks, words)
+
+
 def statement_parts(c: Column) -> Column:
     """The top-level parenthesised parts of a text, trimmed; what is left over goes with the last.  One pass over its parentheses."""
 

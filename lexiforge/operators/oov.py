@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.functions import python as P
 from lexiforge.functions import text as X
 from lexiforge.operators import pairs
 
@@ -26,20 +27,26 @@ def unknown_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return hit.withColumn("type", F.when(F.col("known").isNull(), F.col("type"))).drop("root", "kind", "known")
 
 
+def _dealt(tokens: DataFrame) -> DataFrame:
+    return tokens.select("sentence_id", "pos", "type", "text").repartition("sentence_id")
+
+
 def _numbered(tokens: DataFrame) -> DataFrame:
     """(sentence_id, pos, type, text, id): per sentence and type ids from 1 in order of first appearance; a repeated word keeps its id.
 
     Tokens are dealt by sentence once, and all that follows stays where it is; several uses share that one exchange.
     """
-    own = tokens.select("sentence_id", "pos", "type", "text").repartition("sentence_id")
-    first = own.withColumn("first", F.min("pos").over(Window.partitionBy("sentence_id", "type", "text")))
+    first = _dealt(tokens).withColumn("first", F.min("pos").over(Window.partitionBy("sentence_id", "type", "text")))
     place = F.dense_rank().over(Window.partitionBy("sentence_id", "type").orderBy("first", "text"))  # one sentence's words
     return first.withColumn("id", F.when(F.col("type").isNotNull(), place)).drop("first")
 
 
 def unknown_words(tokens: DataFrame) -> DataFrame:
     """(sentence_id, type, word, id): per sentence and type ids from 1 in order of first appearance; a repeated word keeps its id."""
-    return _numbered(tokens).where("id is not null").select("sentence_id", "type", F.col("text").alias("word"), "id").distinct()
+    each = _dealt(tokens).groupBy("sentence_id", "type", "text").agg(F.min("pos").alias("first"))  # known words too: without them masked() would need an exchange of its own
+    place = F.row_number().over(Window.partitionBy("sentence_id", "type").orderBy("first", "text"))
+    numbered = each.withColumn("id", F.when(F.col("type").isNotNull(), place)).where("id is not null")
+    return numbered.select("sentence_id", "type", F.col("text").alias("word"), "id")
 
 
 def largest_id(words: DataFrame) -> DataFrame:
@@ -73,17 +80,23 @@ def read_tagged(lines: DataFrame) -> DataFrame:
 def unmasked(lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (sentence_id, line_num, text) with masks replaced by their formatted words, and the words used (word, type).
 
-    A mask without a word stays.
+    A mask without a word stays.  A sentence's lines meet its words in one row, so their masks aren't dealt out or sorted.
     """
-    # each gap with the mask behind it (the last has none), so that a line's text goes through the join once and needs no other
-    parts = F.arrays_zip(F.split("text", MASK, -1).alias("gap"), F.regexp_extract_all("text", F.lit(MASK), F.lit(0)).alias("mask"))
-    each = lines.select("sentence_id", "line_num", F.posexplode_outer(parts).alias("at", "x")).select("sentence_id", "line_num", "at", "x.gap", "x.mask")
+    own = words.where("sentence_id is not null").select("sentence_id", F.concat(F.lit("UNK_"), "type", F.lit("_"), F.col("id").cast("int").cast("string")).alias("mask"), X.format_word(F.col("word")).alias("word"))
+    own = own.where("mask is not null and word is not null").groupBy("sentence_id").agg(F.collect_list(F.struct("mask", "word")).alias("w"))
+    apart = F.when(F.col("sentence_id").isNull(), F.col("line_num"))  # lines without a sentence have no words and needn't meet
+    line = lines.groupBy("sentence_id", apart.alias("apart")).agg(F.collect_list(F.struct("line_num", "text")).alias("t"))
+    both = line.join(own, "sentence_id", "left").select("sentence_id", F.col("t")["line_num"].alias("line_num"), P.unmasked(F.col("t")["text"], F.col("w")["mask"], F.col("w")["word"]).alias("text"))
+    done = both.select("sentence_id", F.explode(F.arrays_zip("line_num", "text")).alias("x")).select("sentence_id", "x.line_num", "x.text")
+    return done, _used(lines, words)
+
+
+def _used(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, type, first) of the words that masks in lines stand for; first is the place of the first mask."""
+    each = lines.select("sentence_id", "line_num", F.posexplode(F.regexp_extract_all("text", F.lit(MASK), F.lit(0))).alias("at", "mask"))
     each = each.withColumns({"type": F.regexp_extract("mask", MASK, 1), "id": F.regexp_extract("mask", MASK, 2).cast("int")})
-    found = each.join(words.select("sentence_id", "type", "id", X.format_word(F.col("word")).alias("word")), ["sentence_id", "type", "id"], "left")
-    pieces = F.array_sort(F.collect_list(F.struct("at", F.concat("gap", F.coalesce("word", "mask", F.lit(""))).alias("new"))))["new"]
-    done = found.groupBy("sentence_id", "line_num").agg(F.when(F.count("gap") > 0, F.array_join(pieces, "")).alias("text"))
-    used = found.where("word is not null").groupBy("word", "type").agg(F.min(F.struct("line_num", "at")).alias("first"))
-    return done, used
+    found = each.join(words.select("sentence_id", "type", "id", X.format_word(F.col("word")).alias("word")), ["sentence_id", "type", "id"])
+    return found.where("word is not null").groupBy("word", "type").agg(F.min(F.struct("line_num", "at")).alias("first"))
 
 
 def axioms(used: DataFrame) -> DataFrame:

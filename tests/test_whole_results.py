@@ -72,3 +72,17 @@ def test_snapped_words_that_span_cells_and_overlap(spark):
 def test_tagged_paths_of_known_and_unknown_words(spark, tmp_path):
     rows = [(1, "the cat sat The end", "en"), (2, "le chat the fin 12", "fr"), (3, "the newcats", None), (4, "", "en"), (5, None, "en"), (6, "The The le", "en")]
     assert len(same_as_sql(spark, tmp_path, "tagged_paths", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 4
+
+
+def test_masks_are_not_dealt_out_to_be_undone(spark, tmp_path):
+    from lexiforge.operators import oov
+
+    docs = spark.createDataFrame([(1, "zz yy zz the yy Zz"), (2, "yy the"), (3, ""), (4, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, "The end")], "item_id long, text string")
+    assert len(same_as_sql(spark, tmp_path, "oov_unmask", documents=docs, benchmark=known)) == 2
+    plan = catalogue.QUERIES["oov_unmask"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") <= 2  # the words of the texts, for lines and for their words, but no masks
+    lines = spark.createDataFrame([(1, 1, "UNK_a_1_2 x UNK_n_01 UNK_n_3"), (1, 2, None), (1, 3, ""), (2, 1, "UNK_n_1"), (None, 1, "UNK_n_1 y")], "sentence_id int, line_num int, text string")
+    words = spark.createDataFrame([(1, "a_1", 2, "b c"), (1, "n", 1, "p"), (1, "n", 3, None), (None, "n", 1, "q")], "sentence_id int, type string, id int, word string")
+    got = sorted(map(str, [tuple(r) for r in oov.unmasked(lines, words)[0].collect()]))
+    assert got == ["(1, 1, 'b_c x p UNK_n_3')", "(1, 2, None)", "(1, 3, '')", "(2, 1, 'UNK_n_1')", "(None, 1, 'UNK_n_1 y')"]
