term_first_seen finds a term's first place by hash aggregation

Symptom: term_first_seen sorted every occurrence of a term in its scan tasks, and spilled when a task's input grew.
Evidence: the minimum of a struct doesn't fit in a hash aggregate, so Spark planned sort aggregates. Tool on 0.51 GB: 386 MB held in a scan task, 354 CPU s a GB; spill 0 MB there, as its splits are 16 MB. Own run beside the tool on the same 0.51 GB (6 local cores, 3 GB heap, 128 MB splits): 1284 MB spilled (about 2500 MB a GB of input), 772 MB in a task.
Fix: text id and position become one decimal that sorts as the pair did, nulls first, so the aggregates hold one row per distinct term and nothing is sorted before the shuffle. Ids that aren't whole numbers keep the struct.
Effect: at 1 GB of input CPU 1633 -> 951 s, shuffle 0.38 -> 0.40 GB, spill 1.75 -> 0.00 GB, read 1.29 -> 1.18 GB, longest task 120 -> 58 s, most memory of a task 772 -> 101 MB; at 6 GB of input CPU 6888 -> 3729 s, shuffle 1.58 -> 1.72 GB, spill 10.44 -> 0.00 GB, read 6.84 -> 6.52 GB, longest task 163 -> 75 s, most memory of a task 772 -> 134 MB; with hot keys, at 1 GB of input CPU 622 -> 304 s, shuffle 0.13 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.29 -> 0.25 GB, longest task 31 -> 16 s, most memory of a task 403 -> 50 MB.

@@ -83,12 +83,24 @@ def term_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("term").agg(F.count("*").alias("count"))
 
 
+def place(occurrences: DataFrame, order: str = "row_id") -> Column:
+    """What sorts as (order, pos) does, nulls first.
+
+    Whole numbers become one decimal, whose minimum a hash aggregate can hold; for that of a struct a task would sort every occurrence.
+    """
+    kinds = dict(occurrences.dtypes)
+    if kinds[order] not in ("tinyint", "smallint", "int", "bigint") or kinds["pos"] != "int":
+        return F.struct(order, "pos")
+    first = F.coalesce(F.col(order).cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))  # a null is less than the least number
+    return first * F.lit(10**10).cast("decimal(11,0)") + F.coalesce("pos", F.lit(-(2**31) - 1))
+
+
 def term_ids(occurrences: DataFrame, order: str = "row_id") -> DataFrame:
     """(term, id, count): ids from 1 in order of first appearance.
 
     The global rank is a range sort and prefix sums over its partitions, not one task's window.
     """
-    firsts = occurrences.groupBy("term").agg(F.count("*").alias("count"), F.min(F.struct(order, "pos")).alias("first"))
+    firsts = occurrences.groupBy("term").agg(F.count("*").alias("count"), F.min(place(occurrences, order)).alias("first"))
     return ranked(firsts, "first", "id").select("term", "id", "count")
 
 
